@@ -22,6 +22,11 @@ def strip_line_breaks(text: Column) -> Column:
     return F.regexp_replace(text, r"[\n\r]", "")
 
 
+def base64_text(data: Column) -> Column:
+    """Base64 in one line; Spark breaks long values with CR LF by default."""
+    return strip_line_breaks(F.base64(data))
+
+
 def token_count(text: Column) -> Column:
     """Words of a text whose spaces are collapsed: spaces + 1, or 0 for empty text."""
     return F.when(text == "", F.lit(0)).otherwise(

@@ -115,18 +115,21 @@ def bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def explode_chunks(chunked: DataFrame) -> DataFrame:
-    """``key, idx, chunk`` rows of a table with a ``chunks`` array.
+def explode_chunks(chunked: DataFrame, *keep: str) -> DataFrame:
+    """``key, idx, chunk`` rows (and the columns to keep) of a table with a ``chunks`` array.
 
     The outer form keeps Spark from evaluating the array twice more in a derived filter.
     """
-    return chunked.select("key", F.posexplode_outer("chunks").alias("idx", "chunk")).filter("idx IS NOT NULL")
+    rows = chunked.select("key", *keep, F.posexplode_outer("chunks").alias("idx", "chunk"))
+    return rows.filter("idx IS NOT NULL").select("key", "idx", "chunk", *keep)
 
 
-def chunk_texts(contents: DataFrame, **options) -> DataFrame:
-    """``key, idx, chunk`` of all text contents."""
+def chunk_texts(contents: DataFrame, *keep: str, **options) -> DataFrame:
+    """``key, idx, chunk`` (and the columns to keep) of all text contents."""
     texts = contents.filter(chunk_strategy(F.col("type")) == "text").withColumn("text", text_of(F.col("content")))
-    return explode_chunks(texts.select("key", chunk_array(F.col("text"), **options).alias("chunks")))
+    return explode_chunks(
+        texts.select("key", *keep, chunk_array(F.col("text"), **options).alias("chunks")), *keep
+    )
 
 
 def unchunkable(contents: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from docloom.session import materialise
 # --- rows to index -------------------------------------------------------------
 
 
-def indexable(embedded_chunks: DataFrame) -> DataFrame:
+def indexable(embedded_chunks: DataFrame, *keep: str) -> DataFrame:
     """Row key, document key, text and vector of every chunk.
 
     The vector never left its chunk's row, so there is nothing to pair by position.
@@ -35,6 +35,7 @@ def indexable(embedded_chunks: DataFrame) -> DataFrame:
         F.col("key").alias("doc_key"),
         F.col("chunk").alias("content"),
         "embedding",
+        *keep,
     )
 
 
@@ -156,11 +157,17 @@ def change_set(existing: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def apply_to_vectors(vectors: DataFrame, new: DataFrame, stale: DataFrame) -> DataFrame:
-    """Stale vectors go, new ones come; one anti join takes both out of the old table."""
-    once = latest_vectors(new.select(F.col("row_key").alias("id"), "embedding"))
-    gone = once.select("id").unionByName(stale.select(F.col("row_key").alias("id")))
-    return vectors.join(gone, "id", "left_anti").unionByName(once)
+def replace_vectors(vectors: DataFrame, new: DataFrame) -> DataFrame:
+    """The vector table after a change set.
+
+    Old vectors of a document just indexed are either stale or replaced, so all of them
+    go: the anti join needs one row per document instead of one per chunk.
+    """
+    owners = new.select(keys.owner(F.col("row_key")).alias("owner")).distinct()
+    kept = vectors.withColumn("owner", keys.owner(F.col("id"))).join(owners, "owner", "left_anti").drop("owner")
+    return kept.select("id", "embedding").unionByName(
+        latest_vectors(new.select(F.col("row_key").alias("id"), "embedding"))
+    )
 
 
 def apply_to_cells(cells: DataFrame, new_cells: DataFrame, stale: DataFrame) -> DataFrame:

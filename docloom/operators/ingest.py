@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.fixed_values import INGESTION_MIME_TYPES, LINK_MIME_TYPES
-from docloom.functions.text import is_blank, literal_map
+from docloom.functions.text import base64_text, is_blank, literal_map
 from docloom.sources.schemas import REQUEST
 
 CORRUPT = "_corrupt"
@@ -86,7 +86,7 @@ def uploads_to_requests(uploads: DataFrame) -> DataFrame:
     body = F.struct(
         F.struct(
             F.col("documentId").alias("id"),
-            F.base64("documentContent").alias("data"),
+            base64_text(F.col("documentContent")).alias("data"),
             F.col("mimeType"),
         ).alias("rawData")
     )

@@ -79,8 +79,8 @@ def answer(
         asked.withColumn("summary_prompt", converse.summary_prompt(F.col("previous"))), models.summarise
     )
     to_embed: Column = F.concat_ws("\n", F.nullif("summary", F.lit("")), F.col("text")) if settings.with_summary else F.col("text")
-    numbered = asked.withColumn("query_pos", F.xxhash64("request_id")).withColumn("embed_text", to_embed)
-    # written once: the vectors are counted, shared and joined below, the models run once
+    numbered = asked.withColumn("query_pos", F.monotonically_increasing_id()).withColumn("embed_text", to_embed)
+    # written once: the numbers stay, the vectors are counted, shared and joined below, the models run once
     ready = materialise(inference.embed_texts(numbered, "embed_text", models.embed), "questions")
 
     wanted = converse.effective_k(F.col("parameters.maxNeighbors"), settings.max_neighbors)

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.fixed_values import METADATA_MIME_KEY
-from docloom.functions import keys
 from docloom.operators import chunk, crawl, errors, extract, index, inference, ingest
 from docloom.session import materialise
 
@@ -79,17 +78,18 @@ def index_rows(contents: DataFrame, models: Models | None = None) -> tuple[DataF
     once = contents.groupBy("key").agg(
         F.max(F.struct("content", "type", "mime_type")).alias("c")
     ).select("key", "c.*")
-    kind = once.select("key", "mime_type")
     strategy = chunk.chunk_strategy(F.col("type"))
-    texts = chunk.chunk_texts(inference.spread_if_narrow(once))
+    texts = chunk.chunk_texts(once, "mime_type")
     answered = inference.chunk_links(once.filter(strategy.isin("pdf", "image")), models.chunk_links)
     parsed = materialise(answered.withColumn("chunks", chunk.parse_chunk_response(F.col("response"))), "linked")
-    linked = chunk.explode_chunks(parsed.filter("chunks IS NOT NULL"))
+    linked = chunk.explode_chunks(parsed.filter("chunks IS NOT NULL")).withColumn(
+        "mime_type", F.lit(None).cast("string")
+    )
     embedded = materialise(
         inference.embed_texts(texts.unionByName(linked), "chunk", models.embed), "embedded"
     )
-    rows = index.indexable(inference.embedded(embedded))
-    rows = rows.join(kind.withColumnRenamed("key", "doc_key"), "doc_key").withColumn(
+    # the file's MIME type came along on every row, so the link needs no lookup
+    rows = index.indexable(inference.embedded(embedded), "mime_type").withColumn(
         "link", index.source_link(F.col("row_key"), F.col("mime_type"))
     )
     failed = (
@@ -133,20 +133,24 @@ def ingest_messages(
 
 
 def store_rows(rows: DataFrame, vectors_path: str, cells_path: str, now: Column) -> None:
-    """Bring both tables up to date with the new rows: stale keys go, new ones come."""
+    """Bring both tables up to date with the new rows: stale keys go, new ones come.
+
+    Old and new rows of a document share a bucket, also when the document was renamed, so
+    only the touched buckets are read and written.
+    """
     spark = rows.sparkSession
     rows = materialise(rows, "rows")
-    old_keys = spark.read.parquet(cells_path).select("row_key")
-    stale = materialise(index.stale_keys(old_keys, rows), "stale")
-    # a renamed file's old keys have the same owner, hence the same bucket, as its new ones
     touched = rows.select("row_key")
     index.rewrite_buckets(
-        spark, vectors_path, touched, lambda old: index.apply_to_vectors(old, rows, stale), key="id"
+        spark, vectors_path, touched, lambda old: index.replace_vectors(old, rows), key="id"
     )
     cells = index.content_cells(rows, now)
-    index.rewrite_buckets(
-        spark, cells_path, touched, lambda old: index.keep_versions(index.apply_to_cells(old, cells, stale))
-    )
+
+    def change(old: DataFrame) -> DataFrame:
+        stale = index.stale_keys(old, rows)
+        return index.keep_versions(index.apply_to_cells(old, cells, stale))
+
+    index.rewrite_buckets(spark, cells_path, touched, change)
 
 
 def create_stores(rows: DataFrame, vectors_path: str, cells_path: str, now: Column) -> None:
@@ -155,6 +159,3 @@ def create_stores(rows: DataFrame, vectors_path: str, cells_path: str, now: Colu
     index.write_bucketed(vectors, vectors_path, key="id")
     index.write_bucketed(index.content_cells(rows, now), cells_path)
 
-
-def document_keys(rows: DataFrame) -> DataFrame:
-    return rows.select(keys.doc_key(F.col("row_key")).alias("doc_key")).distinct()
