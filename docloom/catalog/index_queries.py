@@ -530,9 +530,13 @@ def session_state(spark, sf_dir):
     )
     try:
         stream = jobs.session_state(spark.readStream.schema(stored.schema).parquet(folder))
-        jobs.each_batch(
-            stream, lambda batch: batch.write.mode("append").parquet(out), checkpoint, availableNow=True
-        ).awaitTermination()
+        # one batch: a state with a time to live asks for further empty batches without end
+        run = jobs.each_batch(
+            stream, lambda batch: batch.write.mode("append").parquet(out), checkpoint, once=True
+        )
+        if not run.awaitTermination(600):
+            run.stop()
+            raise TimeoutError("the session stream did not finish")
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     return spark.read.schema("session string, ts timestamp, exchange string").parquet(out).select(
