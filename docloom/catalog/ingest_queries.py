@@ -801,6 +801,31 @@ def ten_minute_windows(spark, sf_dir):
     return rows.select(F.unix_timestamp("window_start").alias("window_start"), "messages")
 
 
+def _late_stream(spark, sf_dir):
+    """All events, and then all of them again when nearly every window has closed."""
+    folder = new_folder(spark, "late")
+    events = inputs.given(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    for _ in range(2):
+        events.coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return run_stream(spark, jobs.window_counts(stream), "s03")
+
+
+@query("S03_late_rows_dropped", WINDOWS.format(size="1 minute"))
+def late_rows_dropped(spark, sf_dir):
+    """Rows later than the allowed minute change nothing."""
+    return _late_stream(spark, sf_dir).select(F.unix_timestamp("window_start").alias("window_start"), "messages")
+
+
+@query(
+    "S04_one_result_per_window",
+    f"SELECT window_start, 1::BIGINT AS results FROM ({WINDOWS.format(size='1 minute')})",
+)
+def one_result_per_window(spark, sf_dir):
+    rows = _late_stream(spark, sf_dir).groupBy(F.unix_timestamp("window_start").alias("window_start"))
+    return rows.agg(F.count("*").alias("results"))
+
+
 @query("F06_deduplicate_ids_stream", "SELECT DISTINCT user_id::VARCHAR AS id FROM events")
 def deduplicate_ids_stream(spark, sf_dir):
     """Ids of one micro-batch within the window, then over the whole table."""

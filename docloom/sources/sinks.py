@@ -50,6 +50,7 @@ def interaction_log(questions: DataFrame, results: DataFrame, enabled: bool = Tr
     joined = questions.join(results, "request_id").filter(F.lit(enabled))
     return joined.select(
         F.expr("uuid()").alias("interaction_id"),
+        "request_id",
         F.to_json(F.struct("text", F.col("session_id").alias("sessionId"), "parameters")).alias("request"),
         F.to_json(
             F.struct(
