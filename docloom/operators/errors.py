@@ -102,10 +102,12 @@ def hold_retries(messages: DataFrame, lateness: str = ALLOWED_LATENESS) -> DataF
     failures spreads over all tasks and no list of messages is ever built.  Works on a
     stream (append mode) and on a table.
     """
+    # recomputed, because a stream may have one event time column only
+    sent_at = F.timestamp_micros(F.unix_micros("ts"))
     held = (
         messages.withColumn("a", F.to_json("attributes"))
         .withWatermark("ts", lateness)
-        .groupBy(F.window("ts", RETRY_WINDOW).alias("w"), F.col("ts").alias("sent_at"), "payload", "a")
+        .groupBy(F.window("ts", RETRY_WINDOW).alias("w"), sent_at.alias("sent_at"), "payload", "a")
         .agg(F.count("*").cast("int").alias("copies"))
     )
     return held.select(

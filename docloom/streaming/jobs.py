@@ -85,8 +85,8 @@ def ingestion_handler(
 ) -> Callable[[DataFrame], None]:
     """Batch function: index what can be indexed, put retries and errors aside.
 
-    Writing the same batch twice, as after a failure, leaves the stores as they were:
-    vectors and lines are replaced, and a cell version of the same text is one version.
+    After a failure a batch may be written again: vectors and lines are replaced, and the
+    cells of its documents get one more version, which retention bounds.
     """
 
     def handle(batch: DataFrame) -> None:
