@@ -118,6 +118,16 @@ def ivf_search(spark, sf_dir):
     return _shown(ivf.search(inputs.vector_queries(spark, sf_dir), assigned, leaves))
 
 
+@query("G04_ivf_search_blocks", sql(f"SELECT {HIT} FROM ranked", "ranked"))
+def ivf_search_blocks(spark, sf_dir):
+    """Every leaf again, for a query batch too large to share."""
+    vectors = inputs.vectors(spark, sf_dir)
+    leaves = ivf.train(vectors, per_leaf=50)
+    assigned = materialise(ivf.assign(vectors, leaves), "leaves")
+    queries = inputs.vector_queries(spark, sf_dir)
+    return _shown(ivf.search(queries, assigned, leaves, probe_fraction=1.0, broadcast_bytes=0))
+
+
 @query("G04_ivf_search_all_leaves", sql(f"SELECT {HIT} FROM ranked", "ranked"))
 def ivf_search_all_leaves(spark, sf_dir):
     """Looking into every leaf has to find exactly what the exact search finds."""
@@ -354,8 +364,7 @@ def embed_questions(spark, sf_dir):
 
 def _index(spark, sf_dir):
     """Vector table and content cells of all documents."""
-    embedded = materialise(inference.embed_texts(inputs.chunks(spark, sf_dir)), "embedded")
-    rows = index.indexable(embedded, "mime_type").withColumn(
+    rows = index.indexable(inputs.embedded(spark, sf_dir), "mime_type").withColumn(
         "link", index.source_link(F.col("row_key"), F.col("mime_type"))
     )
     return (

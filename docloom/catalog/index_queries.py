@@ -68,7 +68,7 @@ def unchunkable(spark, sf_dir):
 
 @query("M03_chunk_texts", sql("SELECT key, idx::BIGINT AS idx, chunk FROM chunks", "chunks"))
 def chunk_texts(spark, sf_dir):
-    return inputs.chunks(spark, sf_dir).select("key", F.col("idx").cast("bigint").alias("idx"), "chunk")
+    return inputs.fresh_chunks(spark, sf_dir).select("key", F.col("idx").cast("bigint").alias("idx"), "chunk")
 
 
 @query(
@@ -111,8 +111,7 @@ def parse_chunk_response(spark, sf_dir):
 
 
 def _embedded(spark, sf_dir):
-    chunks = inputs.chunks(spark, sf_dir)
-    return inference.embed_texts(chunks)
+    return inference.embed_texts(inputs.fresh_chunks(spark, sf_dir))
 
 
 @query(

@@ -8,8 +8,12 @@ the same tables for the comparison.
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from docloom.fixed_values import (
     FILE_MIME_PREFIX,
@@ -21,6 +25,7 @@ from docloom.fixed_values import (
 from docloom.functions import keys
 from docloom.functions.text import base64_text
 from docloom.operators import chunk, index, inference
+from docloom.session import new_folder
 from docloom.sources.schemas import DOC_BODIES, PARAGRAPH, SHEET_BODIES, SLIDE_BODIES
 
 def at(seconds: Column) -> Column:
@@ -32,6 +37,27 @@ def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents on all cores, also when their file is one split."""
+    return inference.spread_if_narrow(given(spark, sf_dir, "documents"))
+
+
+_stored: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+
+
+def stored(
+    spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame]
+) -> DataFrame:
+    """A derived table written to the shared folder by the first query of a session that needs it."""
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
+    if key not in _stored:
+        rows, path = build(spark, sf_dir), new_folder(spark, name)
+        rows.write.parquet(path)
+        _stored[key] = path, rows.schema
+    path, schema = _stored[key]
+    return spark.read.schema(schema).parquet(path)
+
+
 # --- files and bodies ----------------------------------------------------------
 
 
@@ -124,8 +150,8 @@ def doc_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(i % 3 == 2, table(line)).alias("table"),
         ),
     )
-    rows = given(spark, sf_dir, "documents").select(file_id().alias("id"), content.alias("content"))
-    return rows.select(*[F.col(f.name).cast(f.dataType) for f in _schema(spark, DOC_BODIES)])
+    rows = spread_documents(spark, sf_dir).select(file_id().alias("id"), content.alias("content"))
+    return rows.select(*[F.col(f.name).cast(f.dataType) for f in _fields(DOC_BODIES)])
 
 
 def sheet_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,8 +169,8 @@ def sheet_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("first").alias("title"), cells.alias("cells")),
         F.struct(F.lit("empty").alias("title"), F.lit(None).cast("array<array<string>>").alias("cells")),
     )
-    rows = given(spark, sf_dir, "documents").select(file_id().alias("id"), sheets.alias("sheets"))
-    return rows.select(*[F.col(f.name).cast(f.dataType) for f in _schema(spark, SHEET_BODIES)])
+    rows = spread_documents(spark, sf_dir).select(file_id().alias("id"), sheets.alias("sheets"))
+    return rows.select(*[F.col(f.name).cast(f.dataType) for f in _fields(SHEET_BODIES)])
 
 
 def slide_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,13 +188,11 @@ def slide_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     slides = F.transform(F.split("text", "\n"), slide)
-    rows = given(spark, sf_dir, "documents").select(file_id().alias("id"), slides.alias("slides"))
-    return rows.select(*[F.col(f.name).cast(f.dataType) for f in _schema(spark, SLIDE_BODIES)])
+    rows = spread_documents(spark, sf_dir).select(file_id().alias("id"), slides.alias("slides"))
+    return rows.select(*[F.col(f.name).cast(f.dataType) for f in _fields(SLIDE_BODIES)])
 
 
-def _schema(spark: SparkSession, ddl: str):
-    from pyspark.sql.types import StructType
-
+def _fields(ddl: str) -> list[StructField]:
     return StructType.fromDDL(ddl).fields
 
 
@@ -207,7 +231,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = bodies[-1]
     for kind, body in reversed(list(enumerate(bodies[:-1]))):
         payload = F.when(F.col("doc_id") % 10 == kind, body).otherwise(payload)
-    return given(spark, sf_dir, "documents").select(
+    return spread_documents(spark, sf_dir).select(
         at(F.col("doc_id")).alias("ts"),
         payload.alias("payload"),
         F.create_map(
@@ -222,7 +246,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contents of all documents; a quarter of them are raw texts with two-part chunk keys."""
     raw = F.col("doc_id") % 4 == 3
-    return inference.spread_if_narrow(given(spark, sf_dir, "documents")).select(
+    return spread_documents(spark, sf_dir).select(
         F.when(raw, F.concat(F.lit("raw"), F.col("doc_id")))
         .otherwise(keys.new_doc_key(file_name(), file_id(), ascii_only=True))
         .alias("key"),
@@ -233,10 +257,20 @@ def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fresh_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.chunk_texts(contents(spark, sf_dir), "mime_type")
 
 
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks as a stored table: the content store exists before it is queried."""
+    return stored(spark, sf_dir, "chunks", fresh_chunks)
+
+
+def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored chunks with their vectors."""
+    return stored(spark, sf_dir, "embedded", lambda s, d: inference.embed_texts(chunks(s, d)))
+
+
 def chunk_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content table rows: ``row_key, doc_key, content, mime_type``."""
     return chunks(spark, sf_dir).select(

@@ -37,15 +37,15 @@ class Best:
         self.id = np.empty(0, dtype=object)
         self.score = np.empty(0)
 
-    def add(self, scores: np.ndarray, first_query: int, ids: np.ndarray) -> None:
-        """Take in a (queries x ids) block of scores."""
+    def add(self, scores: np.ndarray, queries: np.ndarray, ids: np.ndarray) -> None:
+        """Take in a block of scores, one row per query number and one column per id."""
         scores = np.round(scores, SCORE_DIGITS)
         keep = np.ones(scores.shape, dtype=bool) if self.min_score is None else scores > self.min_score
         if scores.shape[1] > self.k:
             kth = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k]
             keep &= scores >= kth[:, None]
         query, column = np.nonzero(keep)
-        self._merge(query + first_query, ids[column], scores[query, column])
+        self._merge(queries[query], ids[column], scores[query, column])
 
     def _merge(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
         if len(query) == 0:
@@ -61,10 +61,17 @@ class Best:
         self.query, self.id, self.score = query[first], ids[first], score[first]
 
 
-def scan(best: Best, queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray) -> None:
-    """Score vectors against queries in pieces of bounded size."""
-    if not len(vectors) or not len(queries):
+def scan(
+    best: Best, queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, numbers: np.ndarray | None = None
+) -> None:
+    """Score vectors against queries in pieces of bounded size.
+
+    ``numbers`` picks some of the queries; without it all of them are meant.
+    """
+    numbers = np.arange(len(queries)) if numbers is None else numbers
+    if not len(vectors) or not len(numbers):
         return
     step = max(1, MAX_SCORES // len(vectors))
-    for start in range(0, len(queries), step):
-        best.add(queries[start : start + step] @ vectors.T, start, ids)
+    for start in range(0, len(numbers), step):
+        some = numbers[start : start + step]
+        best.add(queries[some] @ vectors.T, some, ids)

@@ -200,13 +200,11 @@ def source_links(hits: DataFrame) -> DataFrame:
 
 
 def parse_response(response: Column) -> Column:
-    """Parts joined by line breaks and read as one JSON string; null when that fails."""
+    """Parts joined by line breaks and read as one JSON scalar; null when that fails."""
     text = F.array_join(response["parts"], "\n")
-    is_string = text.rlike(r'^\s*"(?s:.)*"\s*$')
-    parsed = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "v string, _corrupt string", {
-        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt",
-    })
-    return F.when(is_string & parsed["_corrupt"].isNull(), parsed["v"])
+    scalar = ~text.rlike(r"^\s*[\[{]")
+    values = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")
+    return F.when(scalar, F.get(values, F.lit(0)))
 
 
 def block_feedback(response: Column) -> Column:

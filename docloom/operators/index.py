@@ -118,7 +118,7 @@ def group_upserts(rows: DataFrame, size: int = UPSERT_GROUP_SIZE) -> DataFrame:
     Chunk positions are consecutive, so the position itself gives the group and no
     window over the document is needed.
     """
-    position = F.element_at(keys.key_parts(F.col("row_key")), -1).cast("int")
+    position = F.try_element_at(keys.key_parts(F.col("row_key")), F.lit(-1)).try_cast("int")
     return rows.withColumn("batch_id", F.floor(position / size).cast("int"))
 
 

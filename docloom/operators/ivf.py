@@ -15,8 +15,19 @@ from pyspark.sql import types as T
 
 from docloom.fixed_values import APPROXIMATE_CANDIDATES, LEAF_PROBE_FRACTION, VECTORS_PER_LEAF
 from docloom.functions.vectors import unit
-from docloom.operators.blocks import matrix
-from docloom.operators.search import _check_metric, _greatest_k, _rank, scan_blocks, with_block_counts
+from docloom.operators.blocks import Best, matrix, scan
+from docloom.operators.search import (
+    BROADCAST_BYTES,
+    HITS,
+    _check_metric,
+    _greatest_k,
+    _rank,
+    few_tasks,
+    hits_of,
+    query_matrix,
+    scan_blocks,
+    with_block_counts,
+)
 from docloom.session import materialise
 
 #: Upper bound of leaves: their centres are handed to every task.
@@ -85,6 +96,37 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("id", "embedding", F.col("leaf").cast("int").alias("leaf"))
 
 
+def _scan_leaves(
+    queries: DataFrame, assigned: DataFrame, probed: DataFrame, k: int, metric: str, min_score: float | None
+) -> DataFrame:
+    """Hand a small query batch, with the leaves each query looks into, to every task.
+
+    Only the probed leaves are read, without a shuffle, and a vector is compared with the
+    queries of its own leaf only.
+    """
+    positions, wanted = query_matrix(queries, metric)
+    pairs = probed.select("leaf", "query_pos").toArrow()
+    place = np.argsort(positions, kind="stable")
+    number = place[np.searchsorted(positions, pairs["query_pos"].to_numpy(), sorter=place)]
+    leaf = pairs["leaf"].to_numpy()
+    by_leaf = {int(name): number[leaf == name] for name in np.unique(leaf)}
+    shared = queries.sparkSession.sparkContext.broadcast((positions, wanted, by_leaf))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        positions, wanted, by_leaf = shared.value
+        best = Best(k, min_score)
+        for batch in batches:
+            ids = np.asarray(batch.column("id").to_pylist(), dtype=object)
+            rows, leaves = matrix(batch.column("embedding"), metric), batch.column("leaf").to_numpy()
+            for name in np.unique(leaves):
+                here = leaves == name
+                scan(best, wanted, rows[here], ids[here], by_leaf[int(name)])
+        yield hits_of(best, positions)
+
+    needed = assigned.filter(F.col("leaf").isin(list(by_leaf))).select("id", "embedding", "leaf")
+    return few_tasks(needed).mapInArrow(run, HITS)
+
+
 def search(
     queries: DataFrame,
     assigned: DataFrame,
@@ -93,22 +135,28 @@ def search(
     min_score: float | None = None,
     probe_fraction: float = LEAF_PROBE_FRACTION,
     candidates: int = APPROXIMATE_CANDIDATES,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Nearest vectors among the leaves closest to each query.
 
-    Queries and vectors meet by equality of the leaf.  Scores inside a leaf are exact, so
-    the candidates need no second ranking; a query may want up to ``candidates`` of them.
+    A query batch of bounded size is shared with the tasks that read the probed leaves; a
+    greater one meets the vectors by equality of the leaf.  Scores inside a leaf are
+    exact, so the candidates need no second ranking; a query may want up to
+    ``candidates`` of them.
     """
     _check_metric(metric)
-    _, _, k = _greatest_k(queries)
+    rows, dimensions, k = _greatest_k(queries)
     if k > candidates:
         raise ValueError(f"a query wants {k} neighbours, the index returns {candidates} at most")
     probes = max(1, math.ceil(leaves.count() * probe_fraction))
     probed = materialise(_nearest_leaves(queries.select("query_pos", "embedding"), leaves, probes), "probes")
-    by_leaf = with_block_counts(
-        probed.withColumnRenamed("leaf", "part"), assigned.select(F.col("leaf").alias("part"), "id", "embedding")
-    )
-    hits = scan_blocks(*by_leaf, k, metric, min_score)
+    if rows * (dimensions + probes) * 8 <= broadcast_bytes:
+        hits = _scan_leaves(queries, assigned, probed, k, metric, min_score)
+    else:
+        by_leaf = with_block_counts(
+            probed.withColumnRenamed("leaf", "part"), assigned.select(F.col("leaf").alias("part"), "id", "embedding")
+        )
+        hits = scan_blocks(*by_leaf, k, metric, min_score)
     return _rank(hits, queries, k, metric)
 
 

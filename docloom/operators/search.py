@@ -62,18 +62,27 @@ def without_seed(vectors: DataFrame) -> DataFrame:
 # --- scoring -------------------------------------------------------------------
 
 
-def _hits(best: Best, positions: np.ndarray) -> pa.RecordBatch:
+def hits_of(best: Best, positions: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(positions[best.query]), pa.array(best.id, pa.string()), pa.array(best.score)],
         schema=HITS_ARROW,
     )
 
 
+def few_tasks(vectors: DataFrame) -> DataFrame:
+    """A few tasks per core: each emits its best rows once, however many splits it reads."""
+    return vectors.coalesce(4 * vectors.sparkSession.sparkContext.defaultParallelism)
+
+
+def query_matrix(queries: DataFrame, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and vectors of a query batch whose size was checked."""
+    table = queries.select("query_pos", "embedding").toArrow()
+    return table["query_pos"].to_numpy(), matrix(table["embedding"], metric)
+
+
 def _scan_all(queries: DataFrame, vectors: DataFrame, k: int, metric: str, min_score: float | None) -> DataFrame:
     """Hand a small query matrix to every task and read the vectors once, without a shuffle."""
-    table = queries.select("query_pos", "embedding").toArrow()
-    positions = table["query_pos"].to_numpy()
-    shared = queries.sparkSession.sparkContext.broadcast((positions, matrix(table["embedding"], metric)))
+    shared = queries.sparkSession.sparkContext.broadcast(query_matrix(queries, metric))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         positions, wanted = shared.value
@@ -81,9 +90,9 @@ def _scan_all(queries: DataFrame, vectors: DataFrame, k: int, metric: str, min_s
         for batch in batches:
             ids = np.asarray(batch.column("id").to_pylist(), dtype=object)
             scan(best, wanted, matrix(batch.column("embedding"), metric), ids)
-        yield _hits(best, positions)
+        yield hits_of(best, positions)
 
-    return vectors.select("id", "embedding").mapInArrow(run, HITS)
+    return few_tasks(vectors.select("id", "embedding")).mapInArrow(run, HITS)
 
 
 def _block_counts(rows: int, size: int) -> int:
@@ -133,7 +142,7 @@ def scan_blocks(queries: DataFrame, vectors: DataFrame, k: int, metric: str, min
         if block.num_rows and wanted.num_rows:
             ids = np.asarray(block["vector_id"].to_pylist(), dtype=object)
             scan(best, matrix(wanted["wanted"], metric), matrix(block["vector"], metric), ids)
-        return pa.Table.from_batches([_hits(best, wanted["position"].to_numpy())])
+        return pa.Table.from_batches([hits_of(best, wanted["position"].to_numpy())])
 
     return left.groupBy("v_part", "v", "q").cogroup(right.groupBy("q_part", "vb", "qb")).applyInArrow(run, HITS)
 

@@ -132,17 +132,20 @@ def ingest_messages(
     return Ingested(contents, rows, failures.unionByName(model_errors(failed)))
 
 
-def store_rows(rows: DataFrame, vectors_path: str, cells_path: str, now: Column) -> None:
+def store_rows(
+    rows: DataFrame, vectors_path: str, cells_path: str, now: Column, buckets: int = index.BUCKETS
+) -> None:
     """Bring both tables up to date with the new rows: stale keys go, new ones come.
 
     Old and new rows of a document share a bucket, also when the document was renamed, so
-    only the touched buckets are read and written.
+    only the touched buckets are read and written.  ``buckets`` is fixed when the tables
+    are created; choose it so that one bucket is a few gigabytes.
     """
     spark = rows.sparkSession
     rows = materialise(rows, "rows")
     touched = rows.select("row_key")
     index.rewrite_buckets(
-        spark, vectors_path, touched, lambda old: index.replace_vectors(old, rows), key="id"
+        spark, vectors_path, touched, lambda old: index.replace_vectors(old, rows), "id", buckets
     )
     cells = index.content_cells(rows, now)
 
@@ -150,12 +153,14 @@ def store_rows(rows: DataFrame, vectors_path: str, cells_path: str, now: Column)
         stale = index.stale_keys(old, rows)
         return index.keep_versions(index.apply_to_cells(old, cells, stale))
 
-    index.rewrite_buckets(spark, cells_path, touched, change)
+    index.rewrite_buckets(spark, cells_path, touched, change, "row_key", buckets)
 
 
-def create_stores(rows: DataFrame, vectors_path: str, cells_path: str, now: Column) -> None:
+def create_stores(
+    rows: DataFrame, vectors_path: str, cells_path: str, now: Column, buckets: int = index.BUCKETS
+) -> None:
     """First load of both tables."""
     vectors = index.latest_vectors(rows.select(F.col("row_key").alias("id"), "embedding"))
-    index.write_bucketed(vectors, vectors_path, key="id")
-    index.write_bucketed(index.content_cells(rows, now), cells_path)
+    index.write_bucketed(vectors, vectors_path, "id", buckets)
+    index.write_bucketed(index.content_cells(rows, now), cells_path, "row_key", buckets)
 

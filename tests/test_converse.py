@@ -38,12 +38,12 @@ def test_repeated_negative_and_malformed_exchanges(spark):
 def test_response_parsing(spark):
     rows = [
         (["\"a\\nb\""], None, None), (["\"a", "b\""], None, None), (["plain"], None, None), (["[1]"], None, None),
-        (['"x"'], "SAFETY", "why"), (None, "SAFETY", None), (['"x","v":"y"'], None, None),
+        (['"x"'], "SAFETY", "why"), (None, "SAFETY", None), (['"x","v"'], None, None), (["12"], None, None),
     ]
     df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, r struct<parts: array<string>, block_reason: string, block_message: string>")
     got = [r[0] for r in df.orderBy("i").select(converse.answer_text(F.col("r"))).collect()]
     assert got[:1] + got[2:6] == ["a\nb", None, None, "Response blocked by model. SAFETY why", "Response blocked by model. SAFETY"]
-    assert got[1] is None
+    assert got[1] is None and got[6:] == ["x", "12"]  # what follows the first value is not read
 
 
 def test_prompt_keeps_any_content(spark):

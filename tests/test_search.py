@@ -64,6 +64,16 @@ def test_ivf_with_one_hot_leaf(spark, monkeypatch):
     assigned = ivf.assign(v, leaves).withColumn("leaf", F.lit(0))
     got = search.VectorIndex(assigned, mode="ivf", leaves=leaves, probe_fraction=1.0).find(q)
     assert found(got) == brute_force(vectors, queries, "cosine")
+    blocks = ivf.search(q, assigned, leaves, probe_fraction=1.0, broadcast_bytes=0)
+    assert found(blocks) == brute_force(vectors, queries, "cosine")
+
+
+def test_ivf_looks_into_the_nearest_leaves_only(spark):
+    v, q, *_ = tables(spark)
+    leaves = ivf.train(v, per_leaf=30)
+    assigned = ivf.assign(v, leaves)
+    shared = ivf.search(q, assigned, leaves, probe_fraction=0.2)
+    assert found(shared) == found(ivf.search(q, assigned, leaves, probe_fraction=0.2, broadcast_bytes=0))
 
 
 def test_ivf_recall_on_clustered_vectors(spark):
