@@ -13,13 +13,16 @@ from docloom.fixed_values import FILE_URL_MARKERS, KEY_SEPARATOR, URL_PROTOCOLS
 
 
 def key_parts(key: Column) -> Column:
-    """Split on the separator and drop trailing empty parts; a key without separator is one part."""
+    """Split on the separator and drop trailing empty parts; a key without separator is one part.
+
+    Only a key that ends with a separator has such parts, so all others are a plain split.
+    """
     parts = F.split(key, KEY_SEPARATOR)
     from_end = F.array_position(F.transform(F.reverse(parts), lambda p: p != ""), F.lit(True))
     kept = F.when(from_end > 0, F.slice(parts, 1, (F.size(parts) - from_end + 1).cast("int"))).otherwise(
         F.array().cast("array<string>")
     )
-    return F.when(key.contains(KEY_SEPARATOR), kept).otherwise(F.array(key))
+    return F.when(key.endswith(KEY_SEPARATOR), kept).otherwise(parts)
 
 
 def part(key: Column, position: int) -> Column:

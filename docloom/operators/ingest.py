@@ -42,8 +42,9 @@ def parse_requests(messages: DataFrame) -> DataFrame:
         F.lit(False),
     )
     usable = F.col("r").isNotNull() & F.col(f"r.{CORRUPT}").isNull() & ~bad_mime
+    # exploding one value keeps later filters from repeating the parse inside themselves
     return (
-        messages.withColumn("r", parsed)
+        messages.select("*", F.explode(F.array(parsed)).alias("r"))
         .withColumn(
             "request",
             F.when(usable, F.struct("r.googleDrive", "r.rawData", "r.references")),
@@ -120,16 +121,22 @@ def raw_contents(routed: DataFrame, decode_rounds: int = 2) -> DataFrame:
     """Raw text messages as contents; ``content`` is null where the message has to fail."""
     raw = F.col("request.rawData")
     text = F.when(raw["mimeType"] == "text/plain", decode_text(raw["data"], decode_rounds))
-    return routed.filter(F.col("route") == "raw").select(
+    decoded = routed.filter(F.col("route") == "raw").select(
         "ts",
+        # a drop of failed rows later on would otherwise decode once more
+        F.explode(F.array(text)).alias("text"),
         "payload",
         raw["id"].alias("key"),
-        F.when(text.isNotNull(), F.array(text)).alias("content"),
         raw["mimeType"].alias("type"),
-        F.when(
-            raw["mimeType"].isNull() | (raw["mimeType"] != "text/plain"), "Ingestion request not supported"
-        )
-        .when(text.isNull(), "Raw data is not valid base64")
+    )
+    return decoded.select(
+        "ts",
+        "payload",
+        "key",
+        F.when(F.col("text").isNotNull(), F.array("text")).alias("content"),
+        "type",
+        F.when(F.col("type").isNull() | (F.col("type") != "text/plain"), "Ingestion request not supported")
+        .when(F.col("text").isNull(), "Raw data is not valid base64")
         .alias("failure"),
     )
 

@@ -42,7 +42,8 @@ class Ingested:
 
 def contents_of_messages(messages: DataFrame, store: FileStore, ascii_titles: bool = False) -> tuple[DataFrame, DataFrame]:
     """Contents (with the file's MIME type, where there is one) and classified errors."""
-    routed = ingest.route(ingest.parse_requests(messages))
+    # written once: every branch below reads only its own columns of it, and nothing is parsed again
+    routed = materialise(ingest.route(ingest.parse_requests(messages)), "routed")
     raw = ingest.raw_contents(routed)
     references = ingest.reference_contents(routed)
     wanted = ingest.drive_transports(routed)
