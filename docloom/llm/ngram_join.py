@@ -6,8 +6,7 @@ The document by n-gram incidence matrix is multiplied with its transpose block b
 2. Two sets of sizes s <= t can only link when s >= 0.85 t and at most ``differences(t)`` n-grams
    stand in one of them alone.  With the n-grams dealt over more parts than that, at least one
    part is equal in both.  Part hashes that occur in two classes (see :mod:`sieve`) make a
-   bipartite table; its connected components are the blocks outside which no overlap can reach
-   the bound.
+   bipartite table; outside its connected components no overlap can reach the bound.
 3. The rows of a component are cut into blocks of at most ``BLOCK`` classes.  Each pair of blocks
    is one sparse product: overlap counts are added n-gram by n-gram, pairs under the size bound
    are discarded, and of the links only a spanning forest leaves the task.
@@ -42,6 +41,8 @@ BLOCK = 512
 SPARE_PERCENT = 3
 MOST_DEALS = 12
 
+_NONE = np.empty(0, dtype=np.int64)
+
 
 class Rule:
     """n-gram size and the least similarity in hundredths."""
@@ -169,38 +170,56 @@ def _signature_rows(rule: Rule) -> Callable[[Batches], Batches]:
     return run
 
 
-def _candidates(rule: Rule, shared: Broadcast) -> Callable[[Batches], Batches]:
-    """Sets that share a part with another class, with those part hashes; a class once a batch."""
+def _incidence(rule: Rule, shared: Broadcast) -> Callable[[Batches], Batches]:
+    """(class, key) for the part hashes that may stand in two classes; a class once a batch."""
 
     def run(batches: Batches) -> Batches:
         bands: dict[int, int] = {}
         for batch in batches:
-            seen: set[int] = set()
-            for _, sets in text_sets(batch, rule):
-                classes, keys, grams = [], [], []
-                for own in sets:
-                    name = set_hash(own)
-                    if name in seen or len(own) == 0:
-                        continue
-                    seen.add(name)
-                    all_keys = signatures(own, rule, bands)
-                    hit = all_keys[sieve.passes(shared.value, all_keys)]
-                    if len(hit):
-                        classes.append(name)
-                        keys.append(words.signed(hit))
-                        grams.append(own.tobytes())
+            for names, sets in _new_sets(batch, rule):
+                keys = [signatures(s, rule, bands) for s in sets]
+                hits = [words.signed(k[sieve.passes(shared.value, k)]) for k in keys]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(classes, type=pa.int64()),
-                        pa.array(keys, type=pa.list_(pa.int64())),
-                        pa.array(grams, type=pa.binary()),
+                        pa.array(np.repeat(np.array(names, dtype=np.int64), [len(h) for h in hits])),
+                        pa.array(np.concatenate([_NONE, *hits])),
                     ],
-                    names=["class", "keys", "grams"],
+                    names=["class", "key"],
                 )
 
     return run
 
 
+def _wanted_sets(rule: Rule, wanted: Broadcast) -> Callable[[Batches], Batches]:
+    """The sets of the classes that may be wanted; a class once a batch."""
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            for names, sets in _new_sets(batch, rule):
+                names = np.array(names, dtype=np.int64)
+                pick = np.flatnonzero(sieve.passes(wanted.value, names.view(np.uint64)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names[pick]), pa.array([sets[i].tobytes() for i in pick], type=pa.binary())],
+                    names=["class", "grams"],
+                )
+
+    return run
+
+
+def _new_sets(batch: pa.RecordBatch, rule: Rule) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Names and sets of the classes that a batch has, empty ones left out."""
+    seen: set[int] = set()
+    for _, sets in text_sets(batch, rule):
+        names, new = [], []
+        for own in sets:
+            name = set_hash(own)
+            if len(own) and name not in seen:
+                seen.add(name)
+                names.append(name)
+                new.append(own)
+        yield names, new
+
+
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """The product of two blocks of the incidence matrix: overlap counts of all their rows.
 
@@ -269,16 +288,21 @@ def links(texts: DataFrame, rule: Rule) -> DataFrame:
     shared = sieve.bitmap(
         sieve.shared_keys(texts.mapInArrow(_signature_rows(rule), "key long, owner long"))
     )
-    candidates = materialise(
-        texts.mapInArrow(_candidates(rule, shared), "class long, keys array<long>, grams binary")
+    incidence = materialise(texts.mapInArrow(_incidence(rule, shared), "class long, key long"), "incidence")
+    stars = (
+        incidence.groupBy("key")
+        .agg(F.min("class").alias("least"), F.max("class").alias("most"))
+        .where(F.col("least") < F.col("most"))
+        .drop("most")
+    )
+    edges = incidence.join(stars, "key").select(F.col("class").alias("a"), F.col("least").alias("b"))
+    component = materialise(connected(edges), "blocks")
+    wanted = sieve.bitmap(component.select(F.col("node").alias("key")))
+    candidates = (
+        texts.mapInArrow(_wanted_sets(rule, wanted), "class long, grams binary")
         .groupBy("class")
-        .agg(F.first("keys").alias("keys"), F.first("grams").alias("grams")),
-        "candidates",
+        .agg(F.first("grams").alias("grams"))
     )
-    incidence = candidates.select("class", F.explode("keys").alias("key"))
-    least = incidence.groupBy("key").agg(F.min("class").alias("least"), F.count("*").alias("n")).where("n > 1")
-    stars = incidence.join(least, "key").select(F.col("class").alias("a"), F.col("least").alias("b"))
-    component = materialise(connected(stars), "blocks")
     sizes = component.groupBy("root").agg(F.count("*").alias("size"))
     placed = (
         candidates.select("class", "grams")
