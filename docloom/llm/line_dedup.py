@@ -148,17 +148,19 @@ def _near_candidates(shared: Broadcast) -> Callable[[Batches], Batches]:
     return run
 
 
-def variants(body: str, halves: int) -> np.ndarray:
+WHOLE, LONGER, REPLACED = 0, 1, 2
+
+
+def variants(body: str, halves: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashed keys of a line's deletion neighbourhood, for those of its halves that are shared.
 
-    As the shorter line of a pair: the line itself, and the line without the character at each
-    place, with the place.  As the longer line: the line without the character at each place.
-    Places lie in the half that may differ.
+    Each key has a role.  ``WHOLE``: the line itself, as the shorter of a pair.  ``LONGER``: the
+    line without the character at each place, which pairs with a whole line.  ``REPLACED``: the
+    same with the place, which pairs with its like.  Places lie in the half that may differ.
     """
     points = np.frombuffer(body.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     sums = words.prefix_sums(words.mix(points.astype(np.uint64) + np.uint64(0x1000)), _BASE)
-    size, keys = len(points), []
-    powers, _ = words.powers(_BASE, size + 1)
+    size, found = len(points), {WHOLE: [], LONGER: [], REPLACED: []}
 
     def without(places: np.ndarray) -> np.ndarray:
         # What follows the place moves one to the left.
@@ -175,24 +177,35 @@ def variants(body: str, halves: int) -> np.ndarray:
             low, high = (left, size) if side == 0 else (0, size - (shorter - left))
             places = np.arange(low, high)
             if k == 0:
-                keys += [own, words.mix(without(places) ^ words.mix(places.astype(np.uint64) + np.uint64(1)))]
+                found[WHOLE].append(own)
+                found[REPLACED].append(words.mix(without(places) ^ words.mix(places.astype(np.uint64) + np.uint64(1))))
             else:
-                keys.append(without(places))
-    return np.unique(np.concatenate(keys)) if keys else np.empty(0, dtype=np.uint64)
+                found[LONGER].append(without(places))
+    once = {role: np.unique(np.concatenate(keys)) for role, keys in found.items() if keys}
+    if not once:
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int32)
+    roles = np.repeat(np.array(list(once), dtype=np.int32), [len(keys) for keys in once.values()])
+    return np.concatenate(list(once.values())), roles
 
 
 def _variant_rows(batches: Batches) -> Batches:
     for batch in batches:
         for row in range(0, batch.num_rows, 64):
             rows = batch.slice(row, 64)
-            keys = [
+            found = [
                 variants(body, halves)
                 for body, halves in zip(rows.column("body").to_pylist(), rows.column("halves").to_pylist(), strict=True)
             ]
-            at = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
+            keys, roles = (np.concatenate(part) for part in zip(*found, strict=True))
+            at = pa.array(np.repeat(np.arange(len(found)), [len(k) for k, _ in found]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(words.signed(np.concatenate(keys))), rows.column("name").take(at), rows.column("first").take(at)],
-                names=["key", "name", "first"],
+                [
+                    pa.array(words.signed(keys)),
+                    pa.array(roles),
+                    rows.column("name").take(at),
+                    rows.column("first").take(at),
+                ],
+                names=["key", "role", "name", "first"],
             )
 
 
@@ -211,15 +224,32 @@ def near_lines(texts: DataFrame) -> DataFrame:
     )
     first = candidates.schema["first"].dataType.simpleString()
     keys = candidates.select("name", "halves", "body", "first").mapInArrow(
-        _variant_rows, f"key long, name long, first {first}"
+        _variant_rows, f"key long, role int, name long, first {first}"
     )
+    line = F.struct("first", "name")
     earliest = (
         keys.groupBy("key")
-        .agg(F.min(F.struct("first", "name")).alias("least"), F.max("first").alias("last"))
-        .where(F.col("least.first") < F.col("last"))
-        .select("key", F.col("least.first").alias("before"), F.col("least.name").alias("partner"))
+        .agg(
+            *[F.min(F.when(F.col("role") == role, line)).alias(f"least_{role}") for role in (WHOLE, LONGER, REPLACED)],
+            F.min("first").alias("least"),
+            F.max("first").alias("most"),
+        )
+        .where(F.col("least") < F.col("most"))
+        .drop("least", "most")
+    )
+    # Two lines that are longer than one and the same are no pair: a line meets the other role only.
+    other = (
+        F.when(F.col("role") == WHOLE, F.col(f"least_{LONGER}"))
+        .when(F.col("role") == LONGER, F.col(f"least_{WHOLE}"))
+        .otherwise(F.col(f"least_{REPLACED}"))
+    )
+    pairs = (
+        keys.join(earliest, "key")
+        .withColumn("other", other)
+        .where(F.col("other.first") < F.col("first"))
+        .select("name", F.col("other.name").alias("partner"))
+        .distinct()
     )
-    pairs = keys.join(earliest, "key").where(F.col("before") < F.col("first")).select("name", "partner").distinct()
     bodies = candidates.select("name", "body")
     verified = (
         pairs.join(bodies, "name")

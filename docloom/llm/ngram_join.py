@@ -366,5 +366,7 @@ def keep_first(documents: DataFrame, rule: Rule | None = None) -> DataFrame:
         .select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
         .distinct()
     )
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_hash"))
+    same = documents["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (
+        F.xxhash64(documents["text"]) == gone["gone_hash"]
+    )
     return documents.join(gone, same, "left_anti")
