@@ -20,7 +20,7 @@ from docloom.session import materialise
 EXTRACTABLE = [MIME_DOCUMENT, MIME_SPREADSHEET, MIME_PRESENTATION]
 
 
-def expand(transports: DataFrame, files: DataFrame, max_depth: int = 50) -> DataFrame:
+def expand(transports: DataFrame, files: DataFrame) -> DataFrame:
     """Files reached from every transport: ``content_id, metadata, id, mime_type, failure``.
 
     Documents, sheets and slides are results, folders are searched in turn, other known
@@ -47,17 +47,15 @@ def expand(transports: DataFrame, files: DataFrame, max_depth: int = 50) -> Data
         .join(files.select(F.col("id").alias("root"), "mime_type"), "root", "left"),
         "crawl",
     )
-    folder_rows = files.filter(is_folder).select("id", "parent_id")
+    folder_rows = materialise(files.filter(is_folder).select("id", "parent_id"), "crawl")
     folders = roots.filter(is_folder).select("root", F.col("root").alias("id"))
     seen = folders
-    for _ in range(max_depth):
+    while True:
         below = folder_rows.join(folders.withColumnRenamed("id", "parent_id"), "parent_id").select("root", "id")
         folders = materialise(below.join(seen, ["root", "id"], "left_anti"), "crawl")
         if folders.isEmpty():
             break
         seen = seen.unionByName(folders)
-    else:
-        raise ValueError(f"folders are nested deeper than {max_depth} levels; raise max_depth")
 
     inside = (
         files.filter(~is_folder)

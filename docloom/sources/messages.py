@@ -42,7 +42,9 @@ def stream_kafka_messages(spark: SparkSession, servers: str, topic: str) -> Data
 
 def publish(messages: DataFrame, folder: str) -> None:
     """Append messages; a stream over the same folder picks them up."""
-    messages.select("ts", "payload", "attributes").write.mode("append").json(folder)
+    messages.select("ts", "payload", "attributes").write.mode("append").option(
+        "timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+    ).json(folder)
 
 
 def publish_kafka(messages: DataFrame, servers: str, topic: str) -> None:
