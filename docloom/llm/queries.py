@@ -15,6 +15,7 @@ from docloom.llm import (
     line_rules,
     ngram_join,
     quality,
+    sql,
     substring_dedup,
     token_counts,
     warc,
@@ -24,7 +25,13 @@ from docloom.session import configure
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_line_rules": sql.LINE_RULES,
+    "op7_warc": sql.ARCHIVES,
+    "op8_decontaminate": sql.PASSAGES,
+    "op9_substring_dedup": sql.REPEATS,
+    "op10_ngram_join": sql.LINKED,
+}
 
 #: The vocabulary file; the same path on all workers.
 VOCABULARY = os.environ.get("BPE_VOCABULARY") or "byte_bpe_50k.json"
