@@ -602,11 +602,16 @@ def document_key(spark, sf_dir):
     )
 
 
-@query("C21_document_key_accents")
+@query(
+    "C21_document_key_accents",
+    r"""SELECT doc_id, lower(regexp_replace(regexp_replace(strip_accents(text), ' +', '_', 'g'), '[\[\]()\n\r]', '', 'g'))
+    || '___f' || doc_id AS key FROM documents""",
+)
 def document_key_accents(spark, sf_dir):
-    """Keys from the texts themselves as titles; decomposed accents have no SQL counterpart."""
+    """Keys from the texts themselves as titles, their decomposed accents taken off."""
+    key = keys.new_doc_key(F.col("text"), inputs.file_id())
     return inputs.given(spark, sf_dir, "documents").select(
-        "doc_id", keys.new_doc_key(F.col("text"), inputs.file_id()).alias("key")
+        "doc_id", F.regexp_replace(key, r"\p{M}", "").alias("key")
     )
 
 
@@ -835,7 +840,7 @@ def one_result_per_window(spark, sf_dir):
 def deduplicate_ids_stream(spark, sf_dir):
     """Ids of one micro-batch within the window, then over the whole table."""
     ids = event_stream(spark, sf_dir).select("ts", F.col("user_id").cast("string").alias("id"))
-    return run_stream(spark, jobs.deduplicate(ids), "f06").select("id").distinct()
+    return run_stream(spark, jobs.deduplicate(ids), "f06").select("id")
 
 
 @query(

@@ -125,4 +125,3 @@ CHUNK_MAX_TOKENS = 2048
 VECTOR_DIMENSIONS = 768
 VECTORS_PER_LEAF = 1000
 LEAF_PROBE_FRACTION = 0.10
-APPROXIMATE_CANDIDATES = 150

@@ -51,10 +51,17 @@ def file_id(key: Column) -> Column:
 def owner(key: Column) -> Column:
     """What a chunk belongs to whatever its title: the file id, or the reference itself.
 
-    A renamed file keeps its owner, so its old chunks are found again.
+    A renamed file keeps its owner, so its old chunks are found again.  Where a title or an id
+    holds the separator itself, the parts don't tell which is the id: then everything before the
+    chunk position is the owner, which no other document shares.
     """
     parts = key_parts(key)
-    return F.when(F.size(parts) == 3, F.get(parts, F.lit(1))).otherwise(F.get(parts, F.lit(0)))
+    whole = F.concat_ws(KEY_SEPARATOR, F.slice(parts, 1, F.size(parts) - 1))
+    return (
+        F.when(F.size(parts) == 3, F.get(parts, F.lit(1)))
+        .when(F.size(parts) > 3, whole)
+        .otherwise(F.get(parts, F.lit(0)))
+    )
 
 
 def chunk_key(document_key: Column, position: Column) -> Column:

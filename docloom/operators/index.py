@@ -250,16 +250,24 @@ def refresh_requests(content: DataFrame, files: DataFrame, now: Column, period:
 # --- bucketed tables on disk ---------------------------------------------------
 
 BUCKETS = 256
+#: Folder inside a bucketed table that holds its bucket count; readers of the table skip it.
+LAYOUT = "_layout"
 
 
-def bucket_of(row_key: Column, buckets: int = BUCKETS) -> Column:
+def bucket_count(spark: SparkSession, path: str) -> int:
+    """The number of buckets a table was written with."""
+    return spark.read.parquet(f"{path}/{LAYOUT}").first().buckets
+
+
+def bucket_of(row_key: Column, buckets: int) -> Column:
     """All rows of one owner share a bucket."""
     return F.pmod(F.xxhash64(keys.owner(row_key)), F.lit(buckets)).cast("int")
 
 
 def write_bucketed(rows: DataFrame, path: str, key: str = "row_key", buckets: int = BUCKETS) -> None:
-    """Write a table partitioned by a hash of the owner.
+    """Write a table, replacing it as a whole, partitioned by a hash of the owner.
 
+    The number of buckets is written beside the rows, so that later change sets use the same.
     The rebalance hint lets adaptive execution cut a bucket that holds a huge document
     over several tasks, and join small buckets.
     """
@@ -267,10 +275,12 @@ def write_bucketed(rows: DataFrame, path: str, key: str = "row_key", buckets: in
         rows.withColumn("bucket", bucket_of(F.col(key), buckets))
         .hint("rebalance", "bucket")
         .write.partitionBy("bucket")
-        .option("partitionOverwriteMode", "dynamic")
+        .option("partitionOverwriteMode", "static")
         .mode("overwrite")
         .parquet(path)
     )
+    layout = rows.sparkSession.range(1).select(F.lit(buckets).alias("buckets"))
+    layout.write.mode("overwrite").parquet(f"{path}/{LAYOUT}")
 
 
 def rewrite_buckets(
@@ -279,7 +289,6 @@ def rewrite_buckets(
     touched_keys: DataFrame,
     change: Callable[[DataFrame], DataFrame],
     key: str = "row_key",
-    buckets: int = BUCKETS,
 ) -> None:
     """Apply ``change(old rows) -> new rows`` to the buckets of the touched keys only.
 
@@ -287,6 +296,7 @@ def rewrite_buckets(
     the shared folder before any bucket is replaced: the table is never read and
     overwritten at once, and a failed run can simply be repeated.
     """
+    buckets = bucket_count(spark, path)
     listed = touched_keys.select(bucket_of(F.col("row_key"), buckets).alias("b")).distinct()
     touched = [row.b for row in listed.collect()]
     if not touched:

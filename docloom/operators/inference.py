@@ -82,9 +82,18 @@ def _with_fields(df: DataFrame, *fields: T.StructField) -> T.StructType:
 
 
 def embed_texts(
-    df: DataFrame, text: str = "chunk", embed: Embed | None = None, max_tokens: int = CHUNK_MAX_TOKENS
+    df: DataFrame,
+    text: str = "chunk",
+    embed: Embed | None = None,
+    max_tokens: int = CHUNK_MAX_TOKENS,
+    auto_truncate: bool = True,
 ) -> DataFrame:
-    """Add ``embedding``, ``token_count``, ``truncated`` and ``embed_error`` to every row."""
+    """Add ``embedding``, ``token_count``, ``truncated`` and ``embed_error`` to every row.
+
+    Only the first ``max_tokens`` tokens of a longer text reach the model, unless
+    ``auto_truncate`` is off.  A batch that fails is asked again row by row, so that one bad
+    text costs its own row only.
+    """
     embed = embed or hashing_embedder()
     schema = _with_fields(
         df,
@@ -98,18 +107,37 @@ def embed_texts(
         for batch in batches:
             texts = batch[text].fillna("").tolist()
             counts = [len(t.split()) for t in texts]
-            batch = batch.assign(
-                embedding=None, token_count=counts, truncated=[c > max_tokens for c in counts], embed_error=None
-            )
-            try:
-                batch["embedding"] = list(np.asarray(embed(texts), dtype=np.float32))
-            except Exception as error:  # noqa: BLE001 - any model failure is data here
-                batch["embed_error"] = f"{type(error).__name__}: {error}"
-            yield batch[schema.names]
+            cut = [auto_truncate and c > max_tokens for c in counts]
+            texts = [" ".join(t.split()[:max_tokens]) if c else t for t, c in zip(texts, cut, strict=True)]
+            vectors, failures = _embed_each(embed, texts)
+            yield batch.assign(
+                embedding=pd.Series(vectors, index=batch.index, dtype=object),
+                token_count=counts,
+                truncated=cut,
+                embed_error=pd.Series(failures, index=batch.index, dtype=object),
+            )[schema.names]
 
     return df.mapInPandas(run, schema)
 
 
+def _embed_each(embed: Embed, texts: list[str]) -> tuple[list[np.ndarray | None], list[str | None]]:
+    """Vectors and failures of texts: in one call, or one by one where that fails."""
+    try:
+        vectors = list(np.asarray(embed(texts), dtype=np.float32))
+        if len(vectors) != len(texts):
+            raise ValueError(f"{len(vectors)} vectors for {len(texts)} texts")
+        return vectors, [None] * len(texts)
+    except Exception as error:  # noqa: BLE001 - any model failure is data here
+        if len(texts) == 1:
+            return [None], [f"{type(error).__name__}: {error}"]
+    vectors, failures = [], []
+    for text in texts:
+        vector, failure = _embed_each(embed, [text])
+        vectors += vector
+        failures += failure
+    return vectors, failures
+
+
 def embedded(df: DataFrame) -> DataFrame:
     return df.filter(F.col("embed_error").isNull())
 

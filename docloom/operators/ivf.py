@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.fixed_values import APPROXIMATE_CANDIDATES, LEAF_PROBE_FRACTION, VECTORS_PER_LEAF
+from docloom.fixed_values import LEAF_PROBE_FRACTION, VECTORS_PER_LEAF
 from docloom.functions.vectors import unit
 from docloom.operators.blocks import Best, matrix, scan
 from docloom.operators.search import (
@@ -32,24 +32,16 @@ from docloom.session import materialise
 
 #: Upper bound of leaves: their centres are handed to every task.
 MAX_LEAVES = 4096
-TRAINING_ROWS_PER_LEAF = 256
 
 
 def train(
     vectors: DataFrame, per_leaf: int = VECTORS_PER_LEAF, max_leaves: int = MAX_LEAVES, seed: int = 42
 ) -> DataFrame:
-    """Leaf centres ``leaf, centre`` from k-means.
-
-    Only the centres are learnt from a sample when the table is large; every vector is
-    assigned to a leaf afterwards.
-    """
+    """Leaf centres ``leaf, centre`` from k-means over all vectors."""
     rows = vectors.count()
     leaves = max(1, min(max_leaves, math.ceil(rows / per_leaf)))
     spark = vectors.sparkSession
     points = vectors.select(array_to_vector(unit(F.col("embedding"))).alias("features"))
-    wanted = leaves * TRAINING_ROWS_PER_LEAF
-    if rows > 2 * wanted:
-        points = points.sample(fraction=wanted / rows, seed=seed)
     model = KMeans(k=leaves, seed=seed, maxIter=20).fit(points)
     centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     return spark.createDataFrame(centres, "leaf int, centre array<double>")
@@ -134,20 +126,17 @@ def search(
     metric: str = "cosine",
     min_score: float | None = None,
     probe_fraction: float = LEAF_PROBE_FRACTION,
-    candidates: int = APPROXIMATE_CANDIDATES,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Nearest vectors among the leaves closest to each query.
 
     A query batch of bounded size is shared with the tasks that read the probed leaves; a
     greater one meets the vectors by equality of the leaf.  Scores inside a leaf are
-    exact, so the candidates need no second ranking; a query may want up to
-    ``candidates`` of them.
+    exact, so the candidates need no second ranking; a query gets as many as it wants, as
+    far as its leaves hold them.
     """
     _check_metric(metric)
     rows, dimensions, k = _greatest_k(queries)
-    if k > candidates:
-        raise ValueError(f"a query wants {k} neighbours, the index returns {candidates} at most")
     probes = max(1, math.ceil(leaves.count() * probe_fraction))
     probed = materialise(_nearest_leaves(queries.select("query_pos", "embedding"), leaves, probes), "probes")
     if rows * (dimensions + probes) * 8 <= broadcast_bytes:

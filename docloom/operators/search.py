@@ -13,7 +13,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.fixed_values import (
-    APPROXIMATE_CANDIDATES,
     LEAF_PROBE_FRACTION,
     MAX_NEIGHBORS,
     MIN_SCORE,
@@ -234,7 +233,6 @@ class VectorIndex:
     mode: str = "exact"
     leaves: DataFrame | None = None
     probe_fraction: float = LEAF_PROBE_FRACTION
-    candidates: int = APPROXIMATE_CANDIDATES
 
     def __post_init__(self) -> None:
         _check_metric(self.metric)
@@ -250,7 +248,7 @@ class VectorIndex:
         from docloom.operators import ivf
 
         return ivf.search(
-            queries, vectors, self.leaves, self.metric, min_score, self.probe_fraction, self.candidates
+            queries, vectors, self.leaves, self.metric, min_score, self.probe_fraction
         )
 
     def store(self, rows: DataFrame) -> VectorIndex:
@@ -268,5 +266,5 @@ class VectorIndex:
 
     def _with(self, vectors: DataFrame) -> VectorIndex:
         return VectorIndex(
-            vectors, self.metric, self.mode, self.leaves, self.probe_fraction, self.candidates
+            vectors, self.metric, self.mode, self.leaves, self.probe_fraction
         )

@@ -73,7 +73,8 @@ def contents_of_messages(messages: DataFrame, store: FileStore, ascii_titles: bo
 def index_rows(contents: DataFrame, models: Models | None = None) -> tuple[DataFrame, DataFrame]:
     """Chunks with vectors and links, and what failed on the way: ``stage, key, failure``.
 
-    A document asked for twice is indexed once.
+    A document asked for twice is indexed once.  A document of which any part failed is withheld
+    as a whole, so that what is stored of it stays.
     """
     models = models or Models()
     once = contents.groupBy("key").agg(
@@ -89,8 +90,12 @@ def index_rows(contents: DataFrame, models: Models | None = None) -> tuple[DataF
     embedded = materialise(
         inference.embed_texts(texts.unionByName(linked), "chunk", models.embed), "embedded"
     )
+    broken = parsed.filter("chunks IS NULL").select("key").unionByName(
+        inference.embed_failures(embedded).select("key")
+    )
+    whole = inference.embedded(embedded).join(broken, "key", "left_anti")
     # the file's MIME type came along on every row, so the link needs no lookup
-    rows = index.indexable(inference.embedded(embedded), "mime_type").withColumn(
+    rows = index.indexable(whole, "mime_type").withColumn(
         "link", index.source_link(F.col("row_key"), F.col("mime_type"))
     )
     failed = (
@@ -133,20 +138,17 @@ def ingest_messages(
     return Ingested(contents, rows, failures.unionByName(model_errors(failed)))
 
 
-def store_rows(
-    rows: DataFrame, vectors_path: str, cells_path: str, now: Column, buckets: int = index.BUCKETS
-) -> None:
+def store_rows(rows: DataFrame, vectors_path: str, cells_path: str, now: Column) -> None:
     """Bring both tables up to date with the new rows: stale keys go, new ones come.
 
     Old and new rows of a document share a bucket, also when the document was renamed, so
-    only the touched buckets are read and written.  ``buckets`` is fixed when the tables
-    are created; choose it so that one bucket is a few gigabytes.
+    only the touched buckets are read and written.
     """
     spark = rows.sparkSession
     rows = materialise(rows, "rows")
     touched = rows.select("row_key")
     index.rewrite_buckets(
-        spark, vectors_path, touched, lambda old: index.replace_vectors(old, rows), "id", buckets
+        spark, vectors_path, touched, lambda old: index.replace_vectors(old, rows), "id"
     )
     cells = index.content_cells(rows, now)
 
@@ -154,13 +156,13 @@ def store_rows(
         stale = index.stale_keys(old, rows)
         return index.keep_versions(index.apply_to_cells(old, cells, stale))
 
-    index.rewrite_buckets(spark, cells_path, touched, change, "row_key", buckets)
+    index.rewrite_buckets(spark, cells_path, touched, change, "row_key")
 
 
 def create_stores(
     rows: DataFrame, vectors_path: str, cells_path: str, now: Column, buckets: int = index.BUCKETS
 ) -> None:
-    """First load of both tables."""
+    """First load of both tables; choose ``buckets`` so that one bucket is a few gigabytes."""
     vectors = index.latest_vectors(rows.select(F.col("row_key").alias("id"), "embedding"))
     index.write_bucketed(vectors, vectors_path, "id", buckets)
     index.write_bucketed(index.content_cells(rows, now), cells_path, "row_key", buckets)

@@ -1,6 +1,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from docloom.catalog import QUERIES, SQL
 from tests.compare import connect, difference, rows_of_spark, rows_of_sql
 
 SF = "/root/testdata/sf0.001"
@@ -12,15 +13,13 @@ def con():
 
 
 def test_every_query_has_sql_but_for_those_it_cannot_express():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {
-        "C21_document_key_accents", "G04_ivf_search", "S05_session_state",
-    }
+    assert set(QUERIES) - set(SQL) == {"G04_ivf_search"}
 
 
 SAMPLE = [
     "A06_content_by_key", "B06_rewrite_buckets", "C02_route_requests", "C14_expand_folders", "C16_extract_by_type",
     "E03_classify_failures", "F04_apply_to_cells", "G02_exact_search", "H05_last_exchanges", "H21_answer_questions",
-    "I05_delete_documents", "M03_chunk_texts", "S01_minute_windows",
+    "I05_delete_documents", "M03_chunk_texts", "S01_minute_windows", "S05_session_state",
 ]
 
 
@@ -30,16 +29,5 @@ def test_query_equals_its_sql(spark, con, name):
     assert difference(rows_of_spark(entry.queries()[name](spark, SF)), rows_of_sql(con, entry.oracle_sql()[name])) is None
 
 
-def test_session_state_keeps_what_the_batch_rule_keeps(spark, con):
-    got = rows_of_spark(entry.queries()["S05_session_state"](spark, SF))
-    sql = entry.oracle_sql()["B14_keep_exchanges"].split("SELECT session, epoch(ts)")[0]
-    want = rows_of_sql(
-        con,
-        sql + "SELECT session, epoch(ts)::BIGINT AS ts, exchange FROM (SELECT *, row_number() OVER "
-        "(PARTITION BY session ORDER BY ts DESC, exchange) AS rn FROM exchanges) WHERE rn <= 5",
-    )
-    assert difference(got, want) is None
-
-
 def test_entry(spark):
     assert entry.entry(spark).count() == 40

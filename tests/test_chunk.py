@@ -4,6 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docloom.operators import chunk, inference
+from docloom.plans import ingestion
 
 
 def brute_force(text, target, minimum, maximum):
@@ -83,3 +84,35 @@ def test_a_failing_model_gives_error_rows(spark):
     prompts = spark.createDataFrame([("p",), (None,)], "summary_prompt string")
     got = inference.summarise(prompts, broken).orderBy(F.col("summary_prompt").desc_nulls_last()).collect()
     assert [r.summary_error for r in got] == ["ValueError: no model", None]
+
+
+def test_one_bad_text_costs_its_own_row_and_long_texts_are_cut(spark):
+    seen = inference.hashing_embedder(8)
+
+    def picky(texts):
+        if any("poison" in t or len(t.split()) > 5 for t in texts):
+            raise ValueError("refused")
+        return seen(texts)
+
+    texts = spark.createDataFrame([("a", "one two"), ("b", "poison"), ("c", "w " * 9)], "key string, chunk string").coalesce(1)
+    got = {r.key: r for r in inference.embed_texts(texts, "chunk", picky, max_tokens=5).collect()}
+    assert got["a"].embed_error is None and len(got["a"].embedding) == 8
+    assert got["b"].embed_error == "ValueError: refused" and got["b"].embedding is None
+    assert got["c"].truncated and got["c"].token_count == 9 and got["c"].embed_error is None
+    got = {r.key: r for r in inference.embed_texts(texts, "chunk", picky, 5, auto_truncate=False).collect()}
+    assert not got["c"].truncated and got["c"].embed_error == "ValueError: refused"
+
+
+def test_a_document_with_a_failed_chunk_is_withheld(spark):
+    def picky(texts):
+        if any("poison" in t for t in texts):
+            raise ValueError("refused")
+        return inference.hashing_embedder(8)(texts)
+
+    contents = spark.createDataFrame(
+        [("good", ["Fine words."], "text/plain", None), ("bad", ["Long line. " * 2000, "poison"], "text/plain", None)],
+        "key string, content array<string>, type string, mime_type string",
+    )
+    rows, failed = ingestion.index_rows(contents, ingestion.Models(embed=picky))
+    assert {r.doc_key for r in rows.collect()} == {"good"}
+    assert {(r.key, r.stage) for r in failed.collect()} == {("bad", "embed")}

@@ -31,6 +31,14 @@ def test_a_renamed_file_takes_its_old_keys_along(spark):
     assert names(index.stale_keys(old, rows(spark, ["new___f1___0"]))) == ["old___f1___0", "old___f1___1"]
 
 
+def test_titles_with_separators_keep_to_their_own_rows(spark):
+    old = rows(spark, ["a___b___f1___0", "a___b___f1___1", "a___c___f2___0", "a___d___0"])
+    new = rows(spark, ["a___b___f1___0"])
+    assert names(index.stale_keys(old, new)) == ["a___b___f1___1"]
+    after = index.replace_vectors(old.select(F.col("row_key").alias("id"), "embedding"), new)
+    assert names(after, "id") == ["a___b___f1___0", "a___c___f2___0", "a___d___0"]
+
+
 def test_upsert_replaces_inserts_and_takes_one_of_several(spark):
     old = spark.createDataFrame([("a", [1.0]), ("b", [1.0])], "id string, embedding array<float>")
     new = spark.createDataFrame([("b", [2.0]), ("c", [3.0]), ("c", [4.0])], "id string, embedding array<float>")
@@ -90,8 +98,10 @@ def test_buckets_emptied_and_rewritten(spark, tmp_path):
     path = str(tmp_path / "t")
     index.write_bucketed(rows(spark, [f"k{i}___0" for i in range(40)]).select("row_key"), path, buckets=4)
     gone = rows(spark, [f"k{i}___0" for i in range(40)])
-    index.rewrite_buckets(spark, path, gone, lambda old: old.filter("row_key = 'k7___0'"), buckets=4)
+    index.rewrite_buckets(spark, path, gone, lambda old: old.filter("row_key = 'k7___0'"))
     assert names(spark.read.parquet(path)) == ["k7___0"]
+    index.write_bucketed(rows(spark, ["k1___0"]).select("row_key"), path, buckets=9)
+    assert names(spark.read.parquet(path)) == ["k1___0"] and index.bucket_count(spark, path) == 9
 
 
 def test_admin(spark):
