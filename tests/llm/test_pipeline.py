@@ -28,7 +28,7 @@ def test_each_stage_takes_effect(spark, tmp_path):
     rejected = {r.doc_id for r in quality.Classifier(given, labels).scores().where("not kept").collect()}
     assert ids(good) == ids(given) - rejected and rejected
     assert ids(cut) == ids(line_dedup.drop_lines(good).where("not emptied"))
-    assert ids(distinct) == {r.component_id for r in ngram_join.join_documents(cut).collect()}
+    assert ids(distinct) == {r.component_id for r in ngram_join.join_documents(cut, corpus_pipeline.NEAR).collect()}
     dirty = {r.doc_id for r in decontaminate.judge(distinct, queries.table(spark, SF, "benchmark")).where("contaminated").collect()}
     assert ids(clean) == ids(distinct) - dirty and dirty
     vocabulary = bpe.vocabulary(queries.vocabulary_path())
@@ -45,3 +45,32 @@ def test_empty_and_odd_documents_pass_all_stages(spark):
         for _, stage in corpus_pipeline.STAGES[1:]:
             docs = stage(spark, docs, SF)
         assert docs.count() == len(rows)
+        # no labelled document is among these, so the classifier has no evidence and rejects none
+        unlabelled = queries.table(spark, SF, "labels").where("false")
+        assert quality.Classifier(docs.limit(0), unlabelled).keep_good(docs).count() == len(rows)
+
+
+def test_near_copies_go_and_others_stay(spark):
+    """The pipeline's rule: runs of five words, at least 80 of 100 in common, by brute force."""
+    words = [f"w{i}" for i in range(200)]
+    changed = {n: words[:60] + [f"x{n}-{i}" for i in range(n)] + words[60 + n :] for n in (2, 9, 14, 18, 24, 40)}
+    texts = [" ".join(words), *(" ".join(own) for own in changed.values())]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def runs(text):
+        own = text.split()
+        return {tuple(own[i : i + 5]) for i in range(len(own) - 4)}
+
+    sets = [runs(text) for text in texts]
+    linked = {
+        (a, b)
+        for a in range(len(sets))
+        for b in range(a)
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    }
+    reach = {i: i for i in range(len(sets))}
+    for _ in sets:
+        for a, b in linked:
+            reach[a] = reach[b] = min(reach[a], reach[b])
+    kept = ids(ngram_join.keep_first(frame, corpus_pipeline.NEAR))
+    assert kept == {i for i, root in reach.items() if i == root} and 1 < len(kept) < len(texts)
