@@ -22,6 +22,7 @@ a component; a component of such rows alone has a null id.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,8 +38,9 @@ from docloom.session import materialise
 Batches = Iterator[pa.RecordBatch]
 
 BLOCK = 512
-#: Parts beyond those needed, for parts that are empty; deals after which an empty part is a key as well.
-SPARE_PERCENT = 3
+#: Least share of parts beyond those needed, for parts that are empty.
+LEAST_SPARE_PERCENT = 3
+#: Deals after which an empty part is a key as well.
 MOST_DEALS = 12
 
 _NONE = np.empty(0, dtype=np.int64)
@@ -49,6 +51,18 @@ class Rule:
 
     def __init__(self, gram: int = 4, percent: int = 85):
         self.gram, self.percent = gram, percent
+        self.spare_percent = LEAST_SPARE_PERCENT
+        while self.spare_percent < 100 and self._empty_percent() * 3 > self.spare_percent * 2:
+            self.spare_percent += 1
+
+    def _empty_percent(self) -> float:
+        """Share of parts expected empty for a set that is the smallest of its size band.
+
+        It is dealt for the top of the band above, where it has the fewest members a part.  Where more
+        parts are empty than are to spare a set is dealt anew, which costs as many keys again.
+        """
+        needed = 2 * (100 - self.percent) / (100 + self.percent) * (100 / self.percent) ** 2
+        return 100 * math.exp(-1 / (needed * (1 + self.spare_percent / 100)))
 
     def linked(self, overlap: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return 100 * overlap >= self.percent * (a + b - overlap)
@@ -111,7 +125,7 @@ def signatures(grams: np.ndarray, rule: Rule, bands: dict[int, int]) -> np.ndarr
     keys: list[np.ndarray] = []
     for band in (own, own + 1):
         needed = rule.differences(rule.band_top(band)) + 1
-        _deal(grams, needed, needed * SPARE_PERCENT // 100, words.mix(np.array([band], dtype=np.uint64)), keys)
+        _deal(grams, needed, needed * rule.spare_percent // 100, words.mix(np.array([band], dtype=np.uint64)), keys)
     return np.concatenate(keys)
 
 
