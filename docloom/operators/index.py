@@ -93,8 +93,11 @@ def content_cells(rows: DataFrame, now: Column) -> DataFrame:
 
 
 def latest_vectors(new: DataFrame) -> DataFrame:
-    """One row per id; among several new rows of one id the greatest vector stays."""
-    return new.groupBy("id").agg(F.max("embedding").alias("embedding"))
+    """One row per id: the newest where the rows have a ``ts``, and of equal or no times the greatest."""
+    if "ts" not in new.columns:
+        return new.groupBy("id").agg(F.max("embedding").alias("embedding"))
+    newest = new.groupBy("id").agg(F.max(F.struct("ts", "embedding")).alias("v"))
+    return newest.select("id", "v.embedding")
 
 
 def upsert_vectors(existing: DataFrame, new: DataFrame) -> DataFrame:

@@ -41,7 +41,10 @@ class Ingested:
 
 
 def contents_of_messages(messages: DataFrame, store: FileStore, ascii_titles: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Contents (with the file's MIME type, where there is one) and classified errors."""
+    """Contents (with the file's MIME type, where there is one, and their time) and classified errors.
+
+    What a message holds itself is as old as the message; files are read now.
+    """
     # written once: every branch below reads only its own columns of it, and nothing is parsed again
     routed = materialise(ingest.route(ingest.parse_requests(messages)), "routed")
     raw = ingest.raw_contents(routed)
@@ -54,11 +57,11 @@ def contents_of_messages(messages: DataFrame, store: FileStore, ascii_titles: bo
     file_mime = F.try_element_at(F.col("metadata"), F.lit(METADATA_MIME_KEY))
     contents = (
         extracted.filter("failure IS NULL")
-        .select("key", "content", "type", file_mime.alias("mime_type"))
+        .select("key", "content", "type", file_mime.alias("mime_type"), F.current_timestamp().alias("ts"))
         .unionByName(
-            ingest.contents_of(raw).unionByName(ingest.contents_of(references)).withColumn(
-                "mime_type", F.lit(None).cast("string")
-            )
+            raw.unionByName(references)
+            .filter("failure IS NULL")
+            .select("key", "content", "type", F.lit(None).cast("string").alias("mime_type"), "ts")
         )
     )
     now = F.current_timestamp().alias("ts")
@@ -73,13 +76,18 @@ def contents_of_messages(messages: DataFrame, store: FileStore, ascii_titles: bo
 def index_rows(contents: DataFrame, models: Models | None = None) -> tuple[DataFrame, DataFrame]:
     """Chunks with vectors and links, and what failed on the way: ``stage, key, failure``.
 
-    A document asked for twice is indexed once.  A document of which any part failed is withheld
+    A document asked for twice is indexed once, with its newest content where ``contents`` has a
+    ``ts`` (of contents of one time the greatest).  A document of which any part failed is withheld
     as a whole, so that what is stored of it stays.
     """
     models = models or Models()
-    once = contents.groupBy("key").agg(
-        F.max(F.struct("content", "type", "mime_type")).alias("c")
-    ).select("key", "c.*")
+    if "ts" not in contents.columns:
+        contents = contents.withColumn("ts", F.lit(None).cast("timestamp"))
+    once = (
+        contents.groupBy("key")
+        .agg(F.max(F.struct("ts", "content", "type", "mime_type")).alias("c"))
+        .select("key", "c.content", "c.type", "c.mime_type")
+    )
     strategy = chunk.chunk_strategy(F.col("type"))
     texts = chunk.chunk_texts(once, "mime_type")
     answered = inference.chunk_links(once.filter(strategy.isin("pdf", "image")), models.chunk_links)
@@ -135,7 +143,7 @@ def ingest_messages(
     contents, failures = contents_of_messages(messages, store, ascii_titles)
     contents = materialise(contents, "contents")
     rows, failed = index_rows(contents, models)
-    return Ingested(contents, rows, failures.unionByName(model_errors(failed)))
+    return Ingested(contents.drop("ts"), rows, failures.unionByName(model_errors(failed)))
 
 
 def store_rows(rows: DataFrame, vectors_path: str, cells_path: str, now: Column) -> None:

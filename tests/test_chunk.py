@@ -116,3 +116,13 @@ def test_a_document_with_a_failed_chunk_is_withheld(spark):
     rows, failed = ingestion.index_rows(contents, ingestion.Models(embed=picky))
     assert {r.doc_key for r in rows.collect()} == {"good"}
     assert {(r.key, r.stage) for r in failed.collect()} == {("bad", "embed")}
+
+
+def test_the_newest_content_of_a_key_is_indexed(spark):
+    contents = spark.createDataFrame(
+        [("doc", ["aaa new."], 2), ("doc", ["zzz old."], 1)], "key string, content array<string>, second long"
+    ).selectExpr(
+        "key", "content", "'text/plain' AS type", "cast(null AS string) AS mime_type", "timestamp_seconds(second) AS ts"
+    )
+    rows, _ = ingestion.index_rows(contents, ingestion.Models(embed=inference.hashing_embedder(8)))
+    assert [r.content for r in rows.collect()] == ["aaa new."]

@@ -44,6 +44,8 @@ def test_upsert_replaces_inserts_and_takes_one_of_several(spark):
     new = spark.createDataFrame([("b", [2.0]), ("c", [3.0]), ("c", [4.0])], "id string, embedding array<float>")
     got = sorted((r.id, r.embedding) for r in index.upsert_vectors(old, new).collect())
     assert got == [("a", [1.0]), ("b", [2.0]), ("c", [4.0])]
+    timed = new.selectExpr("id", "embedding", "timestamp_seconds(9 - embedding[0]) AS ts")
+    assert {(r.id, r.embedding[0]) for r in index.latest_vectors(timed).collect()} == {("b", 2.0), ("c", 3.0)}
 
 
 def test_versions_and_latest(spark):
