@@ -237,8 +237,8 @@ def without_seed_vector(spark, sf_dir):
 # --- H: conversations ----------------------------------------------------------
 
 
-REASON = """CASE WHEN session_id IS NULL THEN 'Session id should be present, even if empty.'
-    WHEN NOT regexp_matches(text, '\\S') THEN 'Provided query is empty.' END"""
+REASON = """CASE WHEN session_id IS NULL THEN 'The session id is missing'
+    WHEN NOT regexp_matches(text, '\\S') THEN 'The question is blank' END"""
 
 
 @query("H01_validate_questions", sql(f"SELECT request_id, {REASON} AS reason FROM questions", "questions"))

@@ -306,8 +306,8 @@ def drive_transports(spark, sf_dir):
     "C05_decode_raw_text",
     sql(
         """SELECT json_extract_string(j, '$.rawData.id') AS key, CASE WHEN doc_id % 10 = 2 THEN text END AS content,
-        CASE WHEN json_extract_string(j, '$.rawData.mimeType') <> 'text/plain' THEN 'Ingestion request not supported'
-        WHEN doc_id % 10 = 3 THEN 'Raw data is not valid base64' END AS failure
+        CASE WHEN json_extract_string(j, '$.rawData.mimeType') <> 'text/plain' THEN 'This kind of request is not served'
+        WHEN doc_id % 10 = 3 THEN 'The raw text is not base64 twice over' END AS failure
         FROM routed JOIN documents USING (doc_id) WHERE route = 'raw'""",
         "routed",
     ),
@@ -322,7 +322,7 @@ def decode_raw_text(spark, sf_dir):
     "C06_reference_contents",
     sql(
         """SELECT payload, url AS key, CASE WHEN NOT bad THEN CASE mime WHEN 'application/pdf' THEN 'link/pdf' ELSE replace(mime, 'image/', 'link/') END
-        ELSE mime END AS type, CASE WHEN bad THEN 'Ingestion request not supported' END AS failure FROM (
+        ELSE mime END AS type, CASE WHEN bad THEN 'This kind of request is not served' END AS failure FROM (
         SELECT *, min(CASE WHEN bad THEN i END) OVER (PARTITION BY payload) AS first_bad FROM (
         SELECT payload, url, mime, i, mime NOT IN ('application/pdf', 'image/png', 'image/jpeg', 'image/webp') AS bad FROM (
         SELECT payload, unnest(json_extract_string(j, '$.references[*].url')) AS url,
@@ -366,7 +366,7 @@ def known_mime_types(spark, sf_dir):
     "C09_validate_requests",
     sql(
         """SELECT payload, route NOT IN ('malformed', 'unsupported') AS valid, CASE WHEN route IN ('malformed', 'unsupported')
-        THEN 'At least a drive file, raw data or location reference should be provided.' END AS reason FROM routed""",
+        THEN 'The request names no file, no raw text and no reference' END AS reason FROM routed""",
         "routed",
     ),
 )
@@ -379,8 +379,8 @@ def validate_requests(spark, sf_dir):
     """SELECT id AS "documentId", CASE WHEN reason IS NULL THEN '{"rawData":{"id":"' || id || '","data":"' || to_base64(data) ||
     '","mimeType":"' || mime || '"}}' END AS payload, reason FROM (SELECT *, CASE WHEN id IS NULL OR NOT regexp_matches(id, '\\S')
     OR data IS NULL OR mime IS NULL OR NOT regexp_matches(mime, '\\S')
-    THEN 'The request should have a valid and not empty id, content and mime type.'
-    WHEN mime = 'application/zip' THEN 'Invalid type: application/zip' END AS reason FROM (
+    THEN 'Id, content or type of the upload is missing'
+    WHEN mime = 'application/zip' THEN 'Unknown upload type: application/zip' END AS reason FROM (
     SELECT CASE WHEN doc_id % 5 = 1 THEN ' ' ELSE 'up' || doc_id END AS id, CASE WHEN doc_id % 5 <> 2 THEN encode(text) END AS data,
     CASE doc_id % 5 WHEN 3 THEN '' WHEN 4 THEN 'application/zip' ELSE 'text/plain' END AS mime FROM documents))""",
 )
@@ -457,7 +457,7 @@ REACHED = """tree AS (SELECT 'root' AS id, 'root' AS path UNION ALL SELECT f.id,
     + ", "
     + REACHED.format(folder=MIME_FOLDER)
     + f""" SELECT f.id, f.mime_type, CASE WHEN f.mime_type NOT IN {tuple(FILE_MIME_TYPES)}
-    THEN 'MimeType value not recognized: ' || f.mime_type END AS failure FROM files f JOIN (SELECT DISTINCT id FROM tree) t ON f.parent_id = t.id
+    THEN 'Unknown file type: ' || f.mime_type END AS failure FROM files f JOIN (SELECT DISTINCT id FROM tree) t ON f.parent_id = t.id
     WHERE f.mime_type IN {tuple(crawl.EXTRACTABLE)}
     OR f.mime_type NOT IN {tuple(FILE_MIME_TYPES)}""",
 )
@@ -475,7 +475,7 @@ def expand_folders(spark, sf_dir):
     "C14_expand_requests",
     sql(
         f"""SELECT content_id, f.id, f.mime_type, CASE WHEN r.root IS NULL THEN 'The link holds no file id'
-        WHEN f.mime_type NOT IN {tuple(FILE_MIME_TYPES)} THEN 'MimeType value not recognized: ' || f.mime_type END AS failure FROM (
+        WHEN f.mime_type NOT IN {tuple(FILE_MIME_TYPES)} THEN 'Unknown file type: ' || f.mime_type END AS failure FROM (
         SELECT content_id, CASE WHEN contains(content_id, '/document/d/') THEN regexp_extract(content_id, '/document/d/([^/?]*)', 1)
         WHEN starts_with(content_id, 'http') THEN NULL ELSE content_id END AS root FROM transports) r
         LEFT JOIN files f ON f.id = r.root WHERE f.mime_type IS NULL OR NOT contains(f.mime_type, 'drawing')""",
@@ -533,7 +533,7 @@ def _extracted(spark, sf_dir):
     sql(
         """SELECT 'f' || doc_id AS content_id, lower(source || '_doc_' || lang || '_no_' || doc_id) || '___f' || doc_id AS key,
         CASE WHEN doc_id % 7 < 5 THEN coalesce(n, 0) END::BIGINT AS lines, CASE WHEN doc_id % 7 < 5 THEN coalesce(chars, 0) END::BIGINT AS chars,
-        CASE WHEN doc_id % 7 >= 5 THEN 'Not supported mime-type: ' || CASE WHEN doc_id % 7 = 5 THEN 'application/vnd.google-apps.drawing'
+        CASE WHEN doc_id % 7 >= 5 THEN 'Files of this type are not read: ' || CASE WHEN doc_id % 7 = 5 THEN 'application/vnd.google-apps.drawing'
         ELSE 'application/vnd.google-apps.unknown' END END AS failure FROM documents LEFT JOIN (
         SELECT doc_id, count(*) AS n, sum(length(line)) AS chars FROM (
         SELECT doc_id, line FROM doc_lines WHERE doc_id % 7 < 3 UNION ALL SELECT doc_id, line FROM sheet_lines WHERE doc_id % 7 = 3
@@ -669,12 +669,12 @@ def _failures(spark, sf_dir):
 
 FAILURES = f"""failed AS (
     SELECT 'id' AS stage, content_id, CASE WHEN contains(content_id, 'settings') THEN 'The link holds no file id'
-        ELSE 'MimeType value not recognized: application/x-other' END AS message, retries FROM transports
+        ELSE 'Unknown file type: application/x-other' END AS message, retries FROM transports
         WHERE contains(content_id, 'settings') OR doc_id % 7 = 6
     UNION ALL SELECT 'message', payload, CASE WHEN route = 'malformed' THEN 'Malformed request'
-        WHEN doc_id % 10 = 3 THEN 'Raw data is not valid base64' ELSE 'Ingestion request not supported' END, NULL FROM routed
+        WHEN doc_id % 10 = 3 THEN 'The raw text is not base64 twice over' ELSE 'This kind of request is not served' END, NULL FROM routed
         WHERE doc_id % 10 IN (3, 4, 6, 8, 9)
-    UNION ALL SELECT 'content', 'f' || doc_id, 'Not supported mime-type: ' || CASE WHEN doc_id % 7 = 5
+    UNION ALL SELECT 'content', 'f' || doc_id, 'Files of this type are not read: ' || CASE WHEN doc_id % 7 = 5
         THEN 'application/vnd.google-apps.drawing' ELSE '{MIME_UNKNOWN}' END, doc_id % 205 FROM documents WHERE doc_id % 7 >= 5)"""
 FAILED = sql("", "transports", "routed").rstrip() + ", " + FAILURES
 

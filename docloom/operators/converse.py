@@ -32,9 +32,9 @@ def validate_questions(questions: DataFrame) -> DataFrame:
     """Add ``reason``, null for a usable question."""
     return questions.withColumn(
         "reason",
-        F.when(F.col("session_id").isNull(), "Session id should be present, even if empty.")
-        .when(F.col("text").isNull(), "A valid question should be provided.")
-        .when(is_blank(F.col("text")), "Provided query is empty."),
+        F.when(F.col("session_id").isNull(), "The session id is missing")
+        .when(F.col("text").isNull(), "The question is missing")
+        .when(is_blank(F.col("text")), "The question is blank"),
     )
 
 

@@ -73,7 +73,7 @@ def expand(transports: DataFrame, files: DataFrame) -> DataFrame:
             "id",
             "mime_type",
             F.when(F.col("mime_type").isNull(), "No such file")
-            .when(~known, F.concat(F.lit("MimeType value not recognized: "), F.col("mime_type")))
+            .when(~known, F.concat(F.lit("Unknown file type: "), F.col("mime_type")))
             .alias("failure"),
         )
     )

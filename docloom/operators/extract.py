@@ -115,7 +115,7 @@ def extract_contents(
         new_doc_key(F.col("name"), F.col("content_id"), ascii_titles).alias("key"),
         "content",
         F.lit("text/plain").alias("type"),
-        F.when(~supported, F.concat(F.lit("Not supported mime-type: "), F.col("mime_type")))
+        F.when(~supported, F.concat(F.lit("Files of this type are not read: "), F.col("mime_type")))
         .when(F.col("content").isNull() | F.col("name").isNull(), "No such body")
         .alias("failure"),
     )

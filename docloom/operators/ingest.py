@@ -75,7 +75,7 @@ def validate_requests(requests: DataFrame) -> DataFrame:
     )
     return requests.withColumn("valid", present).withColumn(
         "reason",
-        F.when(~present, "At least a drive file, raw data or location reference should be provided."),
+        F.when(~present, "The request names no file, no raw text and no reference"),
     )
 
 
@@ -94,8 +94,8 @@ def uploads_to_requests(uploads: DataFrame) -> DataFrame:
     return uploads.select(
         "documentId",
         F.when(complete & is_ingestion_mime(F.col("mimeType")), F.to_json(body)).alias("payload"),
-        F.when(~complete, "The request should have a valid and not empty id, content and mime type.")
-        .when(~is_ingestion_mime(F.col("mimeType")), F.concat(F.lit("Invalid type: "), F.col("mimeType")))
+        F.when(~complete, "Id, content or type of the upload is missing")
+        .when(~is_ingestion_mime(F.col("mimeType")), F.concat(F.lit("Unknown upload type: "), F.col("mimeType")))
         .alias("reason"),
     )
 
@@ -135,8 +135,8 @@ def raw_contents(routed: DataFrame, decode_rounds: int = 2) -> DataFrame:
         "key",
         F.when(F.col("text").isNotNull(), F.array("text")).alias("content"),
         "type",
-        F.when(F.col("type").isNull() | (F.col("type") != "text/plain"), "Ingestion request not supported")
-        .when(F.col("text").isNull(), "Raw data is not valid base64")
+        F.when(F.col("type").isNull() | (F.col("type") != "text/plain"), "This kind of request is not served")
+        .when(F.col("text").isNull(), "The raw text is not base64 twice over")
         .alias("failure"),
     )
 
@@ -159,7 +159,7 @@ def reference_contents(routed: DataFrame) -> DataFrame:
         F.col("ref.url").alias("key"),
         F.when(ok, F.array("ref.url")).alias("content"),
         F.coalesce(link_mime(F.col("ref.mimeType")), F.col("ref.mimeType")).alias("type"),
-        F.when(~ok, "Ingestion request not supported").alias("failure"),
+        F.when(~ok, "This kind of request is not served").alias("failure"),
     )
 
 
@@ -174,7 +174,7 @@ def message_failures(routed: DataFrame, *failed: DataFrame) -> DataFrame:
         F.lit("message").alias("stage"),
         F.col("payload").alias("element"),
         F.when(F.col("route") == "malformed", "Malformed request")
-        .otherwise("Ingestion request not supported")
+        .otherwise("This kind of request is not served")
         .alias("message"),
     )
     for branch in failed:

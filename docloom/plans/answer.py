@@ -115,7 +115,7 @@ def answer(
         "summary_error",
         "embed_error",
         "chat_error",
-        F.when(F.col("answer").isNull(), F.lit("Problems capturing response.")),
+        F.when(F.col("answer").isNull(), F.lit("The model gave no answer")),
     )
     results = said.select(
         "request_id",

@@ -110,7 +110,7 @@ def index_rows(contents: DataFrame, models: Models | None = None) -> tuple[DataF
         chunk.unchunkable(once)
         .unionByName(
             parsed.filter("chunks IS NULL").select(
-                "key", F.coalesce("chunk_error", F.lit("Error while parsing response from model.")).alias("failure")
+                "key", F.coalesce("chunk_error", F.lit("The model answer is no list of chunks")).alias("failure")
             )
         )
         .withColumn("stage", F.lit("chunk"))

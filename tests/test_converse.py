@@ -85,7 +85,7 @@ def test_whole_answer(spark):
     assert [t.content for t in got["1"].turns] == ["old question", "old answer", "where do apples grow"]
     assert got["1"].summary.startswith("Summary ") and got["2"].summary == ""
     assert got["2"].answer == NEGATIVE_ANSWER and got["2"].source_links == []
-    assert got["3"].failure == "Provided query is empty." and got["4"].failure.startswith("Session id")
+    assert got["3"].failure == "The question is blank" and got["4"].failure.startswith("The session id")
 
     def failing(prompts, turns, parameters):
         raise RuntimeError("down")
