@@ -1,9 +1,8 @@
 """License notices in texts: ordered signature rules with a keyword gate.
 
-A text is turned into lower-case words parted by single spaces.  Each rule is a regular expression
-over that form with a keyword; only rules whose keyword is among the text's words are tried, and
-only texts with one of the gate's stems are turned into words at all.  Detections are intervals
-of words.  One that lies within an interval of higher priority, or of equal priority that starts
+Every text is turned into lower-case words parted by single spaces.  Each rule is a regular
+expression over that form with a keyword; only rules whose keyword is among the text's words are
+tried.  Detections are intervals of words.  One that lies within an interval of higher priority, or of equal priority that starts
 earlier or is longer, is suppressed.  Everything is DataFrame functions without a shuffle.
 
 Defined cases: null and empty texts have no words, no labels and score 0; equal rows are judged
@@ -24,9 +23,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Stems of which a text must have one for any rule to apply.
-GATE = ["licen", "rights reserved", "public domain", "copyright", "creative commons", "spdx", "cc by", "cc-by", "cc0", "unlicense"]
-
 #: label: (keyword, how the license is called, versions).
 FAMILIES = {
     "mit": ("mit", "mit|expat|x11", ""),
@@ -230,17 +226,15 @@ def _suppress(found: Column) -> Column:
 def scan(documents: DataFrame) -> DataFrame:
     """Per document the contract's columns, and how many detections stay."""
     text = F.coalesce("text", F.lit(""))
-    folded = F.lower(text)
-    gated = reduce(lambda a, b: a | b, [F.contains(folded, F.lit(stem)) for stem in GATE])
     words = sorted({keyword for keyword, *_ in rules()})
     known = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"),
-        F.when(gated, normal_text(text)).alias("normal"),
+        normal_text(text).alias("normal"),
     )
     known = known.withColumn(
         "keywords",
-        F.array_intersect(F.array(*map(F.lit, words)), F.split(F.coalesce("normal", F.lit("")), " ")),
+        F.array_intersect(F.array(*map(F.lit, words)), F.split("normal", " ")),
     ).withColumn("rules", _rule_table())
     known = known.withColumn("swept", F.when(F.size("keywords") > 0, _suppress(_detections())))
     base = F.transform(
@@ -250,7 +244,7 @@ def scan(documents: DataFrame) -> DataFrame:
             F.transform(places(F.col("normal"), one["phrase"]), lambda at: at["start"]).alias("starts"),
         ),
     )
-    known = known.withColumn("base", F.when(F.col("normal").isNotNull(), base))
+    known = known.withColumn("base", base)
     known = known.withColumn("starts", F.flatten(F.transform("base", lambda b: b["starts"])))
     known = known.withColumn(
         "named",

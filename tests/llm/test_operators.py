@@ -127,6 +127,30 @@ def test_license_places_and_suppression(documents, nothing):
     assert licenses.scan(nothing).count() == 0
 
 
+def license_labels(spark, texts: list[str]) -> list[set[str]]:
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [set(r.labels.split(",")) for r in licenses.scan(rows).orderBy("doc_id").collect()]
+
+
+def test_license_rules_need_no_other_words(spark):
+    wanted = {
+        "Released under Apache 2.0": "apache",
+        "GNU General Public v3": "gpl",
+        "under the BSD": "bsd",
+        "Mozilla Public 2.0": "mpl",
+        "Redistribution and use in source and binary forms, with or without modification": "bsd",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy": "mit",
+        "WITHOUT WARRANTY OF ANY KIND": "disclaimer",
+        "All rights reserved": "proprietary",
+        "in the public domain": "public-domain",
+        "CC_BY 4.0": "cc-by",
+        "Creative Commons Attribution": "cc-by",
+    }
+    for space in (" ", "\n", "\r\n * "):
+        found = license_labels(spark, [text.replace(" ", space) for text in wanted])
+        assert [label in labels for label, labels in zip(wanted.values(), found, strict=True)] == [True] * len(wanted)
+
+
 def test_lines_within_one_edit_go(spark, documents, nothing):
     rows = line_dedup.drop_lines(documents).collect()
     got = {(r.doc_id, r.text) for r in rows}
