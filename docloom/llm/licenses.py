@@ -1,8 +1,8 @@
 """License notices in texts: ordered signature rules with a keyword gate.
 
 Every text is turned into lower-case words parted by single spaces.  Each rule is a regular
-expression over that form with a keyword; only rules whose keyword is among the text's words are
-tried.  Detections are intervals of words.  One that lies within an interval of higher priority, or of equal priority that starts
+expression over that form with keywords, of which any match has one; only rules with a keyword
+among the text's words are tried.  Detections are intervals of words.  One that lies within an interval of higher priority, or of equal priority that starts
 earlier or is longer, is suppressed.  Everything is DataFrame functions without a shuffle.
 
 Defined cases: null and empty texts have no words, no labels and score 0; equal rows are judged
@@ -23,24 +23,24 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: label: (keyword, how the license is called, versions).
+#: label: (keywords, one for each way of calling it, how the license is called, versions).
 FAMILIES = {
-    "mit": ("mit", "mit|expat|x11", ""),
+    "mit": ("mit|expat|x11", "mit|expat|x11", ""),
     "apache": ("apache", "apache(?: software)?", "1 0|1 1|2 0|2"),
     "gpl": ("general", "(?:gnu )?general public", "1|2|3|1 0|2 0|3 0"),
-    "lgpl": ("lesser", "(?:gnu )?(?:lesser|library) general public", "2|2 1|3|3 0"),
+    "lgpl": ("lesser|library", "(?:gnu )?(?:lesser|library) general public", "2|2 1|3|3 0"),
     "agpl": ("affero", "(?:gnu )?affero general public", "1|3|3 0"),
     "fdl": ("documentation", "(?:gnu )?free documentation", "1 1|1 2|1 3"),
     "bsd": ("bsd", "(?:[234] clause |simplified |modified |new |revised |original )?bsd(?: [0234] clause)?", ""),
     "mpl": ("mozilla", "mozilla public", "1 0|1 1|2 0"),
     "epl": ("eclipse", "eclipse public", "1 0|2 0"),
-    "cddl": ("cddl", "cddl|common development and distribution", "1 0|1 1"),
+    "cddl": ("cddl|development", "cddl|common development and distribution", "1 0|1 1"),
     "eupl": ("european", "european union public", "1 1|1 2"),
     "isc": ("isc", "isc", ""),
     "zlib": ("zlib", "zlib(?: libpng)?", ""),
     "boost": ("boost", "boost software", "1 0"),
     "artistic": ("artistic", "artistic", "1 0|2 0"),
-    "python": ("python", "python software foundation|psf", "2"),
+    "python": ("python|psf", "python software foundation|psf", "2"),
     "ofl": ("font", "sil open font", "1 0|1 1"),
     "unlicense": ("unlicense", "unlicense", ""),
     "wtfpl": ("fuck", "do what the fuck you want to public", "2"),
@@ -50,7 +50,7 @@ FAMILIES = {
     "afl": ("academic", "academic free", "2 0|2 1|3 0"),
     "odbl": ("database", "open database", "1 0"),
     "nc-gov": ("open", "open government", "1 0|2 0|3 0"),
-    "proprietary": ("proprietary", "proprietary|commercial", ""),
+    "proprietary": ("proprietary|commercial", "proprietary|commercial", ""),
 }
 
 #: label: short names as they stand in identifiers.
@@ -95,13 +95,12 @@ PRIORITIES = (1, 2, 3)
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
-    """(keyword, pattern, label, priority, confidence), in their order."""
+    """(keywords parted by |, pattern, label, priority, confidence), in their order."""
     made = []
-    for label, (keyword, name, versions) in FAMILIES.items():
-        for word, other in ((keyword, name), *((("library", name),) if label == "lgpl" else ())):
-            made += [(word, form.format(name=other), label, p, c) for form, p, c in FORMS]
-            for version in versions.split("|") if versions else ():
-                made += [(word, form.format(name=other, version=version), label, p, c) for form, p, c in VERSIONED]
+    for label, (keywords, name, versions) in FAMILIES.items():
+        made += [(keywords, form.format(name=name), label, p, c) for form, p, c in FORMS]
+        for version in versions.split("|") if versions else ():
+            made += [(keywords, form.format(name=name, version=version), label, p, c) for form, p, c in VERSIONED]
     for label, name in SHORT.items():
         made.append(("spdx", f"spdx licen[sc]e identifier (?:{name})", label, 3, 1.0))
         for word in ("licensed", "license", "licence"):
@@ -157,21 +156,21 @@ def _rule_table() -> Column:
     return F.array(
         *[
             F.struct(
-                F.lit(keyword).alias("keyword"),
+                F.array(*map(F.lit, keywords.split("|"))).alias("keywords"),
                 F.lit(pattern).alias("pattern"),
                 F.lit(label).alias("label"),
                 F.lit(priority).alias("priority"),
                 F.lit(confidence).alias("confidence"),
                 F.lit(order).alias("rank"),
             )
-            for order, (keyword, pattern, label, priority, confidence) in enumerate(rules())
+            for order, (keywords, pattern, label, priority, confidence) in enumerate(rules())
         ]
     )
 
 
 def _detections() -> Column:
     """All detections of the rules that the keywords let through, in sweeping order."""
-    active = F.filter(F.col("rules"), lambda rule: F.array_contains("keywords", rule["keyword"]))
+    active = F.filter(F.col("rules"), lambda rule: F.arrays_overlap("keywords", rule["keywords"]))
     found = F.flatten(
         F.transform(
             active,
@@ -226,7 +225,7 @@ def _suppress(found: Column) -> Column:
 def scan(documents: DataFrame) -> DataFrame:
     """Per document the contract's columns, and how many detections stay."""
     text = F.coalesce("text", F.lit(""))
-    words = sorted({keyword for keyword, *_ in rules()})
+    words = sorted({word for keywords, *_ in rules() for word in keywords.split("|")})
     known = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"),

@@ -151,6 +151,45 @@ def test_license_rules_need_no_other_words(spark):
         assert [label in labels for label, labels in zip(wanted.values(), found, strict=True)] == [True] * len(wanted)
 
 
+def examples(parsed) -> list[str]:
+    """Texts of a parsed pattern that have each of its alternatives at least once."""
+    parts = []
+    for kind, value in parsed:
+        name = str(kind)
+        if name == "LITERAL":
+            parts.append([chr(value)])
+        elif name == "IN":
+            least = value[0][1] if str(value[0][0]) == "LITERAL" else value[0][1][0]
+            parts.append([chr(least)])
+        elif name == "MAX_REPEAT":
+            parts.append((["", *examples(value[2])] if value[0] == 0 else [t * value[0] for t in examples(value[2])]))
+        elif name == "SUBPATTERN":
+            parts.append(examples(value[-1]))
+        else:
+            assert name == "BRANCH", name
+            parts.append([t for branch in value[1] for t in examples(branch)])
+    return ["".join(p[i % len(p)] for p in parts) for i in range(max(map(len, parts), default=1))]
+
+
+def test_each_license_rule_has_a_keyword_in_any_match(spark):
+    wanted = {
+        "Distributed under the Expat License": "mit",
+        "X11 license": "mit",
+        "Common Development and Distribution License 1.0": "cddl",
+        "PSF license": "python",
+        "Commercial license": "proprietary",
+    }
+    for text, labels in zip(wanted, license_labels(spark, list(wanted)), strict=True):
+        assert labels == {wanted[text]}
+    alone = 0
+    for keywords, pattern, *_ in licenses.rules():
+        for text in examples(re._parser.parse(pattern)):
+            assert re.fullmatch(pattern, text), (pattern, text)
+            assert set(keywords.split("|")) & set(text.split(" ")), (keywords, text)
+            alone += 1
+    assert alone > 1000
+
+
 def test_lines_within_one_edit_go(spark, documents, nothing):
     rows = line_dedup.drop_lines(documents).collect()
     got = {(r.doc_id, r.text) for r in rows}
