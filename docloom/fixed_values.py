@@ -125,3 +125,4 @@ CHUNK_MAX_TOKENS = 2048
 VECTOR_DIMENSIONS = 768
 VECTORS_PER_LEAF = 1000
 LEAF_PROBE_FRACTION = 0.10
+LEAST_RECALL = 0.9

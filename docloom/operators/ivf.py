@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.fixed_values import LEAF_PROBE_FRACTION, VECTORS_PER_LEAF
+from docloom.fixed_values import LEAF_PROBE_FRACTION, LEAST_RECALL, VECTORS_PER_LEAF
 from docloom.functions.vectors import unit
 from docloom.operators.blocks import Best, matrix, scan
 from docloom.operators.search import (
@@ -22,6 +22,7 @@ from docloom.operators.search import (
     _check_metric,
     _greatest_k,
     _rank,
+    exact,
     few_tasks,
     hits_of,
     query_matrix,
@@ -33,6 +34,12 @@ from docloom.session import materialise
 #: Upper bound of leaves: their centres are handed to every task.
 MAX_LEAVES = 4096
 
+#: Queries on which the share of leaves to look into is measured.
+SAMPLE_QUERIES = 500
+
+#: Numbers held at once while rows are repeated for their leaves.
+MAX_REPEATED = 8_000_000
+
 
 def train(
     vectors: DataFrame, per_leaf: int = VECTORS_PER_LEAF, max_leaves: int = MAX_LEAVES, seed: int = 42
@@ -54,19 +61,43 @@ def _centres(leaves: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return table["leaf"].to_numpy(), matrix(table["centre"], "cosine")
 
 
-def _nearest_leaves(df: DataFrame, leaves: DataFrame, count: int) -> DataFrame:
-    """Repeat each row for its ``count`` nearest leaves, as a new column ``leaf``."""
-    shared = df.sparkSession.sparkContext.broadcast(_centres(leaves))
+def _by_distance(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Numbers of the centres, the nearest first, for each row."""
+    return np.argsort(-(rows @ centres.T), axis=1, kind="stable")
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], leaves: int) -> Iterator[pa.RecordBatch]:
+    """Slices of which each row can be repeated for every leaf in bounded memory."""
+    for batch in batches:
+        if batch.num_rows:
+            numbers = len(batch.column("embedding").flatten()) / batch.num_rows
+            step = max(1, int(MAX_REPEATED // (leaves * (numbers + 1))))
+            for start in range(0, batch.num_rows, step):
+                yield batch.slice(start, step)
+
+
+def _nearest_leaves(
+    df: DataFrame, leaves: DataFrame, count: int, sizes: dict[int, int] | None = None
+) -> DataFrame:
+    """Repeat each row for its ``count`` nearest leaves, as a new column ``leaf``.
+
+    With the ``sizes`` of the leaves a row gets more of them until they hold ``max_nn`` vectors.
+    """
+    shared = df.sparkSession.sparkContext.broadcast((*_centres(leaves), sizes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, centres = shared.value
-        for batch in batches:
-            scores = matrix(batch.column("embedding"), "cosine") @ centres.T if batch.num_rows else np.empty((0, 1))
-            near = np.argsort(-scores, axis=1, kind="stable")[:, :count]
-            rows = np.repeat(np.arange(batch.num_rows), near.shape[1])
+        names, centres, sizes = shared.value
+        for batch in _pieces(batches, len(names)):
+            near = _by_distance(matrix(batch.column("embedding"), "cosine"), centres)
+            taken = np.broadcast_to(np.arange(near.shape[1]) < count, near.shape)
+            if sizes is not None:
+                held = np.array([sizes.get(int(name), 0) for name in names])[near]
+                wanted = batch.column("max_nn").fill_null(0).to_numpy(zero_copy_only=False)
+                taken = taken | (np.cumsum(held, axis=1) - held < wanted[:, None])
+            rows, places = np.nonzero(taken)
             out = batch.take(pa.array(rows))
             yield pa.RecordBatch.from_arrays(
-                [*out.columns, pa.array(names[near.ravel()], pa.int32())], [*out.schema.names, "leaf"]
+                [*out.columns, pa.array(names[near[rows, places]], pa.int32())], [*out.schema.names, "leaf"]
             )
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("leaf", T.IntegerType())]))
@@ -119,6 +150,35 @@ def _scan_leaves(
     return few_tasks(needed).mapInArrow(run, HITS)
 
 
+def probe_share(
+    queries: DataFrame,
+    assigned: DataFrame,
+    leaves: DataFrame,
+    metric: str = "cosine",
+    recall: float = LEAST_RECALL,
+) -> float:
+    """Least share of leaves to look into for a recall, measured on a sample of the queries.
+
+    The sample is searched exactly; the leaves of its true neighbours tell how far down the
+    order of leaves the queries have to look.  Two standard errors are added to the recall.
+    """
+    order = [F.xxhash64("query_pos"), F.col("query_pos")]
+    sample = materialise(queries.orderBy(*order).limit(SAMPLE_QUERIES), "sample")
+    positions, wanted = query_matrix(sample, "cosine")
+    true = exact(sample, assigned, metric).select("query_pos", "id")
+    pairs = F.broadcast(true).join(assigned.select("id", "leaf"), "id").select("query_pos", "leaf").toArrow()
+    if not pairs.num_rows:
+        return 1.0
+    names, centres = _centres(leaves)
+    place_of = np.argsort(_by_distance(wanted, centres), axis=1)
+    rows, columns = np.argsort(positions, kind="stable"), np.argsort(names, kind="stable")
+    row = rows[np.searchsorted(positions, pairs["query_pos"].to_numpy(), sorter=rows)]
+    column = columns[np.searchsorted(names, pairs["leaf"].to_numpy(), sorter=columns)]
+    places = np.sort(place_of[row, column])
+    least = min(1.0, recall + 2 * math.sqrt(recall * (1 - recall) / len(positions)))
+    return float(places[math.ceil(least * len(places)) - 1] + 1) / len(names)
+
+
 def search(
     queries: DataFrame,
     assigned: DataFrame,
@@ -132,14 +192,16 @@ def search(
 
     A query batch of bounded size is shared with the tasks that read the probed leaves; a
     greater one meets the vectors by equality of the leaf.  Scores inside a leaf are
-    exact, so the candidates need no second ranking; a query gets as many as it wants, as
-    far as its leaves hold them.
+    exact, so the candidates need no second ranking.  A query that wants more than these
+    leaves hold looks into further ones, until it has as many as it wants.
     """
     _check_metric(metric)
     rows, dimensions, k = _greatest_k(queries)
     probes = max(1, math.ceil(leaves.count() * probe_fraction))
-    probed = materialise(_nearest_leaves(queries.select("query_pos", "embedding"), leaves, probes), "probes")
-    if rows * (dimensions + probes) * 8 <= broadcast_bytes:
+    sizes = {row.leaf: row["count"] for row in assigned.groupBy("leaf").count().collect()}
+    asked = queries.select("query_pos", "embedding", "max_nn")
+    probed = materialise(_nearest_leaves(asked, leaves, probes, sizes), "probes")
+    if (rows * dimensions + probed.count()) * 8 <= broadcast_bytes:
         hits = _scan_leaves(queries, assigned, probed, k, metric, min_score)
     else:
         by_leaf = with_block_counts(

@@ -89,6 +89,35 @@ def test_ivf_recall_on_clustered_vectors(spark):
     assert report.wanted == 1800 and report.recall > 0.9
 
 
+def test_probe_share_reaches_the_recall_on_vectors_without_clusters(spark):
+    rng = np.random.default_rng(4)
+    v = spark.createDataFrame([(f"v{i}", x.tolist()) for i, x in enumerate(rng.normal(size=(600, 16)))], "id string, embedding array<float>")
+    q = search.query_batch(v.withColumn("n", F.expr("cast(substr(id, 2) as int)")), F.col("n"), 3)
+    leaves = ivf.train(v, per_leaf=30)
+    assigned, truth = ivf.assign(v, leaves), search.exact(q, v)
+    share = ivf.probe_share(q, assigned, leaves)
+    assert ivf.recall(ivf.search(q, assigned, leaves), truth).first().recall < 0.9
+    assert 0.1 < share < 1.0
+    assert ivf.recall(ivf.search(q, assigned, leaves, probe_fraction=share), truth).first().recall >= 0.9
+
+
+def test_registered_search_reaches_the_recall(spark):
+    from docloom.catalog import QUERIES
+
+    truth, hits = (QUERIES[name](spark, "/root/testdata/sf0.01") for name in ("G02_exact_search", "G04_ivf_search"))
+    assert ivf.recall(hits, truth).first().recall >= 0.9
+
+
+def test_more_neighbours_than_the_probed_leaves_hold(spark):
+    v, q, *_ = tables(spark, n=60, q=5)
+    leaves = ivf.train(v, per_leaf=6)
+    assigned = ivf.assign(v, leaves)
+    many = q.withColumn("max_nn", F.when(F.col("query_pos") == 0, 200).otherwise(25))
+    for broadcast_bytes in (search.BROADCAST_BYTES, 0):
+        hits = ivf.search(many, assigned, leaves, broadcast_bytes=broadcast_bytes)
+        assert sorted(r["count"] for r in hits.groupBy("query_pos").count().collect()) == [25, 25, 25, 25, 60]
+
+
 def test_configuration_is_checked(spark):
     v, q, *_ = tables(spark, n=5, q=5)
     with pytest.raises(ValueError):
