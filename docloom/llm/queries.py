@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from docloom.llm import (
     bpe,
     decontaminate,
+    hard_negatives,
+    language_model,
     licenses,
     line_dedup,
     line_rules,
     ngram_join,
     quality,
+    spelling,
     sql,
     substring_dedup,
     token_counts,
@@ -31,6 +34,7 @@ SQL: dict[str, str] = {
     "op8_decontaminate": sql.PASSAGES,
     "op9_substring_dedup": sql.REPEATS,
     "op10_ngram_join": sql.LINKED,
+    "op12_hard_negatives": sql.HARD_NEGATIVES,
 }
 
 #: The vocabulary file; the same path on all workers.
@@ -110,3 +114,18 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine_negatives(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants_of_documents(table(spark, sf_dir, "documents"))

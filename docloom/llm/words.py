@@ -1,8 +1,10 @@
-"""Words, word windows and their Rabin-Karp hashes for Arrow batches of texts.
+"""Words, word windows and their hashes for Arrow batches of texts.
 
-The bytes of many texts are treated at once: word limits come from a byte table, the hash of a
-word and of a run of words from differences of prefix sums.  Memory follows ``CHUNK_BYTES`` and
-the longest single text, not the batch.
+The bytes of many texts are treated at once: word limits come from a byte table, a word's hash
+mixes its bytes eight at a time, and the Rabin-Karp hash of a short window of words comes from
+differences of prefix sums of those.  A polynomial modulo 2**64 is blind to some long sequences of
+two symbols (Thue-Morse), so neither words nor whole texts are hashed that way.  Memory follows
+``CHUNK_BYTES`` and the longest single text, not the batch.
 """
 
 from __future__ import annotations
@@ -12,13 +14,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 CHUNK_BYTES = 1 << 20
 WHITE = np.array([9, 10, 11, 12, 13, 32], dtype=np.uint8)
 
-_random = np.random.Generator(np.random.PCG64(20240607))
-_BYTE_VALUES = _random.integers(1, 1 << 63, size=256, dtype=np.uint64)
-_BASE_BYTES = np.uint64(0x9E3779B97F4A7C15)
+#: Longer words are hashed one by one.
+LONG_WORD = 256
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _BASE_WORDS = np.uint64(0xD6E8FEB86659FD93)
 
 _lower = np.arange(256, dtype=np.uint8)
@@ -89,7 +92,8 @@ class Words:
 
     def text_hashes(self) -> np.ndarray:
         """A hash of each text's whole word sequence."""
-        return range_hashes(prefix_sums(self.hashes, _BASE_WORDS), self.first[:-1], self.first[1:], _BASE_WORDS)
+        limits = zip(self.first[:-1].tolist(), self.first[1:].tolist(), strict=True)
+        return np.array([xxhash.xxh3_64_intdigest(self.hashes[a:b].tobytes()) for a, b in limits], dtype=np.uint64)
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -116,6 +120,24 @@ def row_slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         row = end
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each data[start:end], of its length and its bytes in pieces of eight."""
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    pieces = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
+    lengths = ends - starts
+    hashes = mix(lengths.astype(np.uint64) + _STEP)
+    at = np.flatnonzero(lengths <= LONG_WORD)
+    left, place = lengths[at], starts[at]
+    while len(at):
+        gone = np.uint64(64) - np.minimum(left, 8).astype(np.uint64) * np.uint64(8)
+        hashes[at] = mix((hashes[at] ^ (pieces[place] << gone)) * _STEP)
+        more = left > 8
+        at, left, place = at[more], left[more] - 8, place[more] + 8
+    for k in np.flatnonzero(lengths > LONG_WORD):
+        hashes[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes())
+    return hashes
+
+
 def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
     """Runs of bytes other than ASCII white space; with ``lower``, A-Z is lower-cased first."""
     if lower:
@@ -131,7 +153,7 @@ def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> W
     after[limits - 1] = False
     starts = np.flatnonzero(inside & ~before)
     ends = np.flatnonzero(inside & ~after) + 1
-    hashes = range_hashes(prefix_sums(_BYTE_VALUES[data], _BASE_BYTES), starts, ends, _BASE_BYTES)
+    hashes = word_hashes(data, starts, ends)
     first = np.searchsorted(starts, offsets)
     text_of = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     return Words(data, starts, ends, text_of, hashes, first)

@@ -15,7 +15,7 @@ def test_rows_equal_the_sql(spark, name):
 
 
 def test_the_rest_has_no_sql_form():
-    """Merges of tokens, families of rules, edit distances and learned scores."""
+    """Merges of tokens, families of rules, edit distances, learned scores and checksums."""
     assert set(queries.QUERIES) - set(queries.SQL) == {
-        "op1_bpe", "op2_licenses", "op3_line_dedup", "op4_quality", "op6_token_counts",
+        "op1_bpe", "op2_licenses", "op3_line_dedup", "op4_quality", "op6_token_counts", "op11_lm_scores", "op13_spelling",
     }
