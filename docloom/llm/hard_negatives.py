@@ -55,6 +55,8 @@ MOST_SLABS = 8
 
 _EXACT = 2**53
 _LARGEST = 2.0**62
+#: Just within 64 bits as a floating-point number; scores end at the limit.
+_SCORE_LIMIT = 2.0**63 - 1024
 
 TILE = "label int, tile long, low array<long>, high array<long>, tree binary"
 BLOCK = "label int, block long, low array<long>, high array<long>, least double, most double, anchors binary"
@@ -164,7 +166,8 @@ class Tree:
     def interval(self, level: int, at: slice, up: np.ndarray, down: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray]:
         """Least and greatest inner product of boxes with a vector's positive and negative parts."""
         low, high = self.floats[level]
-        return low[at] @ up + high[at] @ down - slack, high[at] @ up + low[at] @ down + slack
+        least, most = low[at] @ up + high[at] @ down - slack, high[at] @ up + low[at] @ down + slack
+        return np.minimum(least, _SCORE_LIMIT), np.maximum(most, -_SCORE_LIMIT)
 
     def search(self, vector: np.ndarray, windows: list[Window]) -> None:
         """Offer the windows all rows that may be among their best, the most promising box first."""
@@ -327,9 +330,10 @@ def meetings(anchors: DataFrame, packed: DataFrame, same_label: bool) -> DataFra
         others = own.join(labels, own["label"] != labels["tile_label"])
         met = others.join(box, "tile_label")
     slack = 1e-9
-    least, most = F.col("least"), F.col("most")
+    least, most = F.least("least", F.lit(_SCORE_LIMIT)), F.greatest("most", F.lit(_SCORE_LIMIT) * -1)
     reach = (_end_product(True) * (1 + slack) + 1 >= least) | (_end_product(True) * (1 - slack) + 1 >= least)
-    under = (_end_product(False) * (1 + slack) - 1 <= most) | (_end_product(False) * (1 - slack) - 1 <= most)
+    lowest = F.least(_end_product(False), F.lit(_SCORE_LIMIT))
+    under = (lowest * (1 + slack) - 1 <= most) | (lowest * (1 - slack) - 1 <= most)
     return met.where(reach & under).select("block", "tile")
 
 
