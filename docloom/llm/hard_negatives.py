@@ -52,6 +52,7 @@ PAGE_ROWS = 64
 FANOUT = 16
 BLOCK_ANCHORS = 512
 MOST_SLABS = 8
+LANES = 16
 
 _EXACT = 2**53
 _LARGEST = 2.0**62
@@ -318,17 +319,17 @@ def _end_product(greatest: bool) -> Column:
 def meetings(anchors: DataFrame, packed: DataFrame, same_label: bool) -> DataFrame:
     """(label, block, tile) of all blocks and tiles whose inner products may fall into a window.
 
-    Blocks and tiles stand for hundreds of rows; they meet by label, and for other labels by a list of
-    labels, whose number is that of the classes.
+    Blocks and tiles stand for hundreds of rows.  They meet by label; for other labels tiles are dealt to
+    ``LANES`` lanes, and every block goes along all of them.
     """
     box = packed.select(F.col("label").alias("tile_label"), "tile", F.col("low").alias("tile_low"), F.col("high").alias("tile_high"))
     own = anchors.drop("anchors")
     if same_label:
         met = own.withColumn("tile_label", F.col("label")).join(box, "tile_label")
     else:
-        labels = packed.select(F.col("label").alias("tile_label")).distinct()
-        others = own.join(labels, own["label"] != labels["tile_label"])
-        met = others.join(box, "tile_label")
+        lane = F.pmod(F.xxhash64("tile"), F.lit(LANES)).cast("int")
+        along = own.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))))
+        met = along.join(box.withColumn("lane", lane), "lane").where("label <> tile_label")
     slack = 1e-9
     least, most = F.least("least", F.lit(_SCORE_LIMIT)), F.greatest("most", F.lit(_SCORE_LIMIT) * -1)
     reach = (_end_product(True) * (1 + slack) + 1 >= least) | (_end_product(True) * (1 - slack) + 1 >= least)

@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import words
+from docloom.llm.packing import pack, pack_sorted, unpack, unpack_sorted
 from docloom.session import materialise
 
 Batches = Iterator[pa.RecordBatch]
@@ -63,32 +64,6 @@ SCORE = (
 HELD_OUT, TRAINING, DELETED = 0, 1, 2
 
 
-# --- bytes ---------------------------------------------------------------------
-
-
-def pack(values: np.ndarray) -> bytes:
-    """Unsigned numbers, byte by byte of all of them, compressed: small numbers take little."""
-    values = np.ascontiguousarray(values, dtype="<u8")
-    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T)
-    used = 8
-    while used and not planes[used - 1].any():
-        used -= 1
-    parts = [pa.compress(planes[k].tobytes(), codec="zstd", asbytes=True) for k in range(used)]
-    return np.array([len(values), used, *map(len, parts)], dtype="<i8").tobytes() + b"".join(parts)
-
-
-def unpack(data: bytes) -> np.ndarray:
-    count, used = np.frombuffer(data, dtype="<i8", count=2).tolist()
-    sizes = np.frombuffer(data, dtype="<i8", offset=16, count=used).tolist()
-    planes = np.zeros((8, count), dtype=np.uint8)
-    at = 16 + 8 * used
-    for k, size in enumerate(sizes):
-        plane = pa.decompress(data[at : at + size], decompressed_size=count, codec="zstd", asbytes=True)
-        planes[k] = np.frombuffer(plane, dtype=np.uint8)
-        at += size
-    return np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
-
-
 # --- slices --------------------------------------------------------------------
 
 
@@ -246,7 +221,7 @@ def _questions(order: int, buckets: _Buckets) -> Callable[[Batches], Batches]:
                             pa.array([first + k for k, _, _ in parts], pa.int32()),
                             pa.array([row["slice"]] * len(parts), pa.int64()),
                             pa.array([row["kind"]] * len(parts), pa.int32()),
-                            pa.array([pack(np.diff(own.keys[a:b], prepend=np.uint64(0))) for _, a, b in parts], pa.binary()),
+                            pa.array([pack_sorted(own.keys[a:b]) for _, a, b in parts], pa.binary()),
                             pa.array([pack(counted[a:b]) for _, a, b in parts], pa.binary()),
                         ],
                         names=["bucket", "slice", "kind", "keys", "counts"],
@@ -265,7 +240,7 @@ def _answer(first_of_second: int) -> Callable[[pa.Table], pa.Table]:
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        keys = [np.cumsum(unpack(x.as_py()), dtype=np.uint64) for x in table.column("keys")]
+        keys = [unpack_sorted(x.as_py()) for x in table.column("keys")]
         counts = [unpack(x.as_py()) for x in table.column("counts")]
         kinds = table.column("kind").to_numpy()
         distinct, which = np.unique(np.concatenate(keys), return_inverse=True)

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import sieve, words
 from docloom.llm.components import connected
+from docloom.llm.packing import pack_sorted, unpack_sorted
 from docloom.session import materialise
 
 Batches = Iterator[pa.RecordBatch]
@@ -43,6 +44,9 @@ LEAST_SPARE_PERCENT = 3
 #: Deals after which an empty part is a key as well.
 MOST_DEALS = 12
 
+#: Stands for a missing id.
+NO_ID = -(2**63)
+
 _NONE = np.empty(0, dtype=np.int64)
 
 
@@ -204,16 +208,33 @@ def _incidence(rule: Rule, shared: Broadcast) -> Callable[[Batches], Batches]:
     return run
 
 
+def sample_key(names: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """A hash of a class and a row's id."""
+    return words.mix(names.view(np.uint64) ^ words.mix(ids.view(np.uint64)))
+
+
+def _sample_keys(batches: Batches) -> Batches:
+    for batch in batches:
+        keys = sample_key(batch.column("class").to_numpy(), batch.column("least").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(words.signed(keys))], names=["key"])
+
+
 def _wanted_sets(rule: Rule, wanted: Broadcast) -> Callable[[Batches], Batches]:
-    """The sets of the classes that may be wanted; a class once a batch."""
+    """The sets of the classes that may be wanted, from the row with the least id; a class once a batch.
+
+    A few other rows may pass the map: a block sees to it that a class counts once.
+    """
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            for names, sets in _new_sets(batch, rule):
-                names = np.array(names, dtype=np.int64)
-                pick = np.flatnonzero(sieve.passes(wanted.value, names.view(np.uint64)))
+            seen: set[int] = set()
+            for rows, sets in text_sets(batch, rule):
+                names = np.array([set_hash(s) for s in sets], dtype=np.int64)
+                ids = rows.column("doc_id").fill_null(NO_ID).to_numpy()
+                hits = np.flatnonzero(sieve.passes(wanted.value, sample_key(names, ids)))
+                pick = [i for i in hits.tolist() if len(sets[i]) and not (names[i] in seen or seen.add(names[i]))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names[pick]), pa.array([sets[i].tobytes() for i in pick], type=pa.binary())],
+                    [pa.array(names[pick]), pa.array([pack_sorted(sets[i]) for i in pick], type=pa.binary())],
                     names=["class", "grams"],
                 )
 
@@ -278,8 +299,10 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[int]:
 
 def _product(rule: Rule) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
+        _, once = np.unique(np.stack([table.column("block").to_numpy(), table.column("class").to_numpy()]), axis=1, return_index=True)
+        table = table.take(pa.array(np.sort(once)))
         classes = table.column("class").to_numpy()
-        sets = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in table.column("grams")]
+        sets = [unpack_sorted(x.as_py()) for x in table.column("grams")]
         block = table.column("block").to_numpy()
         first, second = table.column("first")[0].as_py(), table.column("second")[0].as_py()
         sizes = np.array([len(s) for s in sets], dtype=np.int64)
@@ -297,11 +320,9 @@ def _product(rule: Rule) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def links(texts: DataFrame, rule: Rule) -> DataFrame:
+def links(texts: DataFrame, facts: DataFrame, rule: Rule) -> DataFrame:
     """Edges (a, b) between classes that connect what all links between different sets connect."""
-    shared = sieve.bitmap(
-        sieve.shared_keys(texts.mapInArrow(_signature_rows(rule), "key long, owner long"))
-    )
+    shared = sieve.shared_bitmap(texts, _signature_rows(rule))
     incidence = materialise(texts.mapInArrow(_incidence(rule, shared), "class long, key long"), "incidence")
     stars = (
         incidence.groupBy("key")
@@ -311,12 +332,10 @@ def links(texts: DataFrame, rule: Rule) -> DataFrame:
     )
     edges = incidence.join(stars, "key").select(F.col("class").alias("a"), F.col("least").alias("b"))
     component = materialise(connected(edges), "blocks")
-    wanted = sieve.bitmap(component.select(F.col("node").alias("key")))
-    candidates = (
-        texts.mapInArrow(_wanted_sets(rule, wanted), "class long, grams binary")
-        .groupBy("class")
-        .agg(F.first("grams").alias("grams"))
-    )
+    members = component.select(F.col("node").alias("class"))
+    samples = facts.join(members, "class", "left_semi").groupBy("class").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("least"))
+    wanted = sieve.bitmap(samples.mapInArrow(_sample_keys, "key long"))
+    candidates = texts.mapInArrow(_wanted_sets(rule, wanted), "class long, grams binary")
     sizes = component.groupBy("root").agg(F.count("*").alias("size"))
     placed = (
         candidates.select("class", "grams")
@@ -342,8 +361,10 @@ def classes(documents: DataFrame, rule: Rule | None = None) -> tuple[DataFrame,
     rule = rule or Rule()
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     hashed = texts.withColumn("text_hash", F.xxhash64("text"))
-    facts = hashed.mapInArrow(_facts(rule), "doc_id long, text_hash long, n_shingles long, class long")
-    roots = connected(links(texts, rule)).select(F.col("node").alias("class"), "root")
+    facts = materialise(
+        hashed.mapInArrow(_facts(rule), "doc_id long, text_hash long, n_shingles long, class long"), "facts"
+    )
+    roots = connected(links(texts, facts, rule)).select(F.col("node").alias("class"), "root")
     return facts, roots
 
 

@@ -1,14 +1,15 @@
 """Which keys have several owners, as a bitmap of fixed size.
 
-A pass over all texts gives (key, owner) pairs, counted in Spark with map-side combine.  Keys
-with at least two owners set one bit each in a map of ``2**BITS`` bits (8 MB whatever the input).
-A second pass lets through keys whose bit is set, so every shared key passes; the few others
-that pass cost time only, since the exact step after it looks at the keys themselves.
+A pass over all texts gives (key, owner) pairs.  Each task adds them up in slices and sends every
+distinct key of a slice once, in blocks of sorted keys: most of a key's bytes are those of the key
+before it.  Keys with at least two owners set one bit each in a map of ``2**BITS`` bits (8 MB whatever
+the input).  A second pass lets through keys whose bit is set, so every shared key passes; the few
+others that pass cost time only, since the exact step after it looks at the keys themselves.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,103 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.packing import pack, pack_sorted, unpack, unpack_sorted
+
+Batches = Iterator[pa.RecordBatch]
+
 BITS = 26
 SEGMENT_BITS = 13
+#: Pairs that a task adds up before it sends them.
+SLICE_KEYS = 1 << 21
+#: Keys that a bucket is expected to get at most, of texts with a key in so many bytes.
+BUCKET_KEYS = 1 << 20
+BYTES_A_KEY = 6
+LEAST_BUCKET_BITS = 4
+
+_SEVERAL = 0  # number of the owner in a block whose key has several; others are numbered from 1
+
+
+def _blocks(rows: Callable[[Batches], Batches], bucket_bits: int) -> Callable[[Batches], Batches]:
+    """Slices of (key, owner) pairs as sorted distinct keys, by the leading bits of the key."""
+
+    def block(keys: np.ndarray, owners: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(keys, kind="stable")
+        keys, owners = keys[order], owners[order]
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        counts = np.diff(np.append(starts, len(keys)))
+        several = np.logical_or.reduceat(owners != np.repeat(owners[starts], counts), starts)
+        keys, owners = keys[starts], owners[starts]
+        bucket = keys >> np.uint64(64 - bucket_bits) if bucket_bits else np.zeros(len(keys), dtype=np.uint64)
+        limits = np.append(np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(keys))
+        tables, places = [], []
+        for a, b in zip(limits[:-1], limits[1:], strict=True):
+            table, which = np.unique(owners[a:b], return_inverse=True)
+            tables.append(table.tobytes())
+            places.append(pack(np.where(several[a:b], _SEVERAL, which + 1)))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(bucket[limits[:-1]].astype(np.int32)),
+                pa.array([pack_sorted(keys[a:b]) for a, b in zip(limits[:-1], limits[1:], strict=True)], pa.binary()),
+                pa.array(tables, pa.binary()),
+                pa.array(places, pa.binary()),
+            ],
+            names=["bucket", "keys", "owners", "owner_of"],
+        )
+
+    def run(batches: Batches) -> Batches:
+        keys: list[np.ndarray] = []
+        owners: list[np.ndarray] = []
+        for batch in rows(batches):
+            keys.append(batch.column("key").to_numpy().view(np.uint64))
+            owners.append(batch.column("owner").to_numpy())
+            if sum(map(len, keys)) >= SLICE_KEYS:
+                yield block(np.concatenate(keys), np.concatenate(owners))
+                keys, owners = [], []
+        if sum(map(len, keys)):
+            yield block(np.concatenate(keys), np.concatenate(owners))
+
+    return run
+
+
+def _mark(bucket_bits: int) -> Callable[[pa.Table], pa.Table]:
+    """The part of the map that a bucket's shared keys set."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        keys, owners, several = [], [], []
+        for k in range(table.num_rows):
+            own = unpack_sorted(table.column("keys")[k].as_py())
+            place = unpack(table.column("owner_of")[k].as_py()).astype(np.int64)
+            names = np.frombuffer(table.column("owners")[k].as_py(), dtype=np.int64)
+            several.append(own[place == _SEVERAL])
+            single = place != _SEVERAL
+            keys.append(own[single])
+            owners.append(names[place[single] - 1])
+        keys, owners = np.concatenate(keys), np.concatenate(owners)
+        order = np.argsort(keys, kind="stable")
+        keys, owners = keys[order], owners[order]
+        # Of equal keys with several owners, two that stand side by side differ.
+        apart = (keys[1:] == keys[:-1]) & (owners[1:] != owners[:-1])
+        shared = np.concatenate([*several, keys[1:][apart]])
+        slots = (shared >> np.uint64(64 - BITS)).astype(np.int64)
+        bits = np.zeros(1 << (BITS - bucket_bits), dtype=bool)
+        bits[slots - (bucket << (BITS - bucket_bits))] = True
+        return pa.table({"bucket": pa.array([bucket], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    return run
+
+
+def shared_bitmap(texts: DataFrame, rows: Callable[[Batches], Batches]) -> Broadcast:
+    """The bitmap of the keys with several owners among the (key, owner) batches of texts."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bucket_bits = min(max((size // (BYTES_A_KEY * BUCKET_KEYS)).bit_length(), LEAST_BUCKET_BITS), BITS - 3)
+    blocks = texts.mapInArrow(_blocks(rows, bucket_bits), "bucket int, keys binary, owners binary, owner_of binary")
+    marked = blocks.groupBy("bucket").applyInArrow(_mark(bucket_bits), "bucket int, bits binary")
+    whole = np.zeros((1 << BITS) // 8, dtype=np.uint8)
+    width = len(whole) >> bucket_bits
+    for row in marked.toLocalIterator():
+        whole[row.bucket * width : (row.bucket + 1) * width] = np.frombuffer(row.bits, dtype=np.uint8)
+    return texts.sparkSession.sparkContext.broadcast(whole)
 
 
 def shared_keys(pairs: DataFrame) -> DataFrame:

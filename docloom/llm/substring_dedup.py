@@ -188,7 +188,7 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     """
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     named = texts.where("doc_id is not null")
-    shared = sieve.bitmap(sieve.shared_keys(named.mapInArrow(_grams, "key long, owner long")))
+    shared = sieve.shared_bitmap(named, _grams)
     windows = named.mapInArrow(_windows(shared), "window long, doc_id long, text_hash long, at int")
     least = (
         windows.groupBy("window")
