@@ -537,7 +537,7 @@ def session_state(spark, sf_dir):
         stream = jobs.session_state(spark.readStream.schema(stored.schema).parquet(folder))
         # one batch: a state with a time to live asks for further empty batches without end
         run = jobs.each_batch(
-            stream, lambda batch: batch.write.mode("append").parquet(out), checkpoint, once=True
+            stream, lambda rows, _: rows.write.mode("append").parquet(out), checkpoint, once=True
         )
         if not run.awaitTermination(600):
             run.stop()

@@ -64,6 +64,16 @@ def owner(key: Column) -> Column:
     )
 
 
+def owner_of_file(id_: Column) -> Column:
+    """Owner to store with the chunks of a file: its id, whatever title it has now."""
+    return F.concat(F.lit("file:"), id_)
+
+
+def owner_of_text(key: Column) -> Column:
+    """Owner to store with the chunks of a text or a reference: its key."""
+    return F.concat(F.lit("text:"), key)
+
+
 def chunk_key(document_key: Column, position: Column) -> Column:
     return F.concat_ws(KEY_SEPARATOR, document_key, position.cast("string"))
 

@@ -78,14 +78,14 @@ def with_links(rows: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def content_cells(rows: DataFrame, now: Column) -> DataFrame:
+def content_cells(rows: DataFrame, now: Column, *keep: str) -> DataFrame:
     """Two cells per chunk, ``content`` and ``link``, with one time stamp."""
     cells = F.array(
         F.struct(F.lit("content").alias("qualifier"), F.col("content").alias("value")),
         F.struct(F.lit("link").alias("qualifier"), F.col("link").alias("value")),
     )
-    return rows.select("row_key", now.alias("ts"), F.explode(cells).alias("cell")).select(
-        "row_key", "cell.qualifier", "ts", "cell.value"
+    return rows.select("row_key", *keep, now.alias("ts"), F.explode(cells).alias("cell")).select(
+        "row_key", *keep, "cell.qualifier", "ts", "cell.value"
     )
 
 
@@ -151,6 +151,21 @@ def stale_keys(existing: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+def stale_of_owners(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """The same for tables that store ``owner`` beside ``row_key``: no key is taken apart.
+
+    Titles and ids may hold the separator; a renamed file is known by its owner.
+    """
+    touched = new.select("owner").distinct()
+    return (
+        existing.select("row_key", "owner")
+        .join(touched, "owner", "left_semi")
+        .join(new.select("row_key"), "row_key", "left_anti")
+        .select("row_key")
+        .distinct()
+    )
+
+
 def change_set(existing: DataFrame, new: DataFrame) -> DataFrame:
     """One table of changes: ``key, op``."""
     return (

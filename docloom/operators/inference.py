@@ -81,18 +81,36 @@ def _with_fields(df: DataFrame, *fields: T.StructField) -> T.StructType:
     return T.StructType([f for f in df.schema.fields if f.name not in names] + list(fields))
 
 
+def _one_by_one(call: Callable[[list], list], items: list) -> tuple[list, list[str | None]]:
+    """Answers and failures of items: in one call, or item by item where that fails."""
+    try:
+        answers = list(call(items))
+        if len(answers) != len(items):
+            raise ValueError(f"{len(answers)} answers for {len(items)} items")
+        return answers, [None] * len(items)
+    except Exception as error:  # noqa: BLE001 - any model failure is data here
+        if len(items) == 1:
+            return [None], [f"{type(error).__name__}: {error}"]
+    answers, failures = [], []
+    for item in items:
+        answer, failure = _one_by_one(call, [item])
+        answers += answer
+        failures += failure
+    return answers, failures
+
+
 def embed_texts(
     df: DataFrame,
     text: str = "chunk",
     embed: Embed | None = None,
-    max_tokens: int = CHUNK_MAX_TOKENS,
-    auto_truncate: bool = True,
+    max_tokens: int | None = None,
+    dimensions: int | None = None,
 ) -> DataFrame:
     """Add ``embedding``, ``token_count``, ``truncated`` and ``embed_error`` to every row.
 
-    Only the first ``max_tokens`` tokens of a longer text reach the model, unless
-    ``auto_truncate`` is off.  A batch that fails is asked again row by row, so that one bad
-    text costs its own row only.
+    Whole texts reach the model; one that takes no more than ``max_tokens`` gets so many and the row
+    says that it was ``truncated``.  With ``dimensions`` vectors are cut to so many and scaled to length
+    one.  A batch that fails is asked again row by row, so that one bad text costs its own row only.
     """
     embed = embed or hashing_embedder()
     schema = _with_fields(
@@ -103,13 +121,21 @@ def embed_texts(
         T.StructField("embed_error", T.StringType()),
     )
 
+    def vectors_of(texts: list[str]) -> list[np.ndarray]:
+        vectors = np.asarray(embed(texts), dtype=np.float32)
+        if dimensions is None or not len(vectors):
+            return list(vectors)
+        short = vectors[:, :dimensions].astype(np.float64)
+        norm = np.linalg.norm(short, axis=1, keepdims=True)
+        return list((short / np.where(norm > 0, norm, 1)).astype(np.float32))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch[text].fillna("").tolist()
             counts = [len(t.split()) for t in texts]
-            cut = [auto_truncate and c > max_tokens for c in counts]
+            cut = [max_tokens is not None and c > max_tokens for c in counts]
             texts = [" ".join(t.split()[:max_tokens]) if c else t for t, c in zip(texts, cut, strict=True)]
-            vectors, failures = _embed_each(embed, texts)
+            vectors, failures = _one_by_one(vectors_of, texts)
             yield batch.assign(
                 embedding=pd.Series(vectors, index=batch.index, dtype=object),
                 token_count=counts,
@@ -120,24 +146,6 @@ def embed_texts(
     return df.mapInPandas(run, schema)
 
 
-def _embed_each(embed: Embed, texts: list[str]) -> tuple[list[np.ndarray | None], list[str | None]]:
-    """Vectors and failures of texts: in one call, or one by one where that fails."""
-    try:
-        vectors = list(np.asarray(embed(texts), dtype=np.float32))
-        if len(vectors) != len(texts):
-            raise ValueError(f"{len(vectors)} vectors for {len(texts)} texts")
-        return vectors, [None] * len(texts)
-    except Exception as error:  # noqa: BLE001 - any model failure is data here
-        if len(texts) == 1:
-            return [None], [f"{type(error).__name__}: {error}"]
-    vectors, failures = [], []
-    for text in texts:
-        vector, failure = _embed_each(embed, [text])
-        vectors += vector
-        failures += failure
-    return vectors, failures
-
-
 def embedded(df: DataFrame) -> DataFrame:
     return df.filter(F.col("embed_error").isNull())
 
@@ -217,20 +225,26 @@ def describe_links(links: list[str], types: list[str]) -> list[str]:
     return [json.dumps([f"{kind} {link}"]) for link, kind in zip(links, types, strict=True)]
 
 
-def chunk_links(contents: DataFrame, chunk: ChunkLinks = describe_links) -> DataFrame:
-    """Model responses for linked files: ``key, response, chunk_error``, one row per link."""
-    links = contents.select("key", "type", F.explode("content").alias("link")).filter(~is_blank(F.col("link")))
+def chunk_links(contents: DataFrame, chunk: ChunkLinks = describe_links, *keep: str) -> DataFrame:
+    """Model responses for linked files: ``key, response, chunk_error`` and ``keep``, one row per link.
+
+    A batch that fails is asked again link by link.
+    """
+    links = contents.select("key", *keep, "type", F.explode("content").alias("link")).filter(~is_blank(F.col("link")))
+    out = _with_fields(
+        links.drop("type", "link"), T.StructField("response", T.StringType()), T.StructField("chunk_error", T.StringType())
+    )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = batch[["key"]].assign(response=None, chunk_error=None)
-            try:
-                out["response"] = chunk(batch["link"].tolist(), batch["type"].tolist())
-            except Exception as error:  # noqa: BLE001
-                out["chunk_error"] = f"{type(error).__name__}: {error}"
-            yield out
+            asked = list(zip(batch["link"].tolist(), batch["type"].tolist(), strict=True))
+            answers, failures = _one_by_one(lambda own: chunk([link for link, _ in own], [kind for _, kind in own]), asked)
+            yield batch.drop(columns=["type", "link"]).assign(
+                response=pd.Series(answers, index=batch.index, dtype=object),
+                chunk_error=pd.Series(failures, index=batch.index, dtype=object),
+            )[out.names]
 
-    return links.mapInPandas(run, "key string, response string, chunk_error string")
+    return links.mapInPandas(run, out)
 
 
 # --- summaries and chat --------------------------------------------------------
@@ -251,11 +265,11 @@ def summarise(df: DataFrame, model: Summarise = digest_summary) -> DataFrame:
         for batch in batches:
             batch = batch.assign(summary="", summary_error=None)
             some = batch["summary_prompt"].notna()
-            try:
-                if some.any():
-                    batch.loc[some, "summary"] = model(batch.loc[some, "summary_prompt"].tolist())
-            except Exception as error:  # noqa: BLE001
-                batch.loc[some, "summary_error"] = f"{type(error).__name__}: {error}"
+            if some.any():
+                answers, failures = _one_by_one(model, batch.loc[some, "summary_prompt"].tolist())
+                batch.loc[some, "summary"] = ["" if answer is None else answer for answer in answers]
+                batch["summary_error"] = batch["summary_error"].astype(object)
+                batch.loc[some, "summary_error"] = pd.Series(failures, index=batch.index[some], dtype=object)
             yield batch[schema.names]
 
     return df.mapInPandas(run, schema)
@@ -289,12 +303,12 @@ def chat(df: DataFrame, model: Chat = digest_chat) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch = batch.assign(response=None, chat_error=None)
             turns = [[(t["author"], t["content"]) for t in row] for row in batch["turns"]]
-            try:
-                batch["response"] = model(batch["prompt"].tolist(), turns, batch["model_parameters"].tolist())
-            except Exception as error:  # noqa: BLE001
-                batch["chat_error"] = f"{type(error).__name__}: {error}"
-            yield batch[schema.names]
+            asked = list(zip(batch["prompt"].tolist(), turns, batch["model_parameters"].tolist(), strict=True))
+            answers, failures = _one_by_one(lambda own: model(*map(list, zip(*own, strict=True))), asked)
+            yield batch.assign(
+                response=pd.Series(answers, index=batch.index, dtype=object),
+                chat_error=pd.Series(failures, index=batch.index, dtype=object),
+            )[schema.names]
 
     return df.mapInPandas(run, schema)

@@ -7,12 +7,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.fixed_values import METADATA_MIME_KEY
+from docloom.functions import keys
 from docloom.operators import chunk, crawl, errors, extract, index, inference, ingest
 from docloom.session import materialise
+from docloom.sources.versions import MOST_PARTS, Change, Snapshot, Store, Table
 
 
 @dataclass
@@ -41,7 +43,7 @@ class Ingested:
 
 
 def contents_of_messages(messages: DataFrame, store: FileStore, ascii_titles: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Contents (with the file's MIME type, where there is one, and their time) and classified errors.
+    """Contents (with the file's MIME type, where there is one, their time and owner) and classified errors.
 
     What a message holds itself is as old as the message; files are read now.
     """
@@ -57,11 +59,17 @@ def contents_of_messages(messages: DataFrame, store: FileStore, ascii_titles: bo
     file_mime = F.try_element_at(F.col("metadata"), F.lit(METADATA_MIME_KEY))
     contents = (
         extracted.filter("failure IS NULL")
-        .select("key", "content", "type", file_mime.alias("mime_type"), F.current_timestamp().alias("ts"))
+        .select(
+            "key", "content", "type", file_mime.alias("mime_type"), F.current_timestamp().alias("ts"),
+            keys.owner_of_file(F.col("content_id")).alias("owner"),
+        )
         .unionByName(
             raw.unionByName(references)
             .filter("failure IS NULL")
-            .select("key", "content", "type", F.lit(None).cast("string").alias("mime_type"), "ts")
+            .select(
+                "key", "content", "type", F.lit(None).cast("string").alias("mime_type"), "ts",
+                keys.owner_of_text(F.col("key")).alias("owner"),
+            )
         )
     )
     now = F.current_timestamp().alias("ts")
@@ -77,22 +85,25 @@ def index_rows(contents: DataFrame, models: Models | None = None) -> tuple[DataF
     """Chunks with vectors and links, and what failed on the way: ``stage, key, failure``.
 
     A document asked for twice is indexed once, with its newest content where ``contents`` has a
-    ``ts`` (of contents of one time the greatest).  A document of which any part failed is withheld
-    as a whole, so that what is stored of it stays.
+    ``ts`` (of contents of one time the greatest), and so is an ``owner`` under two keys, a file whose
+    title changed; without that column a key is its own owner.  A document of which any part failed is
+    withheld as a whole, so that what is stored of it stays.
     """
     models = models or Models()
     if "ts" not in contents.columns:
         contents = contents.withColumn("ts", F.lit(None).cast("timestamp"))
+    if "owner" not in contents.columns:
+        contents = contents.withColumn("owner", keys.owner_of_text(F.col("key")))
     once = (
-        contents.groupBy("key")
-        .agg(F.max(F.struct("ts", "content", "type", "mime_type")).alias("c"))
-        .select("key", "c.content", "c.type", "c.mime_type")
+        contents.groupBy("owner")
+        .agg(F.max(F.struct("ts", "key", "content", "type", "mime_type")).alias("c"))
+        .select("c.key", "c.content", "c.type", "c.mime_type", "owner")
     )
     strategy = chunk.chunk_strategy(F.col("type"))
-    texts = chunk.chunk_texts(once, "mime_type")
-    answered = inference.chunk_links(once.filter(strategy.isin("pdf", "image")), models.chunk_links)
+    texts = chunk.chunk_texts(once, "mime_type", "owner")
+    answered = inference.chunk_links(once.filter(strategy.isin("pdf", "image")), models.chunk_links, "owner")
     parsed = materialise(answered.withColumn("chunks", chunk.parse_chunk_response(F.col("response"))), "linked")
-    linked = chunk.explode_chunks(parsed.filter("chunks IS NOT NULL")).withColumn(
+    linked = chunk.explode_chunks(parsed.filter("chunks IS NOT NULL"), "owner").withColumn(
         "mime_type", F.lit(None).cast("string")
     )
     embedded = materialise(
@@ -103,7 +114,7 @@ def index_rows(contents: DataFrame, models: Models | None = None) -> tuple[DataF
     )
     whole = inference.embedded(embedded).join(broken, "key", "left_anti")
     # the file's MIME type came along on every row, so the link needs no lookup
-    rows = index.indexable(whole, "mime_type").withColumn(
+    rows = index.indexable(whole, "mime_type", "owner", "idx").withColumn(
         "link", index.source_link(F.col("row_key"), F.col("mime_type"))
     )
     failed = (
@@ -120,7 +131,7 @@ def index_rows(contents: DataFrame, models: Models | None = None) -> tuple[DataF
             )
         )
     )
-    return rows.select("row_key", "doc_key", "content", "embedding", "link"), failed
+    return rows.select("row_key", "doc_key", "owner", F.col("idx").alias("position"), "content", "embedding", "link"), failed
 
 
 def model_errors(failed: DataFrame) -> DataFrame:
@@ -146,32 +157,40 @@ def ingest_messages(
     return Ingested(contents.drop("ts"), rows, failures.unionByName(model_errors(failed)))
 
 
-def store_rows(rows: DataFrame, vectors_path: str, cells_path: str, now: Column) -> None:
-    """Bring both tables up to date with the new rows: stale keys go, new ones come.
+#: The vector table and the content table change together.
+VECTOR_TABLE = Table("vectors", "id string, owner string, embedding array<float>", "owner")
+CELL_TABLE = Table("cells", "row_key string, owner string, qualifier string, ts timestamp, value string", "row_key")
+
+
+def open_store(spark: SparkSession, path: str) -> Store:
+    """The two tables below a folder; a new folder is an empty store."""
+    return Store(spark, path, [VECTOR_TABLE, CELL_TABLE])
 
-    Old and new rows of a document share a bucket, also when the document was renamed, so
-    only the touched buckets are read and written.
+
+def store_rows(rows: DataFrame, store: Store, now: Column, writer: str | None = None, batch: int | None = None) -> int:
+    """Bring both tables up to date with the new rows, in one step: stale keys go, new ones come.
+
+    Only the change is written.  Of the documents in it, all vectors are taken back by owner, and the
+    cells of those keys that the new rows no longer hold; a renamed file keeps its owner.  A batch that
+    its writer has stored already changes nothing.
     """
-    spark = rows.sparkSession
+    base = store.snapshot()
+    if store.committed(writer, batch, base):
+        return base.manifest.version
     rows = materialise(rows, "rows")
-    touched = rows.select("row_key")
-    index.rewrite_buckets(
-        spark, vectors_path, touched, lambda old: index.replace_vectors(old, rows), "id"
-    )
-    cells = index.content_cells(rows, now)
-
-    def change(old: DataFrame) -> DataFrame:
-        stale = index.stale_keys(old, rows)
-        return index.keep_versions(index.apply_to_cells(old, cells, stale))
+    owners = rows.select("owner").distinct()
+    vectors = rows.select(F.col("row_key").alias("id"), "owner", "embedding")
+    cells = index.content_cells(rows, now, "owner")
+    stale = index.stale_of_owners(base.table("cells"), rows)
+    changes = {"vectors": Change(vectors, owners), "cells": Change(cells, stale)}
+    return store.commit(changes, writer, batch, base)
 
-    index.rewrite_buckets(spark, cells_path, touched, change, "row_key")
 
+def maintain_store(store: Store, most: int = MOST_PARTS, whole: bool = False) -> bool:
+    """Merge generations; of the cells that are merged, the newest versions stay."""
+    return store.maintain(most, {"cells": index.keep_versions}, whole)
 
-def create_stores(
-    rows: DataFrame, vectors_path: str, cells_path: str, now: Column, buckets: int = index.BUCKETS
-) -> None:
-    """First load of both tables; choose ``buckets`` so that one bucket is a few gigabytes."""
-    vectors = index.latest_vectors(rows.select(F.col("row_key").alias("id"), "embedding"))
-    index.write_bucketed(vectors, vectors_path, "id", buckets)
-    index.write_bucketed(index.content_cells(rows, now), cells_path, "row_key", buckets)
 
+def stored_cells(snapshot: Snapshot) -> DataFrame:
+    """The content cells of one version of the store, the newest few of each key and qualifier."""
+    return index.keep_versions(snapshot.table("cells")).drop("owner")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.sources import files
 from docloom.sources.schemas import MESSAGES
 
 
 def read_messages(spark: SparkSession, folder: str) -> DataFrame:
-    """All messages of a JSON message folder."""
-    return spark.read.schema(MESSAGES).json(folder)
+    """All messages of a JSON message folder, those of finished batches in folders of their own included."""
+    return spark.read.schema(MESSAGES).option("recursiveFileLookup", "true").json(folder)
 
 
 def stream_messages(spark: SparkSession, folder: str, max_files_per_trigger: int = 1000) -> DataFrame:
@@ -18,6 +19,7 @@ def stream_messages(spark: SparkSession, folder: str, max_files_per_trigger: int
     return (
         spark.readStream.schema(MESSAGES)
         .option("maxFilesPerTrigger", max_files_per_trigger)
+        .option("recursiveFileLookup", "true")
         .json(folder)
     )
 
@@ -40,11 +42,19 @@ def stream_kafka_messages(spark: SparkSession, servers: str, topic: str) -> Data
     )
 
 
-def publish(messages: DataFrame, folder: str) -> None:
-    """Append messages; a stream over the same folder picks them up."""
-    messages.select("ts", "payload", "attributes").write.mode("append").option(
-        "timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
-    ).json(folder)
+MICROSECONDS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
+def publish(messages: DataFrame, folder: str, batch: str | None = None) -> None:
+    """Append messages; a stream over the same folder picks them up.
+
+    With the name of a batch they are published once, however often the batch is repeated.
+    """
+    rows = messages.select("ts", "payload", "attributes")
+    if batch is None:
+        rows.write.mode("append").option("timestampFormat", MICROSECONDS).json(folder)
+    else:
+        files.write_once(rows, folder, batch, timestampFormat=MICROSECONDS)
 
 
 def publish_kafka(messages: DataFrame, servers: str, topic: str) -> None:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.text import strip_line_breaks
+from docloom.sources import files
+from docloom.sources.schemas import ERRORS
 
 
 def content_lines_as_json(contents: DataFrame) -> DataFrame:
@@ -35,14 +37,21 @@ def write_content_lines(contents: DataFrame, folder: str) -> None:
     )
 
 
-def write_errors(errors: DataFrame, folder: str) -> None:
-    """Errors by day; the failed payload is a column and never part of a path."""
-    (
-        errors.withColumn("error_date", F.to_date("ts"))
-        .write.partitionBy("error_date")
-        .mode("append")
-        .json(folder)
-    )
+def write_errors(errors: DataFrame, folder: str, batch: str | None = None) -> None:
+    """Errors by day; the failed payload is a column and never part of a path.
+
+    With the name of a batch they are written once, in a folder of the batch with the day as a column.
+    """
+    dated = errors.withColumn("error_date", F.to_date("ts"))
+    if batch is None:
+        dated.write.partitionBy("error_date").mode("append").json(folder)
+    else:
+        files.write_once(dated, folder, batch)
+
+
+def read_errors(spark: SparkSession, folder: str, schema: str = ERRORS) -> DataFrame:
+    """Errors of all finished batches."""
+    return spark.read.schema(f"{schema}, error_date date").option("recursiveFileLookup", "true").json(folder)
 
 
 def interaction_log(questions: DataFrame, results: DataFrame, enabled: bool = True) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,7 +18,9 @@ from docloom.fixed_values import (
 )
 from docloom.operators import errors, index
 from docloom.plans import ingestion
+from docloom.session import materialise
 from docloom.sources import messages, sinks
+from docloom.sources.versions import Store
 
 # --- windows -------------------------------------------------------------------
 
@@ -59,12 +62,29 @@ def append_to(stream: DataFrame, folder: str, checkpoint: str, **trigger) -> Str
     )
 
 
+@dataclass(frozen=True)
+class Batch:
+    """A micro-batch: the query keeps its id with its checkpoint, so a repeated batch has one name."""
+
+    query: str
+    number: int
+
+    @property
+    def name(self) -> str:
+        return f"{self.query}-{self.number:012d}"
+
+
 def each_batch(
-    stream: DataFrame, handle: Callable[[DataFrame], None], checkpoint: str, **trigger
+    stream: DataFrame, handle: Callable[[DataFrame, Batch], None], checkpoint: str, **trigger
 ) -> StreamingQuery:
-    """Hand every micro-batch to a batch function."""
+    """Hand every micro-batch, and which it is, to a batch function."""
+
+    def named(rows: DataFrame, number: int) -> None:
+        query = rows.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        handle(rows, Batch(query or checkpoint, number))
+
     return (
-        stream.writeStream.foreachBatch(lambda batch, _: handle(batch))
+        stream.writeStream.foreachBatch(named)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": INGESTION_WINDOW}))
         .start()
@@ -75,33 +95,36 @@ def each_batch(
 
 
 def ingestion_handler(
-    store: ingestion.FileStore,
-    vectors_path: str,
-    cells_path: str,
+    files: ingestion.FileStore,
+    store: Store,
     error_folder: str,
     retry_folder: str,
     models: ingestion.Models | None = None,
     lines_folder: str | None = None,
-) -> Callable[[DataFrame], None]:
+    maintain: bool = True,
+) -> Callable[[DataFrame, Batch], None]:
     """Batch function: index what can be indexed, put retries and errors aside.
 
-    After a failure a batch may be written again: vectors and lines are replaced, and the
-    cells of its documents get one more version, which retention bounds.
+    A batch that is repeated after a failure ends in the same state: the store knows the last batch of
+    each query, errors and retries lie in one folder a batch, and lines are replaced.
     """
 
-    def handle(batch: DataFrame) -> None:
-        result = ingestion.ingest_messages(batch, store, models)
+    def handle(rows: DataFrame, batch: Batch) -> None:
+        result = ingestion.ingest_messages(rows, files, models)
+        found = materialise(result.errors, "errors")
         if lines_folder:
             sinks.write_content_lines(result.contents, lines_folder)
-        ingestion.store_rows(result.rows, vectors_path, cells_path, F.current_timestamp())
-        sinks.write_errors(errors.discardable(result.errors), error_folder)
-        messages.publish(errors.retry_messages(result.errors), retry_folder)
+        sinks.write_errors(errors.discardable(found), error_folder, batch.name)
+        messages.publish(errors.retry_messages(found), retry_folder, batch.name)
+        ingestion.store_rows(result.rows, store, F.current_timestamp(), batch.query, batch.number)
+        if maintain:
+            ingestion.maintain_store(store)
 
     return handle
 
 
 def start_ingestion(
-    stream: DataFrame, handle: Callable[[DataFrame], None], checkpoint: str, **trigger
+    stream: DataFrame, handle: Callable[[DataFrame, Batch], None], checkpoint: str, **trigger
 ) -> StreamingQuery:
     return each_batch(stream, handle, checkpoint, **trigger)
 
@@ -111,7 +134,7 @@ def start_requeue(
 ) -> StreamingQuery:
     """Release held retries back into the message stream when their window closes."""
     held = errors.hold_retries(retries)
-    return each_batch(held, lambda batch: messages.publish(batch, message_folder), checkpoint, **trigger)
+    return each_batch(held, lambda rows, batch: messages.publish(rows, message_folder, batch.name), checkpoint, **trigger)
 
 
 # --- session state -------------------------------------------------------------

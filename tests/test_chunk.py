@@ -99,7 +99,7 @@ def test_one_bad_text_costs_its_own_row_and_long_texts_are_cut(spark):
     assert got["a"].embed_error is None and len(got["a"].embedding) == 8
     assert got["b"].embed_error == "ValueError: refused" and got["b"].embedding is None
     assert got["c"].truncated and got["c"].token_count == 9 and got["c"].embed_error is None
-    got = {r.key: r for r in inference.embed_texts(texts, "chunk", picky, 5, auto_truncate=False).collect()}
+    got = {r.key: r for r in inference.embed_texts(texts, "chunk", picky).collect()}
     assert not got["c"].truncated and got["c"].embed_error == "ValueError: refused"
 
 

@@ -119,7 +119,7 @@ def test_extraction_of_nested_bodies(spark):
     assert got["d1"].key == "d1_t___d1"
     assert got["s1"].content == ["a b", "c"]
     assert got["p1"].content == ["x"]
-    assert got["v1"].failure.startswith("Not supported")
+    assert got["v1"].failure.startswith("Files of this type are not read")
     assert got["d2"].failure == "No such body"
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators import errors
 from docloom.plans import ingestion
-from docloom.sources import messages
+from docloom.sources import messages, sinks
 from docloom.sources.schemas import DOC_BODIES, FILES, MESSAGES, SHEET_BODIES, SLIDE_BODIES
 from docloom.streaming import jobs
 
@@ -30,14 +30,13 @@ def request(*ids):
 
 def test_ingestion_stream_replaces_a_shrunk_document(spark, tmp_path):
     inbox, retry, wrong = (str(tmp_path / n) for n in ("inbox", "retry", "errors"))
-    vectors, cells = str(tmp_path / "vectors"), str(tmp_path / "cells")
-    now = F.lit(AT)
+    store, now = ingestion.open_store(spark, str(tmp_path / "store")), F.lit(AT)
     sentence = "word " * 399 + "end."
     long_store = file_store(spark, [sentence] * 4)
     first = spark.createDataFrame([(AT, request("f1"), {})], MESSAGES)
     result = ingestion.ingest_messages(first, long_store)
-    ingestion.create_stores(result.rows, vectors, cells, now)
-    before = {r.id for r in spark.read.parquet(vectors).collect()}
+    ingestion.store_rows(result.rows, store, now)
+    before = {r.id for r in store.table("vectors").collect()}
     assert len(before) == 4 and all(k.startswith("one___f1___") for k in before)
 
     sent = [
@@ -47,21 +46,22 @@ def test_ingestion_stream_replaces_a_shrunk_document(spark, tmp_path):
         (AT, "{", {}),
     ]
     messages.publish(spark.createDataFrame(sent, MESSAGES), inbox)
-    handle = jobs.ingestion_handler(file_store(spark, [sentence]), vectors, cells, wrong, retry, lines_folder=str(tmp_path / "lines"))
+    handle = jobs.ingestion_handler(file_store(spark, [sentence]), store, wrong, retry, lines_folder=str(tmp_path / "lines"))
     jobs.start_ingestion(messages.stream_messages(spark, inbox), handle, str(tmp_path / "cp"), availableNow=True).awaitTermination(120)
 
-    assert {r.id for r in spark.read.parquet(vectors).collect()} == {"one___f1___0", "https://x/a.pdf___0"}
-    links = spark.read.parquet(cells).filter("qualifier = 'link'")
+    assert {r.id for r in store.table("vectors").collect()} == {"one___f1___0", "https://x/a.pdf___0"}
+    cells = ingestion.stored_cells(store.snapshot())
+    links = cells.filter("qualifier = 'link'")
     assert {(r.row_key, r.value) for r in links.collect()} == {
         ("one___f1___0", "https://docs.google.com/document/d/f1"), ("https://x/a.pdf___0", "https://x/a.pdf"),
     }
-    versions = spark.read.parquet(cells).filter("row_key = 'one___f1___0' AND qualifier = 'content'")
+    versions = cells.filter("row_key = 'one___f1___0' AND qualifier = 'content'")
     assert versions.count() == 2
     again = messages.read_messages(spark, retry).collect()
     assert {(r.payload, r.attributes["retries"]) for r in again} == {
         ('{"googleDrive":[{"urlOrId":"f2"}]}', "4"), ('{"googleDrive":[{"urlOrId":"f9"}]}', "4"),
     }
-    assert {r.element for r in spark.read.json(wrong).collect()} == {"{"}
+    assert {r.element for r in sinks.read_errors(spark, wrong).collect()} == {"{"}
     assert spark.read.text(str(tmp_path / "lines")).count() == 2
 
 
