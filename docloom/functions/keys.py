@@ -64,14 +64,26 @@ def owner(key: Column) -> Column:
     )
 
 
+FILE_OWNER, TEXT_OWNER = "file:", "text:"
+
+
 def owner_of_file(id_: Column) -> Column:
     """Owner to store with the chunks of a file: its id, whatever title it has now."""
-    return F.concat(F.lit("file:"), id_)
+    return F.concat(F.lit(FILE_OWNER), id_)
 
 
 def owner_of_text(key: Column) -> Column:
     """Owner to store with the chunks of a text or a reference: its key."""
-    return F.concat(F.lit("text:"), key)
+    return F.concat(F.lit(TEXT_OWNER), key)
+
+
+def owns_file(owner: Column) -> Column:
+    return owner.startswith(FILE_OWNER)
+
+
+def id_of_owner(owner: Column) -> Column:
+    """File id or key of a stored owner."""
+    return F.substring(owner, F.lit(len(FILE_OWNER) + 1), F.length(owner))
 
 
 def chunk_key(document_key: Column, position: Column) -> Column:

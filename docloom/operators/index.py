@@ -60,6 +60,14 @@ def source_link(row_key: Column, mime_type: Column) -> Column:
     )
 
 
+def link_of_owner(owner: Column, doc_key: Column, mime_type: Column) -> Column:
+    """The same from the stored owner, whatever separators the title or the id holds."""
+    prefix = F.coalesce(
+        F.try_element_at(literal_map(SOURCE_LINK_PREFIXES), mime_type), F.lit(SOURCE_LINK_UNKNOWN)
+    )
+    return F.when(keys.owns_file(owner), F.concat(prefix, keys.id_of_owner(owner))).otherwise(doc_key)
+
+
 def with_links(rows: DataFrame, files: DataFrame) -> DataFrame:
     """Add ``link`` by looking the file type up.
 

@@ -115,7 +115,7 @@ def index_rows(contents: DataFrame, models: Models | None = None) -> tuple[DataF
     whole = inference.embedded(embedded).join(broken, "key", "left_anti")
     # the file's MIME type came along on every row, so the link needs no lookup
     rows = index.indexable(whole, "mime_type", "owner", "idx").withColumn(
-        "link", index.source_link(F.col("row_key"), F.col("mime_type"))
+        "link", index.link_of_owner(F.col("owner"), F.col("doc_key"), F.col("mime_type"))
     )
     failed = (
         chunk.unchunkable(once)
