@@ -44,9 +44,6 @@ LEAST_SPARE_PERCENT = 3
 #: Deals after which an empty part is a key as well.
 MOST_DEALS = 12
 
-#: Stands for a missing id.
-NO_ID = -(2**63)
-
 _NONE = np.empty(0, dtype=np.int64)
 
 
@@ -174,13 +171,22 @@ def _facts(rule: Rule) -> Callable[[Batches], Batches]:
     return run
 
 
-def _signature_rows(rule: Rule) -> Callable[[Batches], Batches]:
+def _first_sets(batch: pa.RecordBatch, rule: Rule, first: Broadcast) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Names and sets of the rows that may be the first of their class, empty ones left out."""
+    for rows, sets in text_sets(batch, rule):
+        names = np.array([set_hash(s) for s in sets], dtype=np.int64)
+        own = sieve.passes(first.value, sieve.row_keys(names, rows.column("doc_id")))
+        at = [i for i in np.flatnonzero(own).tolist() if len(sets[i])]
+        yield [int(names[i]) for i in at], [sets[i] for i in at]
+
+
+def _signature_rows(rule: Rule, first: Broadcast) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         bands: dict[int, int] = {}
         for batch in batches:
-            for _, sets in text_sets(batch, rule):
-                keys = [signatures(s, rule, bands) for s in sets]
-                owners = np.repeat([set_hash(s) for s in sets], [len(k) for k in keys]).astype(np.int64)
+            for names, sets in _first_sets(batch, rule, first):
+                keys = [_NONE.view(np.uint64), *(signatures(s, rule, bands) for s in sets)]
+                owners = np.repeat(np.array([0, *names], dtype=np.int64), [len(k) for k in keys])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(words.signed(np.concatenate(keys))), pa.array(owners)], names=["key", "owner"]
                 )
@@ -188,13 +194,13 @@ def _signature_rows(rule: Rule) -> Callable[[Batches], Batches]:
     return run
 
 
-def _incidence(rule: Rule, shared: Broadcast) -> Callable[[Batches], Batches]:
-    """(class, key) for the part hashes that may stand in two classes; a class once a batch."""
+def _incidence(rule: Rule, first: Broadcast, shared: Broadcast) -> Callable[[Batches], Batches]:
+    """(class, key) for the part hashes that may stand in two classes."""
 
     def run(batches: Batches) -> Batches:
         bands: dict[int, int] = {}
         for batch in batches:
-            for names, sets in _new_sets(batch, rule):
+            for names, sets in _first_sets(batch, rule, first):
                 keys = [signatures(s, rule, bands) for s in sets]
                 hits = [words.signed(k[sieve.passes(shared.value, k)]) for k in keys]
                 yield pa.RecordBatch.from_arrays(
@@ -208,53 +214,23 @@ def _incidence(rule: Rule, shared: Broadcast) -> Callable[[Batches], Batches]:
     return run
 
 
-def sample_key(names: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """A hash of a class and a row's id."""
-    return words.mix(names.view(np.uint64) ^ words.mix(ids.view(np.uint64)))
-
-
-def _sample_keys(batches: Batches) -> Batches:
-    for batch in batches:
-        keys = sample_key(batch.column("class").to_numpy(), batch.column("least").to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array(words.signed(keys))], names=["key"])
-
-
 def _wanted_sets(rule: Rule, wanted: Broadcast) -> Callable[[Batches], Batches]:
-    """The sets of the classes that may be wanted, from the row with the least id; a class once a batch.
+    """The sets of the classes that may be wanted, from their first rows.
 
     A few other rows may pass the map: a block sees to it that a class counts once.
     """
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            seen: set[int] = set()
-            for rows, sets in text_sets(batch, rule):
-                names = np.array([set_hash(s) for s in sets], dtype=np.int64)
-                ids = rows.column("doc_id").fill_null(NO_ID).to_numpy()
-                hits = np.flatnonzero(sieve.passes(wanted.value, sample_key(names, ids)))
-                pick = [i for i in hits.tolist() if len(sets[i]) and not (names[i] in seen or seen.add(names[i]))]
+            for names, sets in _first_sets(batch, rule, wanted):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names[pick]), pa.array([pack_sorted(sets[i]) for i in pick], type=pa.binary())],
+                    [pa.array(names, pa.int64()), pa.array([pack_sorted(s) for s in sets], type=pa.binary())],
                     names=["class", "grams"],
                 )
 
     return run
 
 
-def _new_sets(batch: pa.RecordBatch, rule: Rule) -> Iterator[tuple[list[int], list[np.ndarray]]]:
-    """Names and sets of the classes that a batch has, empty ones left out."""
-    seen: set[int] = set()
-    for _, sets in text_sets(batch, rule):
-        names, new = [], []
-        for own in sets:
-            name = set_hash(own)
-            if len(own) and name not in seen:
-                seen.add(name)
-                names.append(name)
-                new.append(own)
-        yield names, new
-
-
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """The product of two blocks of the incidence matrix: overlap counts of all their rows.
 
@@ -322,8 +298,9 @@ def _product(rule: Rule) -> Callable[[pa.Table], pa.Table]:
 
 def links(texts: DataFrame, facts: DataFrame, rule: Rule) -> DataFrame:
     """Edges (a, b) between classes that connect what all links between different sets connect."""
-    shared = sieve.shared_bitmap(texts, _signature_rows(rule))
-    incidence = materialise(texts.mapInArrow(_incidence(rule, shared), "class long, key long"), "incidence")
+    first = sieve.firsts(facts.where("n_shingles > 0"), "class")
+    shared = sieve.shared_bitmap(texts, _signature_rows(rule, first))
+    incidence = materialise(texts.mapInArrow(_incidence(rule, first, shared), "class long, key long"), "incidence")
     stars = (
         incidence.groupBy("key")
         .agg(F.min("class").alias("least"), F.max("class").alias("most"))
@@ -333,8 +310,7 @@ def links(texts: DataFrame, facts: DataFrame, rule: Rule) -> DataFrame:
     edges = incidence.join(stars, "key").select(F.col("class").alias("a"), F.col("least").alias("b"))
     component = materialise(connected(edges), "blocks")
     members = component.select(F.col("node").alias("class"))
-    samples = facts.join(members, "class", "left_semi").groupBy("class").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("least"))
-    wanted = sieve.bitmap(samples.mapInArrow(_sample_keys, "key long"))
+    wanted = sieve.firsts(facts.join(members, "class", "left_semi"), "class")
     candidates = texts.mapInArrow(_wanted_sets(rule, wanted), "class long, grams binary")
     sizes = component.groupBy("root").agg(F.count("*").alias("size"))
     placed = (

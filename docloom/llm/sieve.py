@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.packing import pack, pack_sorted, unpack, unpack_sorted
+from docloom.llm.words import mix
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -29,8 +30,9 @@ SLICE_KEYS = 1 << 21
 BUCKET_KEYS = 1 << 20
 BYTES_A_KEY = 6
 LEAST_BUCKET_BITS = 4
+#: Stands for a missing id.
+NO_ID = -(2**63)
 
-_SEVERAL = 0  # number of the owner in a block whose key has several; others are numbered from 1
 
 
 def _blocks(rows: Callable[[Batches], Batches], bucket_bits: int) -> Callable[[Batches], Batches]:
@@ -42,34 +44,31 @@ def _blocks(rows: Callable[[Batches], Batches], bucket_bits: int) -> Callable[[B
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         counts = np.diff(np.append(starts, len(keys)))
         several = np.logical_or.reduceat(owners != np.repeat(owners[starts], counts), starts)
-        keys, owners = keys[starts], owners[starts]
-        bucket = keys >> np.uint64(64 - bucket_bits) if bucket_bits else np.zeros(len(keys), dtype=np.uint64)
+        keys = keys[starts]
+        bucket = keys >> np.uint64(64 - bucket_bits)
         limits = np.append(np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(keys))
-        tables, places = [], []
-        for a, b in zip(limits[:-1], limits[1:], strict=True):
-            table, which = np.unique(owners[a:b], return_inverse=True)
-            tables.append(table.tobytes())
-            places.append(pack(np.where(several[a:b], _SEVERAL, which + 1)))
+        parts = list(zip(limits[:-1], limits[1:], strict=True))
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(bucket[limits[:-1]].astype(np.int32)),
-                pa.array([pack_sorted(keys[a:b]) for a, b in zip(limits[:-1], limits[1:], strict=True)], pa.binary()),
-                pa.array(tables, pa.binary()),
-                pa.array(places, pa.binary()),
+                pa.array([pack_sorted(keys[a:b]) for a, b in parts], pa.binary()),
+                pa.array([pack(np.flatnonzero(several[a:b])) for a, b in parts], pa.binary()),
             ],
-            names=["bucket", "keys", "owners", "owner_of"],
+            names=["bucket", "keys", "several"],
         )
 
     def run(batches: Batches) -> Batches:
         keys: list[np.ndarray] = []
         owners: list[np.ndarray] = []
+        size = 0
         for batch in rows(batches):
             keys.append(batch.column("key").to_numpy().view(np.uint64))
             owners.append(batch.column("owner").to_numpy())
-            if sum(map(len, keys)) >= SLICE_KEYS:
+            size += len(keys[-1])
+            if size >= SLICE_KEYS:
                 yield block(np.concatenate(keys), np.concatenate(owners))
-                keys, owners = [], []
-        if sum(map(len, keys)):
+                keys, owners, size = [], [], 0
+        if size:
             yield block(np.concatenate(keys), np.concatenate(owners))
 
     return run
@@ -80,21 +79,10 @@ def _mark(bucket_bits: int) -> Callable[[pa.Table], pa.Table]:
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        keys, owners, several = [], [], []
-        for k in range(table.num_rows):
-            own = unpack_sorted(table.column("keys")[k].as_py())
-            place = unpack(table.column("owner_of")[k].as_py()).astype(np.int64)
-            names = np.frombuffer(table.column("owners")[k].as_py(), dtype=np.int64)
-            several.append(own[place == _SEVERAL])
-            single = place != _SEVERAL
-            keys.append(own[single])
-            owners.append(names[place[single] - 1])
-        keys, owners = np.concatenate(keys), np.concatenate(owners)
-        order = np.argsort(keys, kind="stable")
-        keys, owners = keys[order], owners[order]
-        # Of equal keys with several owners, two that stand side by side differ.
-        apart = (keys[1:] == keys[:-1]) & (owners[1:] != owners[:-1])
-        shared = np.concatenate([*several, keys[1:][apart]])
+        keys = [unpack_sorted(x.as_py()) for x in table.column("keys")]
+        several = [k[unpack(x.as_py()).astype(np.int64)] for k, x in zip(keys, table.column("several"), strict=True)]
+        every = np.sort(np.concatenate(keys))
+        shared = np.concatenate([*several, every[1:][every[1:] == every[:-1]]])
         slots = (shared >> np.uint64(64 - BITS)).astype(np.int64)
         bits = np.zeros(1 << (BITS - bucket_bits), dtype=bool)
         bits[slots - (bucket << (BITS - bucket_bits))] = True
@@ -104,10 +92,14 @@ def _mark(bucket_bits: int) -> Callable[[pa.Table], pa.Table]:
 
 
 def shared_bitmap(texts: DataFrame, rows: Callable[[Batches], Batches]) -> Broadcast:
-    """The bitmap of the keys with several owners among the (key, owner) batches of texts."""
+    """The bitmap of the keys with several owners among the (key, owner) batches of texts.
+
+    A key that two slices have counts as shared: texts with one owner are to come once, as far as
+    :func:`firsts` can tell, else their keys pass too.
+    """
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bucket_bits = min(max((size // (BYTES_A_KEY * BUCKET_KEYS)).bit_length(), LEAST_BUCKET_BITS), BITS - 3)
-    blocks = texts.mapInArrow(_blocks(rows, bucket_bits), "bucket int, keys binary, owners binary, owner_of binary")
+    blocks = texts.mapInArrow(_blocks(rows, bucket_bits), "bucket int, keys binary, several binary")
     marked = blocks.groupBy("bucket").applyInArrow(_mark(bucket_bits), "bucket int, bits binary")
     whole = np.zeros((1 << BITS) // 8, dtype=np.uint8)
     width = len(whole) >> bucket_bits
@@ -156,6 +148,27 @@ def bitmap(keys: DataFrame) -> Broadcast:
     return keys.sparkSession.sparkContext.broadcast(whole)
 
 
+def row_keys(names: np.ndarray, ids: pa.Array) -> np.ndarray:
+    """A key for each row's name (of its contents) and id."""
+    numbers = ids.fill_null(NO_ID).to_numpy().view(np.uint64)
+    return mix(names.view(np.uint64) ^ mix(numbers))
+
+
+def _row_keys(batches: Batches) -> Batches:
+    for batch in batches:
+        keys = row_keys(batch.column("name").to_numpy(), batch.column("least"))
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], names=["key"])
+
+
+def firsts(rows: DataFrame, name: str) -> Broadcast:
+    """The bitmap of the rows with the least ``doc_id`` of each name; a few others may pass.
+
+    What passes is one row of equal ones in nearly all cases, and never none.
+    """
+    least = rows.groupBy(F.col(name).alias("name")).agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("least"))
+    return bitmap(least.mapInArrow(_row_keys, "key long"))
+
+
 def passes(whole: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """For unsigned keys, whether their bit is set."""
     slots = keys >> np.uint64(64 - BITS)

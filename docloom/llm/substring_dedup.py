@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import sieve, words
+from docloom.session import materialise
 
 WINDOW = 13
 GRAM = 5
@@ -51,28 +52,37 @@ def _window_keys(found: words.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return at, hashes, least[at]
 
 
-def _grams(batches: Batches) -> Batches:
-    for batch in batches:
-        for rows, found in words.chunks(batch, "text"):
-            at, _, keys = _window_keys(found)
-            text_of = found.text_of[at]
-            new = np.ones(len(keys), dtype=bool)
-            new[1:] = (keys[1:] != keys[:-1]) | (text_of[1:] != text_of[:-1])
-            owners = words.signed(found.text_hashes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(words.signed(keys[new])), pa.array(owners[text_of[new]])], names=["key", "owner"]
-            )
+def _is_first(rows: pa.RecordBatch, owners: np.ndarray, first: Broadcast) -> np.ndarray:
+    """Whether a row may be the one with the least id of its text."""
+    return sieve.passes(first.value, sieve.row_keys(owners, rows.column("doc_id")))
 
 
-def _windows(shared: Broadcast) -> Callable[[Batches], Batches]:
+def _grams(first: Broadcast) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            for rows, found in words.chunks(batch, "text"):
+                at, _, keys = _window_keys(found)
+                text_of = found.text_of[at]
+                owners = words.signed(found.text_hashes())
+                new = np.ones(len(keys), dtype=bool)
+                new[1:] = (keys[1:] != keys[:-1]) | (text_of[1:] != text_of[:-1])
+                new &= _is_first(rows, owners, first)[text_of]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(words.signed(keys[new])), pa.array(owners[text_of[new]])], names=["key", "owner"]
+                )
+
+    return run
+
+
+def _windows(first: Broadcast, shared: Broadcast) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         for batch in batches:
             for rows, found in words.chunks(batch, "text"):
                 at, hashes, keys = _window_keys(found)
-                hit = sieve.passes(shared.value, keys)
+                owners = words.signed(found.text_hashes())
+                hit = sieve.passes(shared.value, keys) & _is_first(rows, owners, first)[found.text_of[at]]
                 at, hashes = at[hit], hashes[hit]
                 text_of = found.text_of[at]
-                owners = words.signed(found.text_hashes())
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(words.signed(hashes)),
@@ -188,8 +198,10 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     """
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     named = texts.where("doc_id is not null")
-    shared = sieve.shared_bitmap(named, _grams)
-    windows = named.mapInArrow(_windows(shared), "window long, doc_id long, text_hash long, at int")
+    lengths = materialise(named.mapInArrow(_lengths, "doc_id long, text_hash long, n_words long"), "lengths")
+    first = sieve.firsts(lengths, "text_hash")
+    shared = sieve.shared_bitmap(named, _grams(first))
+    windows = named.mapInArrow(_windows(first, shared), "window long, doc_id long, text_hash long, at int")
     least = (
         windows.groupBy("window")
         .agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
@@ -197,10 +209,8 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
         .select("window", "least")
     )
     repeated = windows.join(least, "window").where(F.col("doc_id") > F.col("least"))
-    # Copies of a whole text share no key with another text in the sieve: they are told by its hash.
-    long_enough = named.mapInArrow(_lengths, "doc_id long, text_hash long, n_words long").where(
-        F.col("n_words") >= WINDOW
-    )
+    # All windows of a copy start in the first row of its text too: it goes as a whole, told by its hash.
+    long_enough = lengths.where(F.col("n_words") >= WINDOW)
     originals = (
         long_enough.groupBy("text_hash", "n_words")
         .agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
