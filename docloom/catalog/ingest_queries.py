@@ -14,6 +14,7 @@ from docloom.functions.vectors import as_double, l2_norm
 from docloom.operators import crawl, errors, extract, index, ingest
 from docloom.session import new_folder
 from docloom.sources import messages as message_source
+from docloom.sources import files as file_system
 from docloom.sources import sinks, stores
 from docloom.streaming import jobs
 
@@ -809,16 +810,19 @@ def ten_minute_windows(spark, sf_dir):
 def _late_stream(spark, sf_dir):
     """All events, the newest one again, and all of them again when nearly every window has closed.
 
-    Spark tests lateness against the watermark of the batch before, so the batch in the
-    middle is what makes the last one late.
+    The stream is run three times on one checkpoint, each time over files of any number.  Spark tests
+    lateness against the watermark of the batch before, so the run in the middle is what makes the
+    last one late.
     """
-    folder = new_folder(spark, "late")
+    folder, out, checkpoint = (new_folder(spark, name) for name in ("late", "s03", "s03-checkpoint"))
     events = inputs.given(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
     newest = events.agg(F.max("ts").alias("ts"))
+    file_system.make_folder(spark, folder)
+    stream = jobs.window_counts(spark.readStream.schema(events.schema).parquet(folder))
     for rows in (events, events.join(newest, "ts"), events):
-        rows.select("event_id", "ts").coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    return run_stream(spark, jobs.window_counts(stream), "s03")
+        rows.select("event_id", "ts").write.mode("append").parquet(folder)
+        jobs.run_available(stream, out, checkpoint)
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 @query("S03_late_rows_dropped", WINDOWS.format(size="1 minute"))
@@ -836,6 +840,28 @@ def one_result_per_window(spark, sf_dir):
     return rows.agg(F.count("*").alias("results"))
 
 
+@query(
+    "F06_ids_per_minute",
+    "SELECT DISTINCT user_id::VARCHAR AS id, epoch(date_trunc('minute', ts))::BIGINT AS window_start FROM events",
+)
+def ids_per_minute(spark, sf_dir):
+    """Ids of every minute, from a folder that fills up while the stream is run five times."""
+    folder, out, checkpoint = (new_folder(spark, name) for name in ("ids", "f06", "f06-checkpoint"))
+    ids = inputs.given(spark, sf_dir, "events").select(
+        F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("id")
+    )
+    file_system.make_folder(spark, folder)
+    stream = jobs.ids_per_window(spark.readStream.schema(ids.schema).parquet(folder))
+    ends = ids.agg(F.min(F.unix_timestamp("ts")).alias("a"), F.max(F.unix_timestamp("ts")).alias("b")).first()
+    fifth = F.floor((F.unix_timestamp("ts") - F.lit(ends.a)) * 5 / F.lit((ends.b or 0) - (ends.a or 0) + 1))
+    for k in range(5):
+        ids.where(fifth == k).write.mode("append").parquet(folder)
+        jobs.run_available(stream, out, checkpoint)
+    return spark.read.schema(stream.schema).parquet(out).select(
+        "id", F.unix_timestamp("window_start").alias("window_start")
+    )
+
+
 @query("F06_deduplicate_ids_stream", "SELECT DISTINCT user_id::VARCHAR AS id FROM events")
 def deduplicate_ids_stream(spark, sf_dir):
     """Ids of one micro-batch within the window, then over the whole table."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -19,8 +20,9 @@ from docloom.fixed_values import (
 from docloom.operators import errors, index
 from docloom.plans import ingestion
 from docloom.session import materialise
-from docloom.sources import messages, sinks
+from docloom.sources import files, messages, sinks
 from docloom.sources.versions import Store
+from docloom.streaming import state
 
 # --- windows -------------------------------------------------------------------
 
@@ -48,6 +50,29 @@ def deduplicate(stream: DataFrame) -> DataFrame:
     return index.distinct_ids_streaming(stream)
 
 
+def ids_per_window(stream: DataFrame, length: str = INGESTION_WINDOW, lateness: str = ALLOWED_LATENESS) -> DataFrame:
+    """Each id once in every window it occurs in, however the stream is cut into batches.
+
+    The window is part of the key, so the state of a window ends when the watermark has passed it.
+    """
+    return (
+        stream.withWatermark("ts", lateness)
+        .select("id", F.window("ts", length).alias("w"))
+        .dropDuplicates(["id", "w"])
+        .select("id", F.col("w.start").alias("window_start"))
+    )
+
+
+def run_available(stream: DataFrame, folder: str, checkpoint: str) -> list[dict]:
+    """Read what there is now into a parquet folder; the progress of its batches.
+
+    Called again with the same checkpoint it goes on where it stopped.
+    """
+    run = append_to(stream, folder, checkpoint, availableNow=True)
+    run.awaitTermination()
+    return [json.loads(p.json) if hasattr(p, "json") else p for p in run.recentProgress]
+
+
 # --- running a stream ----------------------------------------------------------
 
 
@@ -95,7 +120,7 @@ def each_batch(
 
 
 def ingestion_handler(
-    files: ingestion.FileStore,
+    file_store: ingestion.FileStore,
     store: Store,
     error_folder: str,
     retry_folder: str,
@@ -110,7 +135,7 @@ def ingestion_handler(
     """
 
     def handle(rows: DataFrame, batch: Batch) -> None:
-        result = ingestion.ingest_messages(rows, files, models)
+        result = ingestion.ingest_messages(rows, file_store, models)
         found = materialise(result.errors, "errors")
         if lines_folder:
             sinks.write_content_lines(result.contents, lines_folder)
@@ -130,11 +155,35 @@ def start_ingestion(
 
 
 def start_requeue(
-    retries: DataFrame, message_folder: str, checkpoint: str, **trigger
+    retries: DataFrame, message_folder: str, checkpoint: str, window: str = RETRY_WINDOW, **trigger
 ) -> StreamingQuery:
-    """Release held retries back into the message stream when their window closes."""
-    held = errors.hold_retries(retries)
-    return each_batch(held, lambda rows, batch: messages.publish(rows, message_folder, batch.name), checkpoint, **trigger)
+    """Release held retries back into the message stream when their window is over by the clock."""
+    with state.rocksdb(retries.sparkSession):
+        return each_batch(
+            state.release_by_clock(retries, window),
+            lambda rows, batch: messages.publish(rows, message_folder, batch.name),
+            checkpoint,
+            **trigger,
+        )
+
+
+def start_all(
+    stream: DataFrame,
+    handle: Callable[[DataFrame, Batch], None],
+    retry_folder: str,
+    message_folder: str,
+    checkpoint: str,
+    window: str = RETRY_WINDOW,
+    **trigger,
+) -> tuple[StreamingQuery, StreamingQuery]:
+    """The ingestion of a message folder together with the release of what failed in it."""
+    spark = stream.sparkSession
+    files.make_folder(spark, retry_folder)
+    retries = messages.stream_messages(spark, retry_folder)
+    return (
+        start_ingestion(stream, handle, f"{checkpoint}/ingestion", **trigger),
+        start_requeue(retries, message_folder, f"{checkpoint}/requeue", window, **trigger),
+    )
 
 
 # --- session state -------------------------------------------------------------
