@@ -1,9 +1,9 @@
-"""Which keys have several owners, as a bitmap of fixed size.
+"""Which keys have several owners, as a bitmap of bounded size.
 
 A pass over all texts gives (key, owner) pairs.  Each task adds them up in slices and sends every
 distinct key of a slice once, in blocks of sorted keys: most of a key's bytes are those of the key
-before it.  Keys with at least two owners set one bit each in a map of ``2**BITS`` bits (8 MB whatever
-the input).  A second pass lets through keys whose bit is set, so every shared key passes; the few
+before it.  Keys with at least two owners set one bit each in a map of about two bits a key, at
+least 8 MB and at most 64 MB whatever the input.  A second pass lets through keys whose bit is set, so every shared key passes; the few
 others that pass cost time only, since the exact step after it looks at the keys themselves.
 """
 
@@ -22,7 +22,7 @@ from docloom.llm.words import mix
 
 Batches = Iterator[pa.RecordBatch]
 
-BITS = 26
+LEAST_BITS, MOST_BITS = 26, 29
 SEGMENT_BITS = 13
 #: Pairs that a task adds up before it sends them.
 SLICE_KEYS = 1 << 21
@@ -74,7 +74,12 @@ def _blocks(rows: Callable[[Batches], Batches], bucket_bits: int) -> Callable[[B
     return run
 
 
-def _mark(bucket_bits: int) -> Callable[[pa.Table], pa.Table]:
+def map_bits(keys: int) -> int:
+    """Bits of a map, as a power of two, for so many keys."""
+    return min(max((2 * keys).bit_length(), LEAST_BITS), MOST_BITS)
+
+
+def _mark(bits: int, bucket_bits: int) -> Callable[[pa.Table], pa.Table]:
     """The part of the map that a bucket's shared keys set."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -83,10 +88,10 @@ def _mark(bucket_bits: int) -> Callable[[pa.Table], pa.Table]:
         several = [k[unpack(x.as_py()).astype(np.int64)] for k, x in zip(keys, table.column("several"), strict=True)]
         every = np.sort(np.concatenate(keys))
         shared = np.concatenate([*several, every[1:][every[1:] == every[:-1]]])
-        slots = (shared >> np.uint64(64 - BITS)).astype(np.int64)
-        bits = np.zeros(1 << (BITS - bucket_bits), dtype=bool)
-        bits[slots - (bucket << (BITS - bucket_bits))] = True
-        return pa.table({"bucket": pa.array([bucket], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+        slots = (shared >> np.uint64(64 - bits)).astype(np.int64)
+        part = np.zeros(1 << (bits - bucket_bits), dtype=bool)
+        part[slots - (bucket << (bits - bucket_bits))] = True
+        return pa.table({"bucket": pa.array([bucket], pa.int32()), "bits": pa.array([np.packbits(part).tobytes()], pa.binary())})
 
     return run
 
@@ -98,10 +103,11 @@ def shared_bitmap(texts: DataFrame, rows: Callable[[Batches], Batches]) -> Broad
     :func:`firsts` can tell, else their keys pass too.
     """
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bucket_bits = min(max((size // (BYTES_A_KEY * BUCKET_KEYS)).bit_length(), LEAST_BUCKET_BITS), BITS - 3)
+    bits = map_bits(size // BYTES_A_KEY)
+    bucket_bits = min(max((size // (BYTES_A_KEY * BUCKET_KEYS)).bit_length(), LEAST_BUCKET_BITS), bits - 3)
     blocks = texts.mapInArrow(_blocks(rows, bucket_bits), "bucket int, keys binary, several binary")
-    marked = blocks.groupBy("bucket").applyInArrow(_mark(bucket_bits), "bucket int, bits binary")
-    whole = np.zeros((1 << BITS) // 8, dtype=np.uint8)
+    marked = blocks.groupBy("bucket").applyInArrow(_mark(bits, bucket_bits), "bucket int, bits binary")
+    whole = np.zeros((1 << bits) // 8, dtype=np.uint8)
     width = len(whole) >> bucket_bits
     for row in marked.toLocalIterator():
         whole[row.bucket * width : (row.bucket + 1) * width] = np.frombuffer(row.bits, dtype=np.uint8)
@@ -137,11 +143,12 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def bitmap(keys: DataFrame) -> Broadcast:
-    """The bitmap of the given keys, on all executors."""
-    slots = keys.select(F.shiftrightunsigned("key", 64 - BITS).alias("slot"))
+def bitmap(keys: DataFrame, count: int = 0) -> Broadcast:
+    """The bitmap of the given keys, about ``count`` of them, on all executors."""
+    bits = map_bits(8 * count)
+    slots = keys.select(F.shiftrightunsigned("key", 64 - bits).alias("slot"))
     segments = slots.repartition(F.shiftright("slot", SEGMENT_BITS)).mapInArrow(_segments, "segment long, bits binary")
-    whole = np.zeros((1 << BITS) // 8, dtype=np.uint8)
+    whole = np.zeros((1 << bits) // 8, dtype=np.uint8)
     width = (1 << SEGMENT_BITS) // 8
     for row in segments.toLocalIterator():
         whole[row.segment * width : (row.segment + 1) * width] = np.frombuffer(row.bits, dtype=np.uint8)
@@ -166,11 +173,11 @@ def firsts(rows: DataFrame, name: str) -> Broadcast:
     What passes is one row of equal ones in nearly all cases, and never none.
     """
     least = rows.groupBy(F.col(name).alias("name")).agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("least"))
-    return bitmap(least.mapInArrow(_row_keys, "key long"))
+    return bitmap(least.mapInArrow(_row_keys, "key long"), rows.count())
 
 
 def passes(whole: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """For unsigned keys, whether their bit is set."""
-    slots = keys >> np.uint64(64 - BITS)
+    slots = keys >> np.uint64(65 - (8 * len(whole)).bit_length())
     bits = whole[(slots >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (slots & np.uint64(7)).astype(np.uint8))
     return (bits & 1).astype(bool)
