@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from docloom.catalog import inputs
@@ -21,8 +23,9 @@ from docloom.functions.text import collapse_spaces
 from docloom.functions.vectors import as_double, dot, l2_norm
 from docloom.operators import converse, index, inference, ivf, search
 from docloom.plans import answer
-from docloom.session import materialise
+from docloom.session import materialise, new_folder
 from docloom.sources import sinks, stores
+from docloom.sources.versions import Change
 
 
 def text(value: str) -> str:
@@ -646,3 +649,66 @@ def content_of_hits(spark, sf_dir):
     hits = materialise(_question_hits(spark, sf_dir), "hits")
     _, cells = _index(spark, sf_dir)
     return stores.content_by_key(cells, hits.select(F.col("id").alias("row_key")))
+
+
+# --- H-20, B-15: answers with what they leave behind ----------------------------
+
+_sessions: dict[tuple[str, str], str] = {}
+
+
+def _answered_sessions(spark, sf_dir):
+    """The stored sessions after all questions were answered once, though the batch came twice."""
+    known = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    if known not in _sessions:
+        path = new_folder(spark, "sessions")
+        sessions = answer.open_sessions(spark, path)
+        sessions.commit({"exchanges": Change(inputs.exchanges(spark, sf_dir))})
+        vectors, cells = _index(spark, sf_dir)
+        for _ in range(2):
+            answer.answer_and_store(
+                inputs.questions(spark, sf_dir), vectors, cells, sessions, inputs.at(F.lit(86400)), writer="questions", batch=0
+            )
+            if not sessions.committed("questions", 0, sessions.snapshot()):
+                raise RuntimeError("the answers were not stored")
+        _sessions[known] = path
+    return answer.open_sessions(spark, _sessions[known])
+
+
+@query(
+    "H20_stored_exchanges",
+    sql("", "questions", "turns", "question_hits").rstrip()
+    + f""", {ANSWERED} SELECT session_id AS session, epoch({T0})::BIGINT + 86400 AS ts, text || '___' || answer AS exchange FROM answered
+    WHERE failure IS NULL UNION ALL SELECT session, epoch(ts)::BIGINT, exchange FROM exchanges""",
+)
+def stored_exchanges(spark, sf_dir):
+    """The session table that the answer plan leaves."""
+    whole = _answered_sessions(spark, sf_dir).table("exchanges")
+    return whole.select("session", F.unix_timestamp("ts").alias("ts"), "exchange")
+
+
+@query(
+    "B15_logged_answers",
+    sql("", "questions", "turns", "question_hits").rstrip()
+    + f""", {ANSWERED} SELECT request_id, epoch({T0})::BIGINT + 86400 AS ts, '{{"text":' || to_json(text) || ',"sessionId":' || to_json(session_id)
+    || CASE WHEN has_parameters THEN ',"parameters":{{' || array_to_string(list_filter([
+        CASE WHEN expertise IS NOT NULL THEN '"botContextExpertise":' || to_json(expertise) END,
+        CASE WHEN enrich IS NOT NULL THEN '"includeOwnKnowledgeEnrichment":' || enrich END,
+        CASE WHEN max_neighbors IS NOT NULL THEN '"maxNeighbors":' || max_neighbors END,
+        CASE WHEN temperature IS NOT NULL THEN '"temperature":' || temperature END,
+        CASE WHEN max_output IS NOT NULL THEN '"maxOutputTokens":' || max_output END], lambda x: x IS NOT NULL), ',') || '}}' ELSE '' END || '}}' AS request,
+    answer, summary, links FROM answered JOIN (SELECT request_id, has_parameters, expertise, enrich, max_neighbors, temperature, max_output FROM questions)
+    USING (request_id) WHERE failure IS NULL""",
+)
+def logged_answers(spark, sf_dir):
+    """The interaction log of the same: whole requests, and the answers read back from the response."""
+    log = _answered_sessions(spark, sf_dir).table("interactions")
+    response = "content string, previousConversationSummary string, sourceLinks array<struct<link: string, distance: double>>"
+    rows = log.withColumn("r", F.from_json("response", response))
+    return rows.select(
+        "request_id",
+        F.unix_timestamp("ts").alias("ts"),
+        "request",
+        F.col("r.content").alias("answer"),
+        F.col("r.previousConversationSummary").alias("summary"),
+        F.array_join(F.transform("r.sourceLinks", lambda x: x["link"]), " ").alias("links"),
+    )

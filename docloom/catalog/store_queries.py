@@ -11,8 +11,10 @@ from docloom.catalog.ingest_queries import KIND
 from docloom.catalog.registry import query
 from docloom.catalog.sql import CTES, FILE_MIME, T0, sql
 from docloom.fixed_values import MIME_DOCUMENT, MIME_PRESENTATION, MIME_SPREADSHEET
+from docloom.functions import keys
+from docloom.operators import errors, inference
 from docloom.plans import ingestion
-from docloom.session import new_folder
+from docloom.session import materialise, new_folder
 
 #: Files asked for by messages, and read.
 WANTED = "doc_id % 10 IN (0, 1, 7) AND doc_id % 7 < 5"
@@ -151,3 +153,44 @@ def merged_store(spark, sf_dir):
     ingestion.maintain_store(store, whole=True)
     counts = store.table("vectors").groupBy("owner").agg(F.count("*").alias("chunks"))
     return counts.join(before.table("vectors").select("owner").distinct(), "owner", "left_semi")
+
+
+# --- failures of models --------------------------------------------------------
+
+
+def _picky(texts):
+    """A model that fails on texts of certain lengths."""
+    if any(len(text) % 7 == 0 for text in texts):
+        raise ValueError("no vector")
+    return inference.hashing_embedder(8)(texts)
+
+
+CODED = "to_base64(encode(to_base64(encode(text))))"
+
+
+@query(
+    "E03_model_failures",
+    sql(
+        f"""SELECT key AS element, 'embed' AS stage, CASE WHEN doc_id % 205 <= 100 THEN 'retriable' ELSE 'discardable' END AS kind, 'ValueError: no vector' AS message,
+        CASE WHEN doc_id % 205 <= 100 THEN CASE WHEN doc_id % 4 <> 3 THEN '{{"googleDrive":[{{"urlOrId":"f' || doc_id || '"}}]}}'
+        ELSE '{{"rawData":{{"id":"raw' || doc_id || '","data":"' || {CODED} || '","mimeType":"text/plain"}}}}' END END AS payload,
+        CASE WHEN doc_id % 205 <= 100 THEN doc_id % 205 + 1 END::VARCHAR AS retries
+        FROM contents WHERE key IN (SELECT key FROM chunks WHERE length(chunk) % 7 = 0)""",
+        "contents",
+        "chunks",
+    ),
+)
+def model_failures(spark, sf_dir):
+    """Documents a model fails on: what is tried again, with the request that does it."""
+    contents = inputs.contents(spark, sf_dir)
+    owned = contents.select(
+        "key", "content", "type", "mime_type",
+        F.when(F.col("doc_id") % 4 == 3, keys.owner_of_text(F.col("key"))).otherwise(keys.owner_of_file(inputs.file_id())).alias("owner"),
+        F.create_map(F.lit("retries"), (F.col("doc_id") % 205).cast("string")).alias("metadata"),
+    )
+    _, failed = ingestion.index_rows(owned, ingestion.Models(embed=_picky))
+    found = materialise(ingestion.model_errors(failed), "model-errors")
+    again = errors.retry_messages(found.withColumn("ts", F.lit(None).cast("timestamp"))).select(
+        F.col("payload").alias("request"), "payload", F.col("attributes")["retries"].alias("retries")
+    )
+    return found.join(again, "request", "left").select("element", "stage", "kind", "message", "payload", "retries")

@@ -8,9 +8,17 @@ from pyspark.sql import functions as F
 from docloom.fixed_values import ALLOWED_LATENESS, MAX_RETRIES, METADATA_RETRY_KEY, RETRY_WINDOW
 
 ERROR_COLUMNS = [
-    "kind", "stage", "content_id", "metadata", "retry_count", "element", "class_name", "message", "ts",
+    "kind", "stage", "content_id", "metadata", "retry_count", "element", "class_name", "message", "ts", "request",
 ]
-CLASS_NAMES = {"message": "IngestionError", "id": "DocumentIdError", "content": "DocumentContentError"}
+CLASS_NAMES = {
+    "message": "IngestionError",
+    "id": "DocumentIdError",
+    "content": "DocumentContentError",
+    "chunk": "ChunkError",
+    "embed": "EmbeddingError",
+}
+#: Stages at which the same request may succeed another time.
+RETRIED = ("id", "content", "chunk", "embed")
 
 
 def retries(metadata: Column) -> Column:
@@ -45,9 +53,14 @@ def union_failures(id_failures: DataFrame, message_failures: DataFrame, content_
 
 
 def classify(failures: DataFrame) -> DataFrame:
-    """A document that could not be found or read is tried again, until it was tried too often."""
+    """A document that could not be found or read, or that a model failed on, is tried again, until it
+    was tried too often.
+
+    ``request`` is what is sent then; without that column it is the file named by ``content_id``.
+    """
     count = retries(F.col("metadata"))
-    again = F.col("stage").isin("id", "content") & (count <= MAX_RETRIES)
+    again = F.col("stage").isin(*RETRIED) & (count <= MAX_RETRIES)
+    request = F.col("request") if "request" in failures.columns else F.lit(None).cast("string")
     return failures.select(
         F.when(again, "retriable").otherwise("discardable").alias("kind"),
         "stage",
@@ -60,6 +73,7 @@ def classify(failures: DataFrame) -> DataFrame:
         ).alias("class_name"),
         "message",
         "ts",
+        F.when(again, request).alias("request"),
     )
 
 
@@ -83,7 +97,8 @@ def retry_messages(errors: DataFrame) -> DataFrame:
     attributes = F.map_concat(
         others, F.create_map(F.lit(METADATA_RETRY_KEY), F.col("retry_count").cast("string"))
     )
-    return retriable(errors).select("ts", body.alias("payload"), attributes.alias("attributes"))
+    payload = F.coalesce("request", body) if "request" in errors.columns else body
+    return retriable(errors).select("ts", payload.alias("payload"), attributes.alias("attributes"))
 
 
 def error_strings(errors: DataFrame) -> DataFrame:

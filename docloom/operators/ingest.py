@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.fixed_values import INGESTION_MIME_TYPES, LINK_MIME_TYPES
+from docloom.functions import keys
 from docloom.functions.text import base64_text, is_blank, literal_map
 from docloom.sources.schemas import REQUEST
 
@@ -126,12 +127,14 @@ def raw_contents(routed: DataFrame, decode_rounds: int = 2) -> DataFrame:
         # a drop of failed rows later on would otherwise decode once more
         F.explode(F.array(text)).alias("text"),
         "payload",
+        "attributes",
         raw["id"].alias("key"),
         raw["mimeType"].alias("type"),
     )
     return decoded.select(
         "ts",
         "payload",
+        "attributes",
         "key",
         F.when(F.col("text").isNotNull(), F.array("text")).alias("content"),
         "type",
@@ -151,11 +154,14 @@ def reference_contents(routed: DataFrame) -> DataFrame:
     supported = F.transform(refs, lambda r: link_mime(r["mimeType"]).isNotNull())
     first_bad = F.array_position(supported, F.lit(False))
     kept = F.when(first_bad > 0, F.slice(refs, 1, first_bad.cast("int"))).otherwise(refs)
-    rows = routed.filter(F.col("route") == "references").select("ts", "payload", F.explode(kept).alias("ref"))
+    rows = routed.filter(F.col("route") == "references").select(
+        "ts", "payload", "attributes", F.explode(kept).alias("ref")
+    )
     ok = link_mime(F.col("ref.mimeType")).isNotNull()
     return rows.select(
         "ts",
         "payload",
+        "attributes",
         F.col("ref.url").alias("key"),
         F.when(ok, F.array("ref.url")).alias("content"),
         F.coalesce(link_mime(F.col("ref.mimeType")), F.col("ref.mimeType")).alias("type"),
@@ -163,6 +169,20 @@ def reference_contents(routed: DataFrame) -> DataFrame:
     )
 
 
+def request_of(owner: Column, key: Column, content_type: Column, content: Column) -> Column:
+    """The request that brings a content in again: its file, its reference, or the text itself."""
+    mime_of_link = literal_map({link: mime for mime, link in LINK_MIME_TYPES.items()})
+    mime = F.try_element_at(mime_of_link, content_type)
+    text = F.array_join(content, "\n")
+    coded = base64_text(base64_text(text.cast("binary")).cast("binary"))
+    files = F.struct(F.array(F.struct(keys.id_of_owner(owner).alias("urlOrId"))).alias("googleDrive"))
+    reference = F.struct(F.array(F.struct(key.alias("url"), mime.alias("mimeType"))).alias("references"))
+    raw = F.struct(F.struct(key.alias("id"), coded.alias("data"), F.lit("text/plain").alias("mimeType")).alias("rawData"))
+    return (
+        F.when(keys.owns_file(owner), F.to_json(files)).when(mime.isNotNull(), F.to_json(reference)).otherwise(F.to_json(raw))
+    )
+
+
 def contents_of(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("failure").isNull()).select("key", "content", "type")
 

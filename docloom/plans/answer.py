@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.fixed_values import MAX_NEIGHBORS, MIN_SCORE
-from docloom.operators import converse, inference, search
+from docloom.operators import converse, index, inference, search
 from docloom.session import materialise
-from docloom.sources import stores
+from docloom.sources import sinks, stores
+from docloom.sources.versions import Change, Store, Table
 
 
 @dataclass
@@ -48,8 +49,8 @@ def hits_with_content(
     ``request_of`` maps ``query_pos`` to ``request_id``.  The score bound reaches into the
     search tasks; the content table is cut down to the hit keys before it is read.
     """
-    index = vectors if isinstance(vectors, search.VectorIndex) else search.VectorIndex(vectors)
-    found = search.above(index.find(queries, settings.min_score), settings.min_score)
+    indexed = vectors if isinstance(vectors, search.VectorIndex) else search.VectorIndex(vectors)
+    found = search.above(indexed.find(queries, settings.min_score), settings.min_score)
     best = search.best_of_request(found.join(request_of, "query_pos"), settings.max_neighbors)
     best = materialise(best, "hits")
     content = stores.content_by_key(cells, best.select(F.col("id").alias("row_key")))
@@ -140,3 +141,43 @@ def answered_exchanges(results: DataFrame) -> DataFrame:
     return results.filter("failure IS NULL").select(
         F.col("session_id").alias("session"), F.col("text").alias("question"), "answer"
     )
+
+
+#: Session exchanges and the interaction log change together.
+SESSION_TABLE = Table("exchanges", "session string, ts timestamp, exchange string", "session")
+LOG_TABLE = Table("interactions", "interaction_id string, request_id string, ts timestamp, request string, response string", "interaction_id")
+
+
+def open_sessions(spark: SparkSession, path: str) -> Store:
+    """The session and log tables below a folder; a new folder is an empty store."""
+    return Store(spark, path, [SESSION_TABLE, LOG_TABLE])
+
+
+def answer_and_store(
+    questions: DataFrame,
+    vectors: DataFrame | search.VectorIndex,
+    cells: DataFrame,
+    sessions: Store,
+    now: Column,
+    settings: AnswerSettings | None = None,
+    models: AnswerModels | None = None,
+    log: bool = True,
+    writer: str | None = None,
+    batch: int | None = None,
+) -> DataFrame:
+    """Answer all questions from the stored sessions, and add the exchanges and the log in one step.
+
+    Only what is new is written; answers are complete before anything is stored, and a batch that its
+    writer has stored already adds nothing.
+    """
+    base = sessions.snapshot()
+    answered = answer(questions, vectors, cells, base.table("exchanges"), settings or AnswerSettings(), models or AnswerModels())
+    results = materialise(answered, "results")
+    none = base.table("exchanges").limit(0)
+    changes = {"exchanges": Change(index.append_exchanges(none, answered_exchanges(results), now))}
+    if log:
+        served = results.where("failure IS NULL").select("request_id", "answer", "summary", "source_links")
+        asked = questions.select("request_id", "text", "session_id", "parameters")
+        changes["interactions"] = Change(sinks.interaction_log(asked, served).withColumn("ts", now))
+    sessions.commit(changes, writer, batch, base)
+    return results

@@ -61,14 +61,14 @@ def contents_of_messages(messages: DataFrame, store: FileStore, ascii_titles: bo
         extracted.filter("failure IS NULL")
         .select(
             "key", "content", "type", file_mime.alias("mime_type"), F.current_timestamp().alias("ts"),
-            keys.owner_of_file(F.col("content_id")).alias("owner"),
+            keys.owner_of_file(F.col("content_id")).alias("owner"), "metadata",
         )
         .unionByName(
             raw.unionByName(references)
             .filter("failure IS NULL")
             .select(
                 "key", "content", "type", F.lit(None).cast("string").alias("mime_type"), "ts",
-                keys.owner_of_text(F.col("key")).alias("owner"),
+                keys.owner_of_text(F.col("key")).alias("owner"), F.col("attributes").alias("metadata"),
             )
         )
     )
@@ -82,7 +82,8 @@ def contents_of_messages(messages: DataFrame, store: FileStore, ascii_titles: bo
 
 
 def index_rows(contents: DataFrame, models: Models | None = None) -> tuple[DataFrame, DataFrame]:
-    """Chunks with vectors and links, and what failed on the way: ``stage, key, failure``.
+    """Chunks with vectors and links, and what failed on the way, once for each document and stage:
+    ``stage, key, failure``, the ``request`` to try it again and its ``metadata``.
 
     A document asked for twice is indexed once, with its newest content where ``contents`` has a
     ``ts`` (of contents of one time the greatest), and so is an ``owner`` under two keys, a file whose
@@ -94,10 +95,13 @@ def index_rows(contents: DataFrame, models: Models | None = None) -> tuple[DataF
         contents = contents.withColumn("ts", F.lit(None).cast("timestamp"))
     if "owner" not in contents.columns:
         contents = contents.withColumn("owner", keys.owner_of_text(F.col("key")))
+    if "metadata" not in contents.columns:
+        contents = contents.withColumn("metadata", F.lit(None).cast("map<string,string>"))
     once = (
-        contents.groupBy("owner")
-        .agg(F.max(F.struct("ts", "key", "content", "type", "mime_type")).alias("c"))
-        .select("c.key", "c.content", "c.type", "c.mime_type", "owner")
+        contents.withColumn("attributes", F.to_json("metadata"))
+        .groupBy("owner")
+        .agg(F.max(F.struct("ts", "key", "content", "type", "mime_type", "attributes")).alias("c"))
+        .select("c.key", "c.content", "c.type", "c.mime_type", "c.attributes", "owner")
     )
     strategy = chunk.chunk_strategy(F.col("type"))
     texts = chunk.chunk_texts(once, "mime_type", "owner")
@@ -117,33 +121,41 @@ def index_rows(contents: DataFrame, models: Models | None = None) -> tuple[DataF
     rows = index.indexable(whole, "mime_type", "owner", "idx").withColumn(
         "link", index.link_of_owner(F.col("owner"), F.col("doc_key"), F.col("mime_type"))
     )
-    failed = (
-        chunk.unchunkable(once)
-        .unionByName(
-            parsed.filter("chunks IS NULL").select(
-                "key", F.coalesce("chunk_error", F.lit("The model answer is no list of chunks")).alias("failure")
-            )
+    failures = (
+        parsed.filter("chunks IS NULL")
+        .select(
+            "key", F.coalesce("chunk_error", F.lit("The model answer is no list of chunks")).alias("failure"), F.lit("chunk").alias("stage")
         )
-        .withColumn("stage", F.lit("chunk"))
         .unionByName(
             inference.embed_failures(embedded).select(
                 "key", F.col("embed_error").alias("failure"), F.lit("embed").alias("stage")
             )
         )
+        .groupBy("key", "stage")
+        .agg(F.min("failure").alias("failure"))
+    )
+    again = once.select(
+        "key",
+        ingest.request_of(F.col("owner"), F.col("key"), F.col("type"), F.col("content")).alias("request"),
+        F.from_json("attributes", "map<string,string>").alias("metadata"),
+    )
+    failed = failures.join(again, "key").unionByName(
+        chunk.unchunkable(once).withColumn("stage", F.lit("type")), allowMissingColumns=True
     )
     return rows.select("row_key", "doc_key", "owner", F.col("idx").alias("position"), "content", "embedding", "link"), failed
 
 
 def model_errors(failed: DataFrame) -> DataFrame:
-    """Failures of the chunk and embed stages as discardable errors."""
+    """Failures of the chunk and embed stages as errors; a type that no model reads is not tried again."""
     return errors.classify(
         failed.select(
             "stage",
             F.col("key").alias("content_id"),
-            F.lit(None).cast("map<string,string>").alias("metadata"),
+            "metadata",
             F.col("key").alias("element"),
             F.col("failure").alias("message"),
             F.current_timestamp().alias("ts"),
+            "request",
         )
     )
 

@@ -36,7 +36,7 @@ PARAMETERS = (
 QUESTIONS = f"request_id string, text string, session_id string, parameters {PARAMETERS}"
 ERRORS = (
     "kind string, stage string, content_id string, metadata map<string,string>, retry_count int, "
-    "element string, class_name string, message string, ts timestamp"
+    "element string, class_name string, message string, ts timestamp, request string"
 )
 MODEL_RESPONSE = "parts array<string>, block_reason string, block_message string"
 EMBEDDING_PREDICTION = (
