@@ -73,7 +73,7 @@ def exact_search(spark, sf_dir):
 
 @query("G02_exact_search_blocks", sql(f"SELECT {HIT} FROM ranked", "ranked"))
 def exact_search_blocks(spark, sf_dir):
-    """The same for a query table too large to share: blocks meet through a shuffle."""
+    """The same for a query table too large to share at once: one slice after the other is shared."""
     return _shown(
         search.exact(inputs.vector_queries(spark, sf_dir), inputs.vectors(spark, sf_dir), broadcast_bytes=0)
     )

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -81,8 +82,10 @@ def query_matrix(queries: DataFrame, metric: str) -> tuple[np.ndarray, np.ndarra
 
 def _scan_all(queries: DataFrame, vectors: DataFrame, k: int, metric: str, min_score: float | None) -> DataFrame:
     """Hand a small query matrix to every task and read the vectors once, without a shuffle."""
-    shared = queries.sparkSession.sparkContext.broadcast(query_matrix(queries, metric))
+    return _scan(queries.sparkSession.sparkContext.broadcast(query_matrix(queries, metric)), vectors, k, metric, min_score)
 
+
+def _scan(shared: Broadcast, vectors: DataFrame, k: int, metric: str, min_score: float | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         positions, wanted = shared.value
         best = Best(k, min_score)
@@ -94,6 +97,27 @@ def _scan_all(queries: DataFrame, vectors: DataFrame, k: int, metric: str, min_s
     return few_tasks(vectors.select("id", "embedding")).mapInArrow(run, HITS)
 
 
+def scan_slices(
+    queries: DataFrame, vectors: DataFrame, k: int, metric: str, min_score: float | None, slices: int
+) -> DataFrame:
+    """The same for a query table of any size: one slice of it after the other is shared.
+
+    Every slice reads the vectors once where they lie; no vector is ever shuffled.  What a slice leaves
+    is the best few hits of its queries, written to the shared folder, and its matrix is given up before
+    the next is made.
+    """
+    context, found = queries.sparkSession.sparkContext, None
+    order = W.partitionBy("query_pos").orderBy(F.desc("score"), "id")
+    for number in range(slices):
+        own = queries.where(F.pmod(F.xxhash64("query_pos"), F.lit(slices)) == number)
+        shared = context.broadcast(query_matrix(own, metric))
+        hits = _scan(shared, vectors, k, metric, min_score).withColumn("place", F.row_number().over(order))
+        best = materialise(hits.where(F.col("place") <= k).drop("place"), "slice-hits")
+        shared.unpersist()
+        found = best if found is None else found.unionByName(best)
+    return found
+
+
 def _block_counts(rows: int, size: int) -> int:
     return max(1, math.ceil(rows / size))
 
@@ -175,20 +199,17 @@ def exact(
 ) -> DataFrame:
     """The ``max_nn`` nearest vectors of every query, compared with every vector.
 
-    ``min_score`` drops hits at or below it inside the tasks already.  The work is the
-    number of queries times the number of vectors; see ``ivf`` for large tables.
+    ``min_score`` drops hits at or below it inside the tasks already.  Queries of more than
+    ``broadcast_bytes`` are taken slice by slice.  The work is the number of queries times the number
+    of vectors; see ``ivf`` for large tables.
     """
     _check_metric(metric)
     rows, dimensions, k = _greatest_k(queries)
     if rows * dimensions * 8 <= broadcast_bytes:
         hits = _scan_all(queries, vectors, k, metric, min_score)
     else:
-        counts = {
-            "part": F.lit(0),
-            "v_blocks": F.lit(_block_counts(vectors.count(), VECTOR_BLOCK)),
-            "q_blocks": F.lit(_block_counts(rows, QUERY_BLOCK)),
-        }
-        hits = scan_blocks(queries.withColumns(counts), vectors.withColumns(counts), k, metric, min_score)
+        in_slice = broadcast_bytes // (dimensions * 8) or QUERY_BLOCK
+        hits = scan_slices(queries, vectors, k, metric, min_score, _block_counts(rows, in_slice))
     return _rank(hits, queries, k, metric)
 
 
