@@ -20,15 +20,34 @@ from docloom.session import materialise
 EXTRACTABLE = [MIME_DOCUMENT, MIME_SPREADSHEET, MIME_PRESENTATION]
 
 
+def folders_below(roots: DataFrame, parents: DataFrame) -> DataFrame:
+    """(root, id) of every folder at or below a root, given (id, up) of every folder with a parent.
+
+    The steps upward double: after round n every folder within 2**n steps of a root is known, so a tree
+    a thousand folders deep takes ten rounds.  A round without a new pair ends the search, in cycles
+    too, since what lies deeper lies below a folder that this round would have found.  Each round is
+    written to the shared folder, so that the plan stays flat.
+    """
+    seen = roots.select("root", F.col("root").alias("id"))
+    steps = materialise(parents.distinct(), "crawl")
+    while True:
+        below = steps.join(seen.withColumnRenamed("id", "up"), "up").select("root", "id").distinct()
+        new = materialise(below.join(seen, ["root", "id"], "left_anti"), "crawl")
+        if new.isEmpty():
+            return seen
+        seen = seen.unionByName(new)
+        further = steps.select(F.col("id").alias("up"), F.col("up").alias("further"))
+        steps = materialise(steps.join(further, "up").select("id", F.col("further").alias("up")).distinct(), "crawl")
+
+
 def expand(transports: DataFrame, files: DataFrame) -> DataFrame:
     """Files reached from every transport: ``content_id, metadata, id, mime_type, failure``.
 
     Documents, sheets and slides are results, folders are searched in turn, other known
     types are skipped, and an unknown type or a missing file is a failure of that one
-    file.  Only the folder rows take part in the level-by-level loop; each level holds
-    (request, folder) pairs not seen before, so a cycle ends, and is written to the shared
-    folder so that the plan stays flat.  The files themselves are joined once, at the end,
-    and when one folder holds very many of them adaptive execution splits its join.
+    file.  Only the folder rows take part in the search of :func:`folders_below`.  The files
+    themselves are joined once, at the end, and when one folder holds very many of them
+    adaptive execution splits its join.
     """
     wanted = transports.select("content_id", "metadata").withColumn("root", id_from_url_or_id(F.col("content_id")))
     unreadable = wanted.filter(F.col("root").isNull()).select(
@@ -47,15 +66,8 @@ def expand(transports: DataFrame, files: DataFrame) -> DataFrame:
         .join(files.select(F.col("id").alias("root"), "mime_type"), "root", "left"),
         "crawl",
     )
-    folder_rows = materialise(files.filter(is_folder).select("id", "parent_id"), "crawl")
-    folders = roots.filter(is_folder).select("root", F.col("root").alias("id"))
-    seen = folders
-    while True:
-        below = folder_rows.join(folders.withColumnRenamed("id", "parent_id"), "parent_id").select("root", "id")
-        folders = materialise(below.join(seen, ["root", "id"], "left_anti"), "crawl")
-        if folders.isEmpty():
-            break
-        seen = seen.unionByName(folders)
+    parents = files.filter(is_folder & F.col("parent_id").isNotNull()).select("id", F.col("parent_id").alias("up"))
+    seen = folders_below(roots.filter(is_folder).select("root"), parents)
 
     inside = (
         files.filter(~is_folder)

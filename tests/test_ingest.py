@@ -91,6 +91,19 @@ def runs(*texts):
     return ([((t,),) for t in texts],)
 
 
+def test_a_thousand_nested_folders_take_eleven_rounds(spark, monkeypatch):
+    rounds = []
+    keep = crawl.materialise
+    monkeypatch.setattr(crawl, "materialise", lambda df, name="crawl": rounds.append(1) or keep(df, name))
+    depth = 1000
+    parents = [(f"d{k}", f"d{k - 1}") for k in range(1, depth)] + [("d0", f"d{depth - 1}"), ("e0", "d500"), ("e1", "e0"), ("x", "y")]
+    frame = spark.createDataFrame(parents, "id string, up string")
+    got = {tuple(r) for r in crawl.folders_below(spark.createDataFrame([("d400",), ("e0",), ("none",)], "root string"), frame).collect()}
+    assert got == {("d400", f"d{k}") for k in range(depth)} | {("d400", "e0"), ("d400", "e1"), ("e0", "e0"), ("e0", "e1"), ("none", "none")}
+    # the folders are written once, and each round writes its pairs and its steps
+    assert (len(rounds) - 1 + 1) // 2 <= 11
+
+
 def test_extraction_of_nested_bodies(spark):
     documents = spark.createDataFrame(
         [
