@@ -7,7 +7,7 @@ The document by n-gram incidence matrix is multiplied with its transpose block b
    stand in one of them alone.  With the n-grams dealt over more parts than that, at least one
    part is equal in both.  Part hashes that occur in two classes (see :mod:`sieve`) make a
    bipartite table; outside its connected components no overlap can reach the bound.
-3. The rows of a component are cut into blocks of at most ``BLOCK`` classes.  Each pair of blocks
+3. The rows of a component are cut into blocks of about ``BLOCK`` classes or ``BLOCK_BYTES`` at most.  Each pair of blocks
    is one sparse product: overlap counts are added n-gram by n-gram, pairs under the size bound
    are discarded, and of the links only a spanning forest leaves the task.
 4. The forests of all block pairs give the components of the links.
@@ -38,7 +38,8 @@ from docloom.session import materialise
 
 Batches = Iterator[pa.RecordBatch]
 
-BLOCK = 512
+#: Classes and bytes of sets that a block is expected to hold at most.
+BLOCK, BLOCK_BYTES = 1024, 4 << 20
 #: Least share of parts beyond those needed, for parts that are empty.
 LEAST_SPARE_PERCENT = 3
 #: Deals after which an empty part is a key as well.
@@ -238,10 +239,10 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     dense pieces stay small.
     """
     columns = np.intersect1d(np.concatenate(left), np.concatenate(right))
-    counts = np.zeros((len(left), len(right)), dtype=np.float32)
-    for start in range(0, len(columns), 4096):
-        own = columns[start : start + 4096]
-        counts += _dense(left, own) @ _dense(right, own).T
+    counts = np.zeros((len(left), len(right)), dtype=np.int32)
+    for start in range(0, len(columns), 2048):
+        own = columns[start : start + 2048]
+        counts += (_dense(left, own) @ _dense(right, own).T).astype(np.int32)
     return counts.astype(np.int64)
 
 
@@ -312,12 +313,21 @@ def links(texts: DataFrame, facts: DataFrame, rule: Rule) -> DataFrame:
     members = component.select(F.col("node").alias("class"))
     wanted = sieve.firsts(facts.join(members, "class", "left_semi"), "class")
     candidates = texts.mapInArrow(_wanted_sets(rule, wanted), "class long, grams binary")
-    sizes = component.groupBy("root").agg(F.count("*").alias("size"))
+    lengths = facts.join(members, "class", "left_semi").groupBy("class").agg(F.max("n_shingles").alias("n_grams"))
+    sizes = (
+        component.withColumnRenamed("node", "class")
+        .join(lengths, "class")
+        .groupBy("root")
+        .agg(
+            F.greatest(
+                F.ceil(F.sum(F.col("n_grams") * 8) / BLOCK_BYTES), F.ceil(F.count("*") / BLOCK)
+            ).cast("int").alias("blocks")
+        )
+    )
     placed = (
         candidates.select("class", "grams")
         .join(component.withColumnRenamed("node", "class"), "class")
         .join(sizes, "root")
-        .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(

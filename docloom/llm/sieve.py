@@ -2,7 +2,7 @@
 
 A pass over all texts gives (key, owner) pairs.  Each task adds them up in slices and sends every
 distinct key of a slice once, in blocks of sorted keys: most of a key's bytes are those of the key
-before it.  Keys with at least two owners set one bit each in a map of about two bits a key, at
+before it.  Keys with at least two owners set one bit each in a map of about as many bits as keys, at
 least 8 MB and at most 64 MB whatever the input.  A second pass lets through keys whose bit is set, so every shared key passes; the few
 others that pass cost time only, since the exact step after it looks at the keys themselves.
 """
@@ -76,7 +76,7 @@ def _blocks(rows: Callable[[Batches], Batches], bucket_bits: int) -> Callable[[B
 
 def map_bits(keys: int) -> int:
     """Bits of a map, as a power of two, for so many keys."""
-    return min(max((2 * keys).bit_length(), LEAST_BITS), MOST_BITS)
+    return min(max(keys.bit_length(), LEAST_BITS), MOST_BITS)
 
 
 def _mark(bits: int, bucket_bits: int) -> Callable[[pa.Table], pa.Table]:
