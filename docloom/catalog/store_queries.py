@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from docloom.catalog import inputs
 from docloom.catalog.ingest_queries import KIND
 from docloom.catalog.registry import query
-from docloom.catalog.sql import CTES, FILE_MIME, T0, sql
+from docloom.catalog.sql import CTES, FILE_MIME, T0, file_id, sql
 from docloom.fixed_values import MIME_DOCUMENT, MIME_PRESENTATION, MIME_SPREADSHEET
 from docloom.functions import keys
 from docloom.operators import errors, inference
-from docloom.plans import ingestion
+from docloom.plans import ingestion, refresh
 from docloom.session import materialise, new_folder
+from docloom.sources import messages
 
 #: Files asked for by messages, and read.
 WANTED = "doc_id % 10 IN (0, 1, 7) AND doc_id % 7 < 5"
@@ -85,10 +86,10 @@ def _two_batches(spark, sf_dir):
         return ingestion.open_store(spark, _stores[known])
     path = new_folder(spark, "store")
     store = ingestion.open_store(spark, path)
-    messages, files = inputs.messages(spark, sf_dir), inputs.files(spark, sf_dir)
+    sent, files = inputs.messages(spark, sf_dir), inputs.files(spark, sf_dir)
     ingestion.store_rows(_first(spark, sf_dir).rows, store, inputs.at(F.lit(3600)), "messages", 0)
     labelled = inputs.given(spark, sf_dir, "labels").select("doc_id").distinct()
-    again = messages.join(labelled.select(inputs.at(F.col("doc_id")).alias("ts")), "ts", "left_semi")
+    again = sent.join(labelled.select(inputs.at(F.col("doc_id")).alias("ts")), "ts", "left_semi")
     renamed = files.join(labelled.select(F.concat(F.lit("f"), "doc_id").alias("id"), F.lit(True).alias("new")), "id", "left")
     titles = renamed.withColumn("name", F.when(F.col("new"), F.concat(F.lit("New___"), "name")).otherwise(F.col("name"))).drop("new")
     second = ingestion.ingest_messages(again, _file_store(spark, sf_dir, titles), ascii_titles=True)
@@ -194,3 +195,26 @@ def model_failures(spark, sf_dir):
         F.col("payload").alias("request"), "payload", F.col("attributes")["retries"].alias("retries")
     )
     return found.join(again, "request", "left").select("element", "stage", "kind", "message", "payload", "retries")
+
+
+# --- refresh -------------------------------------------------------------------
+
+
+@query(
+    "A02_refresh_run",
+    sql(
+        f"""SELECT epoch(n)::BIGINT AS ts, '{{"googleDrive":[{{"urlOrId":"' || web_view_link || '"}}]}}' AS payload, 0::BIGINT AS attributes
+        FROM files, (SELECT max(modified_time) AS n FROM files) WHERE web_view_link IS NOT NULL AND modified_time > n - INTERVAL '6 hours'
+        AND id IN (SELECT {file_id('row_key')} FROM chunk_keys)""",
+        "files",
+        "chunk_keys",
+    ),
+)
+def refresh_run(spark, sf_dir):
+    """One run of the periodic job: the messages it publishes, read back from their folder."""
+    folder, files = new_folder(spark, "refresh"), inputs.files(spark, sf_dir)
+    newest = files.agg(F.max("modified_time").alias("m")).first().m
+    refresh.refresh(inputs.chunk_keys(spark, sf_dir), files, folder, F.lit(newest))
+    return messages.read_messages(spark, folder).select(
+        F.unix_timestamp("ts").alias("ts"), "payload", F.coalesce(F.size("attributes"), F.lit(0)).cast("bigint").alias("attributes")
+    )

@@ -99,10 +99,11 @@ def decompose_accents(text: pd.Series) -> pd.Series:
 def new_doc_key(title: Column, document_id: Column, ascii_only: bool = False) -> Column:
     """Readable document key from a title and a file id.
 
-    With ``ascii_only`` the caller vouches for titles without accents and the whole
-    expression stays in generated code.
+    Only titles with other characters than ASCII are handed to Python.  With ``ascii_only`` the
+    caller vouches that there are none and the whole expression stays in generated code.
     """
-    plain = title if ascii_only else decompose_accents(title)
+    accented = F.when(title.rlike("[^\\x00-\\x7F]"), title)
+    plain = title if ascii_only else F.coalesce(decompose_accents(accented), title)
     plain = F.regexp_replace(plain, " +", "_")
     plain = F.regexp_replace(plain, r"[\[\]()\n\r]", "")
     return F.concat(F.lower(plain), F.lit(KEY_SEPARATOR), document_id)
