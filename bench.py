@@ -34,6 +34,8 @@ HEADLINE = [
     "H04_first_answers",
     "H10_hits_with_content",
     "H21_answer_questions",
+    "P01_ingest_contents",
+    "P04_stored_cells",
     "S01_minute_windows",
 ]
 

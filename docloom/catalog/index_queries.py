@@ -181,9 +181,9 @@ KINDS = [*EMBEDDING_INPUT_TYPES, "SOUND"]
 @query(
     "M11_embedding_instances",
     """SELECT kind, url, kind = 'TEXT' AS has_text, CASE WHEN contains(kind, 'IMAGE') THEN url END AS image, CASE WHEN contains(kind, 'VIDEO') THEN url END AS video,
-    CASE WHEN kind = 'SOUND' THEN 'Embedding input type is not supported' WHEN page_id % 9 = 8 AND contains(kind, 'IMAGE') THEN 'Image data should be provided as bytes or as a location.'
-    WHEN page_id % 9 = 8 AND contains(kind, 'VIDEO') THEN 'Video data should be provided as bytes or as a location.'
-    WHEN page_id % 9 = 8 THEN 'A multimodal embeddings request should set one of text, image or video data.' END AS failure
+    CASE WHEN kind = 'SOUND' THEN 'Embedding input type is not supported' WHEN page_id % 9 = 8 AND contains(kind, 'IMAGE') THEN 'The image has neither bytes nor a place'
+    WHEN page_id % 9 = 8 AND contains(kind, 'VIDEO') THEN 'The video has neither bytes nor a place'
+    WHEN page_id % 9 = 8 THEN 'Nothing to embed: neither text nor image nor video' END AS failure
     FROM (SELECT page_id, CASE WHEN page_id % 9 <> 8 THEN url END AS url FROM pages),
     (VALUES ('TEXT'), ('IMAGE_RAW'), ('IMAGE_LINK'), ('VIDEO_RAW'), ('VIDEO_LINK'), ('SOUND')) v(kind)""",
 )
@@ -204,6 +204,37 @@ def embedding_instances(spark, sf_dir):
     )
 
 
+@query(
+    "M07_embed_instances",
+    """SELECT kind, page_id, failure, CASE WHEN failure IS NULL THEN round(('0x' || substr(h, 1, 2))::INT / 255, 6) END AS v1,
+    CASE WHEN failure IS NULL THEN round(('0x' || substr(h, 3, 2))::INT / 255, 6) END AS v2, CASE WHEN failure IS NULL THEN round(('0x' || substr(h, 5, 2))::INT / 255, 6) END AS v3,
+    CASE WHEN failure IS NULL THEN round(('0x' || substr(h, 7, 2))::INT / 255, 6) END AS v4 FROM (
+    SELECT kind, page_id, md5(CASE WHEN contains(kind, 'RAW') THEN to_base64(encode(html)) ELSE url END) AS h,
+    CASE WHEN kind = 'SOUND' THEN 'Embedding input type is not supported' WHEN page_id % 9 = 8 AND contains(kind, 'IMAGE') THEN 'The image has neither bytes nor a place'
+    WHEN page_id % 9 = 8 AND contains(kind, 'VIDEO') THEN 'The video has neither bytes nor a place'
+    WHEN page_id % 9 = 8 THEN 'Nothing to embed: neither text nor image nor video' WHEN kind = 'VIDEO_LINK' AND length(url) % 7 = 3 THEN 'ValueError: no such video' END AS failure
+    FROM pages, (VALUES ('TEXT'), ('IMAGE_RAW'), ('IMAGE_LINK'), ('VIDEO_RAW'), ('VIDEO_LINK'), ('SOUND')) v(kind))""",
+)
+def embed_instances(spark, sf_dir):
+    """Every page under every input type, its raw bytes too; some are missing, and on some the model fails."""
+    missing = F.col("page_id") % 9 == 8
+    pages = inputs.given(spark, sf_dir, "pages").select(
+        F.explode(F.array(*[F.lit(k) for k in KINDS])).alias("kind"),
+        "page_id",
+        F.when(~missing, F.col("url")).alias("text"),
+        F.when(~missing, F.col("html").cast("binary")).alias("bytes"),
+    )
+
+    def model(instances):
+        if any(len((instance["video"] or {}).get("gcsUri") or "") % 7 == 3 for instance in instances):
+            raise ValueError("no such video")
+        return inference.digest_instances(instances)
+
+    found = inference.embed_instances(pages, model, batch_bytes=1 << 16)
+    entry = [F.round(F.get("embedding", F.lit(k)), 6).alias(f"v{k + 1}") for k in range(4)]
+    return found.select("kind", "page_id", F.col("embed_error").alias("failure"), *entry)
+
+
 @query(
     "M12_shorten_vectors",
     """SELECT vec_id, len(s)::BIGINT AS dimensions, round(s[1] / sqrt(list_dot_product(s, s)), 6) AS first, 1.0::DOUBLE AS norm

@@ -18,8 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.fixed_values import CHUNK_MAX_TOKENS, EMBEDDING_INPUT_TYPES, NEGATIVE_ANSWER, VECTOR_DIMENSIONS
-from docloom.functions.text import is_blank
+from docloom.fixed_values import EMBEDDING_INPUT_TYPES, NEGATIVE_ANSWER, VECTOR_DIMENSIONS
+from docloom.functions.text import base64_text, is_blank
+from docloom.sources.schemas import EMBEDDING_PREDICTION
 
 PUNCTUATION = ".,?!"
 
@@ -27,6 +28,10 @@ Embed = Callable[[list[str]], np.ndarray]
 ChunkLinks = Callable[[list[str], list[str]], list[str]]
 Chat = Callable[[list[str], list[list[tuple[str, str]]], list[dict]], list[dict]]
 Summarise = Callable[[list[str]], list[str]]
+EmbedInstances = Callable[[list[dict]], list[dict]]
+
+#: Bytes of instances that a model is sent at once.
+INSTANCE_BYTES = 8 << 20
 
 
 def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -201,10 +206,10 @@ def instance_failure(instance: Column) -> Column:
         F.when(instance.isNull(), "Embedding input type is not supported")
         .when(
             instance["text"].isNull() & instance["image"].isNull() & instance["video"].isNull(),
-            "A multimodal embeddings request should set one of text, image or video data.",
+            "Nothing to embed: neither text nor image nor video",
         )
-        .when(empty(instance["image"]), "Image data should be provided as bytes or as a location.")
-        .when(empty(instance["video"]), "Video data should be provided as bytes or as a location.")
+        .when(empty(instance["image"]), "The image has neither bytes nor a place")
+        .when(empty(instance["video"]), "The video has neither bytes nor a place")
     )
 
 
@@ -217,6 +222,81 @@ def prediction_vector(prediction: Column) -> Column:
     )
 
 
+def digest_instances(instances: list[dict]) -> list[dict]:
+    """Default model of typed instances: four numbers from the digest of what an instance holds."""
+    predictions = []
+    for instance in instances:
+        media = instance["image"] or instance["video"] or {}
+        held = instance["text"] or media.get("bytesBase64Encoded") or media.get("gcsUri")
+        vector = [byte / 255 for byte in hashlib.md5(held.encode()).digest()[:4]]
+        segment = [{"startOffsetSec": 0, "endOffsetSec": 0, "embedding": vector}]
+        predictions.append(
+            {
+                "textEmbedding": vector if instance["text"] else None,
+                "imageEmbedding": vector if instance["image"] else None,
+                "videoEmbeddings": segment if instance["video"] else None,
+            }
+        )
+    return predictions
+
+
+def typed_instances(data: DataFrame) -> DataFrame:
+    """Add ``instance`` and ``embed_error`` to rows of ``kind``, ``text`` (text or place) and ``bytes``."""
+    held = F.when(F.col("kind").endswith("_RAW"), base64_text(F.col("bytes"))).otherwise(F.col("text"))
+    with_instance = data.withColumn("instance", embedding_instance(F.col("kind"), held))
+    return with_instance.withColumn("embed_error", instance_failure(F.col("instance")))
+
+
+def embed_instances(data: DataFrame, model: EmbedInstances = digest_instances, batch_bytes: int = INSTANCE_BYTES) -> DataFrame:
+    """Vectors of texts, images and videos in one stage.
+
+    ``data`` has ``kind`` (one of the five input types), ``text`` and ``bytes``; its other columns stay.
+    Added are ``embedding`` and ``embed_error``: an instance that cannot be sent is an error row and
+    costs no call.  The model gets instances of no more than ``batch_bytes`` at once (one, if that is
+    larger), and those of a call that fails one by one.
+    """
+    rows = typed_instances(data).drop("text", "bytes")
+    sizes = (F.coalesce(F.length(x), F.lit(0)) for x in ("instance.text", "instance.image.bytesBase64Encoded", "instance.video.bytesBase64Encoded"))
+    sized = rows.withColumn("_size", sum(sizes, F.lit(0)))
+    schema = _with_fields(
+        rows.drop("instance"),
+        T.StructField("embed_error", T.StringType()),
+        T.StructField("prediction", T.StructType.fromDDL(EMBEDDING_PREDICTION)),
+    )
+
+    def calls(sizes: list[int]) -> Iterator[slice]:
+        start, total = 0, 0
+        for at, size in enumerate(sizes):
+            if at > start and total + size > batch_bytes:
+                yield slice(start, at)
+                start, total = at, 0
+            total += size
+        if start < len(sizes):
+            yield slice(start, len(sizes))
+
+    def plain(instance) -> dict:
+        return {name: dict(value) if isinstance(value, dict) else value for name, value in instance.items()}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch.reset_index(drop=True)
+            predictions: list[dict | None] = [None] * len(batch)
+            failures = batch["embed_error"].tolist()
+            good = [k for k, failure in enumerate(failures) if failure is None]
+            sizes = batch["_size"].tolist()
+            for part in calls([sizes[k] for k in good]):
+                own = good[part]
+                found, wrong = _one_by_one(model, [plain(batch["instance"][k]) for k in own])
+                for k, prediction, failure in zip(own, found, wrong, strict=True):
+                    predictions[k], failures[k] = prediction, failure
+            yield batch.drop(columns=["instance", "_size"]).assign(
+                embed_error=pd.Series(failures, dtype=object), prediction=pd.Series(predictions, dtype=object)
+            )[schema.names]
+
+    predicted = sized.mapInPandas(run, schema)
+    return predicted.withColumn("embedding", prediction_vector(F.col("prediction"))).drop("prediction")
+
+
 # --- chunking by a model -------------------------------------------------------
 
 

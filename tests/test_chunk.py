@@ -126,3 +126,27 @@ def test_the_newest_content_of_a_key_is_indexed(spark):
     )
     rows, _ = ingestion.index_rows(contents, ingestion.Models(embed=inference.hashing_embedder(8)))
     assert [r.content for r in rows.collect()] == ["aaa new."]
+
+
+def test_instances_of_all_kinds_go_through_one_stage(spark):
+    rows = [
+        (1, "TEXT", "a text", None), (2, "IMAGE_RAW", None, b"\x00\xff" * 3000), (3, "IMAGE_LINK", "gs://b/i.png", None),
+        (4, "VIDEO_RAW", None, b"vv"), (5, "VIDEO_LINK", "gs://b/v.mp4", None), (6, "VIDEO_RAW", "no bytes", None),
+        (7, "SOUND", "x", b"x"), (8, "TEXT", None, b"x"), (9, "TEXT", "bad", None), (10, None, "x", None),
+    ]
+    data = spark.createDataFrame(rows, "id int, kind string, text string, bytes binary").coalesce(1)
+
+    def picky(instances):
+        size = sum(len(i["text"] or "") + len((i["image"] or {}).get("bytesBase64Encoded") or "") for i in instances)
+        assert len(instances) == 1 or size <= 100
+        if any(i["text"] == "bad" for i in instances):
+            raise ValueError("bad text")
+        return inference.digest_instances(instances)
+
+    got = {r.id: r for r in inference.embed_instances(data, picky, batch_bytes=100).collect()}
+    assert {k for k, r in got.items() if r.embed_error is None} == {1, 2, 3, 4, 5}
+    assert all(len(got[k].embedding) == 4 for k in (1, 2, 3, 4, 5)) and got[9].embedding is None
+    assert got[9].embed_error == "ValueError: bad text" and got[7].embed_error == got[10].embed_error
+    assert got[1].kind == "TEXT" and set(got[1].asDict()) == {"id", "kind", "embed_error", "embedding"}
+    assert inference.embed_instances(data.limit(0), picky).count() == 0
+    assert inference.embed_texts(spark.createDataFrame([("k", "one two three")], "key string, chunk string"), dimensions=5).first().token_count == 3
