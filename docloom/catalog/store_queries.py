@@ -12,7 +12,8 @@ from docloom.catalog.registry import query
 from docloom.catalog.sql import CTES, FILE_MIME, T0, file_id, sql
 from docloom.fixed_values import MIME_DOCUMENT, MIME_PRESENTATION, MIME_SPREADSHEET
 from docloom.functions import keys
-from docloom.operators import errors, inference
+from docloom.functions.html import ENTITIES, STEPS
+from docloom.operators import chunk, errors, inference
 from docloom.plans import ingestion, refresh
 from docloom.session import materialise, new_folder
 from docloom.sources import messages
@@ -218,3 +219,45 @@ def refresh_run(spark, sf_dir):
     return messages.read_messages(spark, folder).select(
         F.unix_timestamp("ts").alias("ts"), "payload", F.coalesce(F.size("attributes"), F.lit(0)).cast("bigint").alias("attributes")
     )
+
+
+# --- linked pages --------------------------------------------------------------
+
+
+def _page_steps(html: str) -> str:
+    for pattern, instead in STEPS:
+        html = f"regexp_replace({html}, {_text(pattern)}, {_text(instead)}, 'g')"
+    for name, character in ENTITIES.items():
+        html = f"replace({html}, '&{name};', {_text(character)})"
+    return html
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+#: Pages as contents; every tenth link has no page.
+PAGES = (
+    f"WITH contents AS (SELECT page_id AS doc_id, url AS key, {_page_steps('html')} AS text, NULL::VARCHAR AS mime_type FROM pages), "
+    + ", ".join(f"{name} AS ({CTES[name][1]})" for name in ("words", "starts", "heads", "chunks"))
+)
+
+
+def _linked_pages(spark, sf_dir):
+    pages = inputs.given(spark, sf_dir, "pages")
+    url = F.explode(F.array(F.col("url"), F.when(F.col("page_id") % 10 == 0, F.concat("url", F.lit("#gone")))))
+    links = pages.select(url.alias("key")).where("key IS NOT NULL")
+    contents = links.select("key", F.array("key", F.lit(" ")).alias("content"), F.lit("link/pdf").alias("type"))
+    return chunk.chunk_pages(contents, pages)
+
+
+@query("M04_page_chunks", PAGES + " SELECT key, idx::BIGINT AS idx, chunk FROM chunks")
+def page_chunks(spark, sf_dir):
+    """Chunks of the text of every linked page."""
+    read = _linked_pages(spark, sf_dir).where("chunks IS NOT NULL")
+    return chunk.explode_chunks(read).withColumn("idx", F.col("idx").cast("bigint"))
+
+
+@query("M04_unread_links", "SELECT url || '#gone' AS key, 'The link was not read: ' || url || '#gone' AS failure FROM pages WHERE page_id % 10 = 0")
+def unread_links(spark, sf_dir):
+    return _linked_pages(spark, sf_dir).where("chunk_error IS NOT NULL").select("key", F.col("chunk_error").alias("failure"))

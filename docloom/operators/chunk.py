@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.fixed_values import CHUNK_MAX_TOKENS, CHUNK_MIN_TOKENS
+from docloom.functions.html import page_text
 from docloom.functions.text import collapse_spaces, is_blank
 
 TARGET_TOKENS = 400
@@ -132,6 +133,23 @@ def chunk_texts(contents: DataFrame, *keep: str, **options) -> DataFrame:
     )
 
 
+def chunk_pages(contents: DataFrame, pages: DataFrame, *keep: str) -> DataFrame:
+    """``key, chunks, chunk_error`` (and the columns to keep) of linked contents, from the pages they name.
+
+    ``pages`` has ``url`` and ``html``, one row a url.  A link whose page is not there, or has no
+    content, is an error row; a page without text has no chunks.
+    """
+    links = contents.select("key", *keep, F.explode("content").alias("url")).filter(~is_blank(F.col("url")))
+    read = links.join(pages.select("url", F.col("html").alias("_html")), "url", "left")
+    chunks = chunk_array(text_of(F.split(page_text(F.col("_html")), "\n")))
+    return read.select(
+        "key",
+        *keep,
+        F.when(F.col("_html").isNotNull(), chunks).alias("chunks"),
+        F.when(F.col("_html").isNull(), F.concat(F.lit("The link was not read: "), F.col("url"))).alias("chunk_error"),
+    )
+
+
 def unchunkable(contents: DataFrame) -> DataFrame:
     """Contents whose type has no chunking strategy."""
     return contents.filter(chunk_strategy(F.col("type")).isNull()).select(

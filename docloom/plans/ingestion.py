@@ -29,10 +29,14 @@ class FileStore:
 
 @dataclass
 class Models:
-    """Injected model functions; the defaults need no model."""
+    """Injected model functions; the defaults need no model.
+
+    With ``pages`` (url, html) linked contents are read from that table instead of by ``chunk_links``.
+    """
 
     embed: inference.Embed | None = None
     chunk_links: inference.ChunkLinks = inference.describe_links
+    pages: DataFrame | None = None
 
 
 @dataclass
@@ -105,8 +109,13 @@ def index_rows(contents: DataFrame, models: Models | None = None) -> tuple[DataF
     )
     strategy = chunk.chunk_strategy(F.col("type"))
     texts = chunk.chunk_texts(once, "mime_type", "owner")
-    answered = inference.chunk_links(once.filter(strategy.isin("pdf", "image")), models.chunk_links, "owner")
-    parsed = materialise(answered.withColumn("chunks", chunk.parse_chunk_response(F.col("response"))), "linked")
+    links = once.filter(strategy.isin("pdf", "image"))
+    if models.pages is None:
+        answered = inference.chunk_links(links, models.chunk_links, "owner")
+        read = answered.withColumn("chunks", chunk.parse_chunk_response(F.col("response")))
+    else:
+        read = chunk.chunk_pages(links, models.pages, "owner")
+    parsed = materialise(read, "linked")
     linked = chunk.explode_chunks(parsed.filter("chunks IS NOT NULL"), "owner").withColumn(
         "mime_type", F.lit(None).cast("string")
     )
