@@ -39,7 +39,7 @@ from docloom.session import materialise
 Batches = Iterator[pa.RecordBatch]
 
 #: Classes and bytes of sets that a block is expected to hold at most.
-BLOCK, BLOCK_BYTES = 1024, 4 << 20
+BLOCK, BLOCK_BYTES = 2048, 12 << 20
 #: Least share of parts beyond those needed, for parts that are empty.
 LEAST_SPARE_PERCENT = 3
 #: Deals after which an empty part is a key as well.
