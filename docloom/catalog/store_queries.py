@@ -244,9 +244,11 @@ PAGES = (
 
 
 def _linked_pages(spark, sf_dir):
+    """Every url once, though several pages may have it: the join finds all of them for each link."""
     pages = inputs.given(spark, sf_dir, "pages")
-    url = F.explode(F.array(F.col("url"), F.when(F.col("page_id") % 10 == 0, F.concat("url", F.lit("#gone")))))
-    links = pages.select(url.alias("key")).where("key IS NOT NULL")
+    there = pages.select(F.col("url").alias("key")).where("key IS NOT NULL").distinct()
+    gone = pages.where("page_id % 10 = 0 AND url IS NOT NULL").select(F.concat("url", F.lit("#gone")).alias("key"))
+    links = there.unionByName(gone)
     contents = links.select("key", F.array("key", F.lit(" ")).alias("content"), F.lit("link/pdf").alias("type"))
     return chunk.chunk_pages(contents, pages)
 

@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 
 import __spark_entry__ as entry
@@ -29,5 +30,17 @@ def test_query_equals_its_sql(spark, con, name):
     assert difference(rows_of_spark(entry.queries()[name](spark, SF)), rows_of_sql(con, entry.oracle_sql()[name])) is None
 
 
+def test_pages_of_one_url_are_chunked_once_each(spark, tmp_path):
+    """Of equal lengths, since the SQL cuts pages of one url at the length of either of them."""
+    pages = [(k, f"u{k // 2}", f"<p>Page {k} has few words.</p>") for k in range(40)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    for name, rows in (("M04_page_chunks", 40), ("M04_unread_links", 4)):
+        mine = rows_of_spark(QUERIES[name](spark, str(tmp_path)))
+        assert len(mine[1]) == rows
+        assert difference(mine, rows_of_sql(con, SQL[name])) is None
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 40
