@@ -209,10 +209,10 @@ def content_lines_as_json(spark, sf_dir):
     sql("SELECT key, to_json({'text': unnest(string_split(text, chr(10)))})::VARCHAR AS value FROM contents", "contents"),
 )
 def write_content_lines(spark, sf_dir):
-    """One folder per document, read back."""
+    """The lines of all documents in packed files, read back."""
     out = new_folder(spark, "b02")
     sinks.write_content_lines(_contents(spark, sf_dir), out)
-    return spark.read.schema("value string, key string").text(out).select("key", "value")
+    return sinks.read_content_lines(spark, out).select("key", "value")
 
 
 @query(

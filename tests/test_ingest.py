@@ -4,6 +4,7 @@ import json
 from pyspark.sql import functions as F
 
 from docloom.operators import crawl, errors, extract, ingest
+from docloom.sources import sinks
 from docloom.sources.schemas import DOC_BODIES, FILES, MESSAGES, SHEET_BODIES, SLIDE_BODIES
 
 
@@ -152,3 +153,15 @@ def test_retries_are_counted_and_end(spark):
     }
     again = ingest.route(ingest.parse_requests(errors.retry_messages(classified)))
     assert {r.route for r in again.collect()} == {"drive"}
+
+
+def test_lines_of_many_documents_share_files_and_are_replaced_by_document(spark, tmp_path):
+    folder, schema = str(tmp_path / "lines"), "key string, content array<string>"
+    many = [(f"d{i}/ä", [f"line {i}", "two\nparts", ""]) for i in range(300)]
+    sinks.write_content_lines(spark.createDataFrame(many, schema), folder)
+    assert len([f for f in (tmp_path / "lines").rglob("part-*")]) <= 8
+    sinks.write_content_lines(spark.createDataFrame([("d7/ä", ["new"]), ("d999", ["more"])], schema), folder)
+    want = {(k, i, json.dumps({"text": line}, ensure_ascii=False, separators=(",", ":"))) for k, c in many if k != "d7/ä" for i, line in enumerate(c)}
+    want |= {("d7/ä", 0, '{"text":"new"}'), ("d999", 0, '{"text":"more"}')}
+    rows = sinks.read_content_lines(spark, folder).collect()
+    assert {(r.key, r.pos, r.value) for r in rows} == want and len(rows) == len(want)
