@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,12 +21,13 @@ from docloom.fixed_values import (
 )
 from docloom.functions.vectors import unit
 from docloom.operators import index
-from docloom.operators.blocks import Best, matrix, scan
+from docloom.operators.blocks import Best, matrix, pieces, scan
 from docloom.session import materialise
 
 METRICS = ("cosine", "dot")
-#: Largest query matrix that is handed to every task; a greater one is joined in blocks.
+#: Largest query matrix that is handed to every task; a greater one is handed over in slices.
 BROADCAST_BYTES = 64 * 1024 * 1024
+#: Vectors that are compared at once, and queries of a slice where nothing may be shared at once.
 VECTOR_BLOCK = 8192
 QUERY_BLOCK = 2048
 
@@ -63,9 +64,9 @@ def without_seed(vectors: DataFrame) -> DataFrame:
 
 
 def hits_of(best: Best, positions: np.ndarray) -> pa.RecordBatch:
+    query, ids, scores = best.rows()
     return pa.RecordBatch.from_arrays(
-        [pa.array(positions[best.query]), pa.array(best.id, pa.string()), pa.array(best.score)],
-        schema=HITS_ARROW,
+        [pa.array(positions[query]), pa.array(ids, pa.string()), pa.array(scores)], schema=HITS_ARROW
     )
 
 
@@ -80,39 +81,34 @@ def query_matrix(queries: DataFrame, metric: str) -> tuple[np.ndarray, np.ndarra
     return table["query_pos"].to_numpy(), matrix(table["embedding"], metric)
 
 
-def _scan_all(queries: DataFrame, vectors: DataFrame, k: int, metric: str, min_score: float | None) -> DataFrame:
+def _scan_all(queries: DataFrame, vectors: DataFrame, k: int, metric: str, min_score: float | None) -> tuple[Broadcast, DataFrame]:
     """Hand a small query matrix to every task and read the vectors once, without a shuffle."""
-    return _scan(queries.sparkSession.sparkContext.broadcast(query_matrix(queries, metric)), vectors, k, metric, min_score)
+    shared, most = queries.sparkSession.sparkContext.broadcast(query_matrix(queries, metric)), VECTOR_BLOCK
 
-
-def _scan(shared: Broadcast, vectors: DataFrame, k: int, metric: str, min_score: float | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         positions, wanted = shared.value
         best = Best(k, min_score)
         for batch in batches:
-            ids = np.asarray(batch.column("id").to_pylist(), dtype=object)
-            scan(best, wanted, matrix(batch.column("embedding"), metric), ids)
+            for piece in pieces(batch, most):
+                ids = np.asarray(piece.column("id").to_pylist(), dtype=object)
+                scan(best, wanted, matrix(piece.column("embedding"), metric), ids)
         yield hits_of(best, positions)
 
-    return few_tasks(vectors.select("id", "embedding")).mapInArrow(run, HITS)
+    return shared, few_tasks(vectors.select("id", "embedding")).mapInArrow(run, HITS)
 
 
-def scan_slices(
-    queries: DataFrame, vectors: DataFrame, k: int, metric: str, min_score: float | None, slices: int
-) -> DataFrame:
-    """The same for a query table of any size: one slice of it after the other is shared.
+def each_slice(scan_slice: Callable[[int], tuple[Broadcast, DataFrame]], k: int, slices: int) -> DataFrame:
+    """The hits of one slice of the queries after the other.
 
     Every slice reads the vectors once where they lie; no vector is ever shuffled.  What a slice leaves
-    is the best few hits of its queries, written to the shared folder, and its matrix is given up before
-    the next is made.
+    is the best few hits of its queries, written to the shared folder, and what it shared is given up
+    before the next is made.
     """
-    context, found = queries.sparkSession.sparkContext, None
-    order = W.partitionBy("query_pos").orderBy(F.desc("score"), "id")
+    order, found = W.partitionBy("query_pos").orderBy(F.desc("score"), "id"), None
     for number in range(slices):
-        own = queries.where(F.pmod(F.xxhash64("query_pos"), F.lit(slices)) == number)
-        shared = context.broadcast(query_matrix(own, metric))
-        hits = _scan(shared, vectors, k, metric, min_score).withColumn("place", F.row_number().over(order))
-        best = materialise(hits.where(F.col("place") <= k).drop("place"), "slice-hits")
+        shared, hits = scan_slice(number)
+        placed = hits.withColumn("place", F.row_number().over(order))
+        best = materialise(placed.where(F.col("place") <= k).drop("place"), "slice-hits")
         shared.unpersist()
         found = best if found is None else found.unionByName(best)
     return found
@@ -122,54 +118,6 @@ def _block_counts(rows: int, size: int) -> int:
     return max(1, math.ceil(rows / size))
 
 
-def with_block_counts(queries: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Add to each row how many vector and query blocks its ``part`` is cut into.
-
-    A part holding most of the data gets many blocks of bounded size.  There is one row
-    per part, and the caller bounds the number of parts, so the counts are broadcast.
-    """
-    v = vectors.groupBy("part").agg(F.ceil(F.count("*") / VECTOR_BLOCK).cast("int").alias("v_blocks"))
-    q = queries.groupBy("part").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("q_blocks"))
-    sizes = F.broadcast(materialise(v.join(q, "part"), "sizes"))
-    return queries.join(sizes, "part"), vectors.join(sizes, "part")
-
-
-def scan_blocks(queries: DataFrame, vectors: DataFrame, k: int, metric: str, min_score: float | None) -> DataFrame:
-    """Match the queries and vectors of equal ``part`` in blocks brought together by a shuffle.
-
-    Both tables carry ``part, v_blocks, q_blocks``.  Every vector block meets every query
-    block of its part in one group of bounded size.
-    """
-
-    def blocks(count: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-
-    # new names on both sides: the two tables may come from one table
-    left = vectors.select(
-        F.col("part").alias("v_part"),
-        F.pmod(F.xxhash64("id"), F.col("v_blocks")).cast("int").alias("v"),
-        blocks("q_blocks").alias("q"),
-        F.col("id").alias("vector_id"),
-        F.col("embedding").alias("vector"),
-    )
-    right = queries.select(
-        F.col("part").alias("q_part"),
-        blocks("v_blocks").alias("vb"),
-        F.pmod(F.xxhash64("query_pos"), F.col("q_blocks")).cast("int").alias("qb"),
-        F.col("query_pos").alias("position"),
-        F.col("embedding").alias("wanted"),
-    )
-
-    def run(block: pa.Table, wanted: pa.Table) -> pa.Table:
-        best = Best(k, min_score)
-        if block.num_rows and wanted.num_rows:
-            ids = np.asarray(block["vector_id"].to_pylist(), dtype=object)
-            scan(best, matrix(wanted["wanted"], metric), matrix(block["vector"], metric), ids)
-        return pa.Table.from_batches([hits_of(best, wanted["position"].to_numpy())])
-
-    return left.groupBy("v_part", "v", "q").cogroup(right.groupBy("q_part", "vb", "qb")).applyInArrow(run, HITS)
-
-
 def _rank(hits: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
     """Best hits of each query over all blocks; the literal bound lets Spark cut before the shuffle."""
     order = W.partitionBy("query_pos").orderBy(F.desc("score"), "id")
@@ -206,10 +154,15 @@ def exact(
     _check_metric(metric)
     rows, dimensions, k = _greatest_k(queries)
     if rows * dimensions * 8 <= broadcast_bytes:
-        hits = _scan_all(queries, vectors, k, metric, min_score)
+        hits = _scan_all(queries, vectors, k, metric, min_score)[1]
     else:
-        in_slice = broadcast_bytes // (dimensions * 8) or QUERY_BLOCK
-        hits = scan_slices(queries, vectors, k, metric, min_score, _block_counts(rows, in_slice))
+        slices = _block_counts(rows, broadcast_bytes // (dimensions * 8) or QUERY_BLOCK)
+
+        def scan_slice(number: int) -> tuple[Broadcast, DataFrame]:
+            own = queries.where(F.pmod(F.xxhash64("query_pos"), F.lit(slices)) == number)
+            return _scan_all(own, vectors, k, metric, min_score)
+
+        hits = each_slice(scan_slice, k, slices)
     return _rank(hits, queries, k, metric)
 
 

@@ -132,3 +132,47 @@ def test_seed_vector_is_never_found(spark):
     v = spark.createDataFrame([("dummy", [1.0, 0.0]), ("a", [0.0, 1.0])], "id string, embedding array<float>")
     q = spark.createDataFrame([(0, "q", [1.0, 0.0], 3)], "query_pos long, query_id string, embedding array<float>, max_nn int")
     assert [r.id for r in search.VectorIndex(v).find(q).collect()] == ["a"]
+
+
+def test_many_queries_meet_the_leaves_without_a_shuffle_of_vectors(spark):
+    v, q, *_ = tables(spark)
+    leaves = ivf.train(v, per_leaf=30)
+    hits = ivf.search(q, ivf.assign(v, leaves), leaves, probe_fraction=1.0, broadcast_bytes=0)
+    assert "FlatMapCoGroups" not in hits._jdf.queryExecution().toString()
+    assert found(hits) == found(search.exact(q, v))
+
+
+def test_a_sample_gives_the_centres_and_every_vector_has_a_leaf(spark, monkeypatch):
+    v, q, *_ = tables(spark, n=900)
+    monkeypatch.setattr(ivf, "TRAINING_ROWS", 200)
+    leaves = ivf.train(v, per_leaf=30)
+    assigned = ivf.assign(v, leaves)
+    assert assigned.count() == 900
+    assert found(ivf.search(q, assigned, leaves, probe_fraction=1.0)) == found(search.exact(q, v))
+
+
+def test_best_of_blocks_with_ties_and_scores_that_are_none():
+    from docloom.operators.blocks import Best
+
+    rng = np.random.default_rng(7)
+    scores = rng.integers(0, 4, size=(30, 500)) / 3.0
+    scores[:, ::50] = np.nan
+    ids = np.array([f"v{i:03d}" for i in rng.permutation(500)], dtype=object)
+    best = Best(3, None)
+    for start in range(0, 500, 100):
+        own = np.sort(ids[start : start + 100])
+        columns = [list(ids).index(i) for i in own]
+        best.add(scores[:, columns], np.arange(30), own)
+    got = {(int(q), i, s) for q, i, s in zip(*best.rows(), strict=True)}
+    want = set()
+    for row in range(30):
+        order = sorted((-round(s, 9), i) for s, i in zip(scores[row], ids, strict=True) if s == s)
+        want |= {(row, i, -s) for s, i in order[:3]}
+    assert got == want
+
+
+def test_registered_searches_ask_for_every_twentieth_id(spark):
+    from docloom.catalog import QUERIES
+
+    asked = QUERIES["G02_exact_search"](spark, "/root/testdata/sf0.001").select("query_pos").distinct().collect()
+    assert asked and all(r.query_pos % 20 == 0 for r in asked)
