@@ -33,6 +33,9 @@ EmbedInstances = Callable[[list[dict]], list[dict]]
 #: Bytes of instances that a model is sent at once.
 INSTANCE_BYTES = 8 << 20
 
+#: Rows and characters of texts whose vectors are held at once.
+CALL_ROWS, CALL_CHARACTERS = 512, 4 << 20
+
 
 def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Redistribute rows evenly before a slow stage.
@@ -104,6 +107,18 @@ def _one_by_one(call: Callable[[list], list], items: list) -> tuple[list, list[s
     return answers, failures
 
 
+def _calls(batches: Iterator[pd.DataFrame], text: str) -> Iterator[pd.DataFrame]:
+    """Slices of no more than ``CALL_ROWS`` rows and ``CALL_CHARACTERS`` of text (a row at least)."""
+    for batch in batches:
+        ends, start = np.cumsum([len(t) if isinstance(t, str) else 0 for t in batch[text]]), 0
+        while start < len(batch):
+            before = ends[start - 1] if start else 0
+            fit = int(np.searchsorted(ends, before + CALL_CHARACTERS, side="right"))
+            end = max(start + 1, min(start + CALL_ROWS, fit))
+            yield batch.iloc[start:end].reset_index(drop=True)
+            start = end
+
+
 def embed_texts(
     df: DataFrame,
     text: str = "chunk",
@@ -135,7 +150,7 @@ def embed_texts(
         return list((short / np.where(norm > 0, norm, 1)).astype(np.float32))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _calls(batches, text):
             texts = batch[text].fillna("").tolist()
             counts = [len(t.split()) for t in texts]
             cut = [max_tokens is not None and c > max_tokens for c in counts]

@@ -150,3 +150,15 @@ def test_instances_of_all_kinds_go_through_one_stage(spark):
     assert got[1].kind == "TEXT" and set(got[1].asDict()) == {"id", "kind", "embed_error", "embedding"}
     assert inference.embed_instances(data.limit(0), picky).count() == 0
     assert inference.embed_texts(spark.createDataFrame([("k", "one two three")], "key string, chunk string"), dimensions=5).first().token_count == 3
+
+
+def test_texts_reach_the_embedder_in_calls_of_bounded_size(spark):
+    """Each vector holds the rows and characters of its call."""
+    embed = lambda texts: [[len(texts), sum(map(len, texts))]] * len(texts)
+    rows = [(i, None if i % 50 == 1 else "x" * (3 << 20) if i in (5, 6, 7) else f"t {i}") for i in range(2000)]
+    data = spark.createDataFrame(rows, "n int, chunk string").coalesce(1)
+    got = inference.embed_texts(data, embed=embed).collect()
+    assert sorted(r.n for r in got) == list(range(2000)) and all(r.embed_error is None for r in got)
+    assert max(r.embedding[0] for r in got) <= inference.CALL_ROWS
+    assert max(r.embedding[1] for r in got) <= inference.CALL_CHARACTERS
+    assert inference.embed_texts(data.where("chunk IS NULL"), embed=embed).count() == 40
