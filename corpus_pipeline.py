@@ -44,10 +44,15 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their token ids and the number of tokens."""
+    """The documents with their token ids, the number of tokens, and the digest of the text decoded from the ids."""
     configure(spark)
-    encoded = bpe.encode_texts(docs, queries.vocabulary_path())
-    return encoded.withColumn("n_tokens", (F.octet_length("token_ids") / 4).cast("long"))
+    path = queries.vocabulary_path()
+    decoded = bpe.decode_ids(bpe.encode_texts(docs, path), path, output="_decoded")
+    return (
+        decoded.withColumn("n_tokens", (F.octet_length("token_ids") / 4).cast("long"))
+        .withColumn("decoded_sha256", F.sha2("_decoded", 256))
+        .drop("_decoded")
+    )
 
 
 STAGES = [

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 import corpus_pipeline
@@ -74,3 +76,12 @@ def test_near_copies_go_and_others_stay(spark):
             reach[a] = reach[b] = min(reach[a], reach[b])
     kept = ids(ngram_join.keep_first(frame, corpus_pipeline.NEAR))
     assert kept == {i for i, root in reach.items() if i == root} and 1 < len(kept) < len(texts)
+
+
+def test_the_last_stage_decodes_what_it_encoded(spark):
+    texts = ["plain words", "", None, "ünï <|endoftext|> 日本\r\n\t", "x" * 5000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in corpus_pipeline.encode(spark, docs, SF).collect()}
+    for k, text in enumerate(texts):
+        assert got[k].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
+    assert set(got[0].asDict()) == {"doc_id", "text", "token_ids", "n_tokens", "decoded_sha256"}
