@@ -7,7 +7,8 @@ The document by n-gram incidence matrix is multiplied with its transpose block b
    stand in one of them alone.  With the n-grams dealt over more parts than that, at least one
    part is equal in both.  Part hashes that occur in two classes (see :mod:`sieve`) make a
    bipartite table; outside its connected components no overlap can reach the bound.
-3. The rows of a component are cut into blocks of about ``BLOCK`` classes or ``BLOCK_BYTES`` at most.  Each pair of blocks
+3. The rows of a component are cut into blocks of about ``BLOCK`` classes or ``BLOCK_BYTES`` at most, those of a
+   large component by size band, of which only neighbours meet.  Each pair of blocks that meet
    is one sparse product: overlap counts are added n-gram by n-gram, pairs under the size bound
    are discarded, and of the links only a spanning forest leaves the task.
 4. The forests of all block pairs give the components of the links.
@@ -40,6 +41,8 @@ Batches = Iterator[pa.RecordBatch]
 
 #: Classes and bytes of sets that a block is expected to hold at most.
 BLOCK, BLOCK_BYTES = 2048, 12 << 20
+#: Blocks up to which a component is not cut by size bands.
+FEW_BLOCKS = 3
 #: Least share of parts beyond those needed, for parts that are empty.
 LEAST_SPARE_PERCENT = 3
 #: Deals after which an empty part is a key as well.
@@ -83,6 +86,13 @@ class Rule:
             top = max(top + 1, top * 100 // self.percent)
         return top
 
+    def band_tops(self) -> list[int]:
+        """The largest sizes of all bands."""
+        tops = [1]
+        while tops[-1] < 1 << 40:
+            tops.append(max(tops[-1] + 1, tops[-1] * 100 // self.percent))
+        return tops
+
     def differences(self, larger: int) -> int:
         """Most n-grams that stand in one of two linked sets alone, for sizes up to ``larger``.
 
@@ -297,6 +307,35 @@ def _product(rule: Rule) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
+def places(sized: DataFrame, rule: Rule) -> DataFrame:
+    """``class, root, block, others``: the block of each class, and the blocks of its component that it has to meet.
+
+    A component of many blocks is cut by size bands first: linked sizes differ by one band at most, so
+    a set meets the blocks of its own band and of its two neighbours.  ``sized`` has class, root, n_grams.
+    """
+    blocks = F.greatest(F.ceil(F.sum(F.col("n_grams") * 8) / BLOCK_BYTES), F.ceil(F.count("*") / BLOCK)).cast("int")
+    large = sized.groupBy("root").agg(blocks.alias("all_blocks"))
+    tops = F.array(*[F.lit(t).cast("long") for t in rule.band_tops()])
+    band = F.size(F.filter(tops, lambda top: top < F.col("n_grams")))
+    parted = sized.join(large, "root").withColumn("part", F.when(F.col("all_blocks") > FEW_BLOCKS, band).otherwise(0))
+    parts = materialise(parted.groupBy("root", "part").agg(blocks.alias("blocks")), "parts")
+    near = parts.select("root", F.col("part").alias("other_part"), F.col("blocks").alias("other_blocks"))
+    numbers = F.sequence(F.lit(0).cast("long"), F.col("other_blocks").cast("long") - 1)
+    names = F.transform(numbers, lambda n: F.shiftleft(F.col("other_part").cast("long"), 32) + n)
+    around = (
+        parts.join(near, "root")
+        .where(F.abs(F.col("part") - F.col("other_part")) <= 1)
+        .groupBy("root", "part", "blocks")
+        .agg(F.flatten(F.collect_list(names)).alias("others"))
+    )
+    return parted.join(around, ["root", "part"]).select(
+        "class",
+        "root",
+        (F.shiftleft(F.col("part").cast("long"), 32) + F.pmod(F.xxhash64("class"), F.col("blocks"))).alias("block"),
+        "others",
+    )
+
+
 def links(texts: DataFrame, facts: DataFrame, rule: Rule) -> DataFrame:
     """Edges (a, b) between classes that connect what all links between different sets connect."""
     first = sieve.firsts(facts.where("n_shingles > 0"), "class")
@@ -314,22 +353,10 @@ def links(texts: DataFrame, facts: DataFrame, rule: Rule) -> DataFrame:
     wanted = sieve.firsts(facts.join(members, "class", "left_semi"), "class")
     candidates = texts.mapInArrow(_wanted_sets(rule, wanted), "class long, grams binary")
     lengths = facts.join(members, "class", "left_semi").groupBy("class").agg(F.max("n_shingles").alias("n_grams"))
-    sizes = (
-        component.withColumnRenamed("node", "class")
-        .join(lengths, "class")
-        .groupBy("root")
-        .agg(
-            F.greatest(
-                F.ceil(F.sum(F.col("n_grams") * 8) / BLOCK_BYTES), F.ceil(F.count("*") / BLOCK)
-            ).cast("int").alias("blocks")
-        )
-    )
+    sized = component.withColumnRenamed("node", "class").join(lengths, "class")
     placed = (
-        candidates.select("class", "grams")
-        .join(component.withColumnRenamed("node", "class"), "class")
-        .join(sizes, "root")
-        .withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        candidates.join(places(sized, rule), "class")
+        .withColumn("other", F.explode("others"))
         .select(
             "root",
             F.least("block", "other").alias("first"),

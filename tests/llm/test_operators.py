@@ -394,3 +394,22 @@ def test_extra_columns_stay_apart(documents):
     wide = documents.withColumn("text_hash", F.lit("x")).withColumn("gone_id", F.lit(1)).withColumn("path_share", F.lit(2))
     assert ngram_join.keep_first(wide).columns == wide.columns
     assert decontaminate.find_passages(wide, documents.selectExpr("doc_id AS item_id", "text")).count() == wide.count()
+
+
+def test_blocks_of_a_large_component_meet_by_size(spark, monkeypatch):
+    """Every two classes whose sizes may link meet in a pair of blocks; most blocks need not meet."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    rule = ngram_join.Rule(5, 80)
+    sizes = {k: 1 + int(1.05**k) for k in range(160)} | {1000: 3, 1001: 900}
+    rows = [(k, 7 if k < 1000 else 8, n) for k, n in sizes.items()]
+    sized = spark.createDataFrame(rows, "class long, root long, n_grams long")
+    found = {r["class"]: (r.root, r.block, set(r.others)) for r in ngram_join.places(sized, rule).collect()}
+    assert set(found) == set(sizes)
+    for a, (root, block, others) in found.items():
+        assert block in others
+        for b, (root_b, block_b, others_b) in found.items():
+            if root == root_b and 100 * min(sizes[a], sizes[b]) >= 80 * max(sizes[a], sizes[b]):
+                assert block_b in others and block in others_b
+    blocks = {block for root, block, _ in found.values() if root == 7}
+    assert sum(len(others) for root, _, others in found.values() if root == 7) < 160 * len(blocks) / 3
+    assert found[1000][1] == found[1001][1] == 0
