@@ -8,7 +8,6 @@ empty texts and repeated rows go through as the operators' modules define.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from docloom.llm import bpe, decontaminate, line_dedup, ngram_join, queries, quality
 from docloom.session import configure, materialise
@@ -46,13 +45,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their token ids, the number of tokens, and the digest of the text decoded from the ids."""
     configure(spark)
-    path = queries.vocabulary_path()
-    decoded = bpe.decode_ids(bpe.encode_texts(docs, path), path, output="_decoded")
-    return (
-        decoded.withColumn("n_tokens", (F.octet_length("token_ids") / 4).cast("long"))
-        .withColumn("decoded_sha256", F.sha2("_decoded", 256))
-        .drop("_decoded")
-    )
+    return bpe.round_trip(docs, queries.vocabulary_path())
 
 
 STAGES = [

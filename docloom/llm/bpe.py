@@ -257,6 +257,36 @@ def decode_ids(encoded: DataFrame, path: str, column: str = "token_ids", output:
     return encoded.mapInArrow(run, schema)
 
 
+def round_trip(documents: DataFrame, path: str, column: str = "text") -> DataFrame:
+    """All columns, ``token_ids`` of ``column``, their number ``n_tokens``, and ``decoded_sha256`` of the text they stand for.
+
+    One pass: a task that encodes and decodes one after the other holds two workers, each with its
+    own vocabulary and cache, and the executor keeps both for later tasks.
+    """
+    documents = documents.drop("token_ids", "n_tokens", "decoded_sha256")
+    added = [F.lit(b"").alias("token_ids"), F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("decoded_sha256")]
+    schema = documents.select("*", *added).schema
+
+    def run(batches: Batches) -> Batches:
+        known = vocabulary(path)
+        for batch in batches:
+            for row in range(0, batch.num_rows, 64):
+                rows = batch.slice(row, 64)
+                ids = [encode(path, text.as_py() or "") for text in rows.column(column)]
+                texts = [known.decode(np.frombuffer(i, dtype="<u4")).decode("utf-8", "replace") for i in ids]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *rows.columns,
+                        pa.array(ids, type=pa.binary()),
+                        pa.array([len(i) // 4 for i in ids], type=pa.int64()),
+                        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], type=pa.string()),
+                    ],
+                    names=schema.names,
+                )
+
+    return documents.mapInArrow(run, schema)
+
+
 def round_trip_digests(documents: DataFrame, path: str) -> DataFrame:
     """Per document its token count, the digest of its ids, and that of the text decoded from them."""
 

@@ -5,9 +5,12 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from docloom.llm import bpe, decontaminate, line_dedup, ngram_join, quality, queries
+from docloom.session import configure
 
 SF = "/root/testdata/sf0.001"
 
@@ -85,3 +88,28 @@ def test_the_last_stage_decodes_what_it_encoded(spark):
     for k, text in enumerate(texts):
         assert got[k].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
     assert set(got[0].asDict()) == {"doc_id", "text", "token_ids", "n_tokens", "decoded_sha256"}
+
+
+def test_encoding_holds_one_worker_a_task(spark):
+    """Two Python steps in one task are two workers, each with the vocabulary and its cache."""
+    docs = queries.table(spark, SF, "documents")
+    encoded = corpus_pipeline.encode(spark, docs, SF)
+    assert encoded._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    path = queries.vocabulary_path()
+    apart = bpe.decode_ids(bpe.encode_texts(docs, path), path)
+    wanted = {r.doc_id: (bytes(r.token_ids), hashlib.sha256(r.decoded.encode()).hexdigest()) for r in apart.collect()}
+    rows = encoded.collect()
+    assert {r.doc_id: (bytes(r.token_ids), r.decoded_sha256) for r in rows} == wanted
+    assert all(4 * r.n_tokens == len(r.token_ids) for r in rows)
+
+
+def test_tasks_hand_bounded_bytes_to_python(spark):
+    configure(spark)
+    texts = spark.range(64, numPartitions=1).select(F.repeat(F.lit("word "), 200_000).alias("text"))
+
+    def measure(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n_bytes": [batch.nbytes]})
+
+    sizes = [r.n_bytes for r in texts.mapInArrow(measure, "n_bytes long").collect()]
+    assert sum(sizes) > 64_000_000 and max(sizes) <= 10_000_000
