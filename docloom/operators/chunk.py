@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,10 @@ def non_blank(parts: Column) -> Column:
     return F.filter(parts, lambda p: ~is_blank(p))
 
 
+def ends_sentence(word: Column) -> Column:
+    return reduce(lambda a, b: a | b, [word.endswith(end) for end in SENTENCE_ENDS])
+
+
 def text_of(lines: Column) -> Column:
     """All lines as one text with single spaces; blank lines vanish with the spaces around them."""
     return collapse_spaces(F.array_join(lines, " "))
@@ -63,7 +69,7 @@ def chunk_array(
     def pieces(words: Column) -> Column:
         ends = F.filter(
             F.sequence(F.lit(1), F.size(words)),
-            lambda i: F.substring(F.get(words, i - 1), -1, 1).isin(SENTENCE_ENDS),
+            lambda i: ends_sentence(F.get(words, i - 1)),
         )
         bounds = F.array_distinct(F.concat(F.array(F.lit(0)), ends, F.array(F.size(words))))
         return bind(

@@ -11,9 +11,12 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +39,9 @@ INSTANCE_BYTES = 8 << 20
 #: Rows and characters of texts whose vectors are held at once.
 CALL_ROWS, CALL_CHARACTERS = 512, 4 << 20
 
+#: Words that the default embedder remembers, and the longest of them.
+SLOTS, SLOT_CHARACTERS = 300_000, 64
+
 
 def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Redistribute rows evenly before a slow stage.
@@ -58,6 +64,28 @@ def spread_if_narrow(df: DataFrame) -> DataFrame:
 # --- default embedder ----------------------------------------------------------
 
 
+class _Slots(dict):
+    """Twice the dimension of a word, one more for a negative sign; -1 for no word.  Bounded."""
+
+    def __init__(self, dimensions: int):
+        super().__init__()
+        self.dimensions = dimensions
+
+    def __missing__(self, word: str) -> int:
+        if not word:
+            return -1
+        digest = hashlib.md5(word.encode()).digest()
+        slot = 2 * (int.from_bytes(digest[:4]) % self.dimensions) + (digest[4] >> 7)
+        if len(word) <= SLOT_CHARACTERS:
+            if len(self) >= SLOTS:
+                self.clear()
+            self[word] = slot
+        return slot
+
+    def __reduce__(self):
+        return _Slots, (self.dimensions,)
+
+
 def hashing_embedder(dimensions: int = VECTOR_DIMENSIONS) -> Embed:
     """Signed feature hashing of the words, scaled to length one.
 
@@ -65,19 +93,23 @@ def hashing_embedder(dimensions: int = VECTOR_DIMENSIONS) -> Embed:
     dimension, the ninth the sign.
     """
 
+    slots = _Slots(dimensions)
+
+    def words_of(text: str) -> list[str]:
+        text = text.lower()
+        for mark in PUNCTUATION:
+            text = text.replace(mark, "")
+        return text.split(" ")
+
     def embed(texts: list[str]) -> np.ndarray:
-        slots: dict[str, tuple[int, float]] = {}
-        drop = str.maketrans("", "", PUNCTUATION)
-        out = np.zeros((len(texts), dimensions))
-        for row, text in enumerate(texts):
-            words = [w for w in text.lower().translate(drop).split(" ") if w]
-            for word in words:
-                if word not in slots:
-                    digest = hashlib.md5(word.encode()).hexdigest()
-                    slots[word] = (int(digest[:8], 16) % dimensions, 1.0 if digest[8] < "8" else -1.0)
-            if words:
-                where, signs = zip(*(slots[w] for w in words), strict=True)
-                np.add.at(out[row], np.array(where), np.array(signs))
+        held = [words_of(text) for text in texts]
+        counts = np.array([len(words) for words in held], dtype=np.int64)
+        found = np.fromiter(map(slots.__getitem__, chain.from_iterable(held)), np.int64, counts.sum())
+        row = np.repeat(np.arange(len(texts)), counts)[found >= 0]
+        found = found[found >= 0]
+        # whole numbers, so that their sums are exact in any order
+        sums = np.bincount(row * dimensions + (found >> 1), 1.0 - 2 * (found & 1), len(texts) * dimensions)
+        out = sums.reshape(len(texts), dimensions)
         norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return np.divide(out, norms, out=out, where=norms > 0)
 
@@ -107,18 +139,27 @@ def _one_by_one(call: Callable[[list], list], items: list) -> tuple[list, list[s
     return answers, failures
 
 
-def _calls(batches: Iterator[pd.DataFrame], text: str) -> Iterator[pd.DataFrame]:
+def _calls(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     """Slices of no more than ``CALL_ROWS`` rows and ``CALL_CHARACTERS`` of text (a row at least)."""
     for batch in batches:
-        ends, start = np.cumsum([len(t) if isinstance(t, str) else 0 for t in batch[text]]), 0
-        while start < len(batch):
+        lengths = pc.fill_null(pc.utf8_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        ends, start = np.cumsum(lengths, dtype=np.int64), 0
+        while start < batch.num_rows:
             before = ends[start - 1] if start else 0
             fit = int(np.searchsorted(ends, before + CALL_CHARACTERS, side="right"))
             end = max(start + 1, min(start + CALL_ROWS, fit))
-            yield batch.iloc[start:end].reset_index(drop=True)
+            yield batch.slice(start, end - start)
             start = end
 
 
+def _vector_column(vectors: list[np.ndarray | None]) -> pa.Array:
+    """Vectors as one list column, null for none."""
+    ends = np.cumsum([0, *(0 if v is None else len(v) for v in vectors)])
+    flat = np.concatenate([np.empty(0, dtype=np.float32), *(v for v in vectors if v is not None)])
+    none = pa.array([v is None for v in vectors], pa.bool_())
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=none)
+
+
 def embed_texts(
     df: DataFrame,
     text: str = "chunk",
@@ -149,21 +190,22 @@ def embed_texts(
         norm = np.linalg.norm(short, axis=1, keepdims=True)
         return list((short / np.where(norm > 0, norm, 1)).astype(np.float32))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _calls(batches, text):
-            texts = batch[text].fillna("").tolist()
+            texts = [t or "" for t in batch.column(text).to_pylist()]
             counts = [len(t.split()) for t in texts]
             cut = [max_tokens is not None and c > max_tokens for c in counts]
             texts = [" ".join(t.split()[:max_tokens]) if c else t for t, c in zip(texts, cut, strict=True)]
             vectors, failures = _one_by_one(vectors_of, texts)
-            yield batch.assign(
-                embedding=pd.Series(vectors, index=batch.index, dtype=object),
-                token_count=counts,
-                truncated=cut,
-                embed_error=pd.Series(failures, index=batch.index, dtype=object),
-            )[schema.names]
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | {
+                "embedding": _vector_column(vectors),
+                "token_count": pa.array(counts, pa.int32()),
+                "truncated": pa.array(cut, pa.bool_()),
+                "embed_error": pa.array(failures, pa.string()),
+            }
+            yield pa.RecordBatch.from_arrays([columns[name] for name in schema.names], names=schema.names)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def embedded(df: DataFrame) -> DataFrame:

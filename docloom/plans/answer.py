@@ -136,6 +136,16 @@ def answer(
     return results.unionByName(rejected, allowMissingColumns=True)
 
 
+def _no_results(questions: DataFrame) -> DataFrame:
+    """What ``answer`` gives for no questions."""
+    none = questions.limit(0).select("request_id", "session_id", "text", "parameters")
+    types = {
+        "prompt": "string", "turns": converse.TURNS, "summary": "string", "answer": "string",
+        "source_links": "array<struct<link: string, distance: double>>", "failure": "string",
+    }
+    return none.select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in types.items()])
+
+
 def answered_exchanges(results: DataFrame) -> DataFrame:
     """What has to be added to the session table."""
     return results.filter("failure IS NULL").select(
@@ -167,10 +177,12 @@ def answer_and_store(
 ) -> DataFrame:
     """Answer all questions from the stored sessions, and add the exchanges and the log in one step.
 
-    Only what is new is written; answers are complete before anything is stored, and a batch that its
-    writer has stored already adds nothing.
+    Only what is new is written; answers are complete before anything is stored.  A batch that its writer
+    has stored already is not asked again: it adds nothing and gives no rows (its answers are in the log).
     """
     base = sessions.snapshot()
+    if sessions.committed(writer, batch, base):
+        return _no_results(questions)
     answered = answer(questions, vectors, cells, base.table("exchanges"), settings or AnswerSettings(), models or AnswerModels())
     results = materialise(answered, "results")
     none = base.table("exchanges").limit(0)

@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -67,6 +69,24 @@ def test_embedder_gives_unit_vectors():
     assert np.allclose(np.linalg.norm(vectors, axis=1), [1, 1, 0, 1])
 
 
+def test_embedder_remembers_words_from_call_to_call(monkeypatch):
+    """A word is hashed once a worker, not once a call; forgetting changes no vector."""
+    hashed = []
+    monkeypatch.setattr(inference.hashlib, "md5", lambda word, md5=inference.hashlib.md5: hashed.append(word) or md5(word))
+    embed, texts = inference.hashing_embedder(64), ["The cat, sat. é", "a  cat?!", "", "."]
+    first = embed(texts)
+    assert len(hashed) == 5 and np.array_equal(embed(texts), first) and len(hashed) == 5
+    monkeypatch.setattr(inference, "SLOTS", 2)
+    assert np.array_equal(inference.hashing_embedder(64)(texts), first)
+    plain = np.zeros((4, 64))
+    for row, words in enumerate([["the", "cat", "sat", "é"], ["a", "cat"], [], []]):
+        for word in words:
+            digest = hashlib.md5(word.encode()).hexdigest()
+            plain[row, int(digest[:8], 16) % 64] += 1 if digest[8] < "8" else -1
+    norms = np.sqrt((plain * plain).sum(axis=1, keepdims=True))
+    assert np.array_equal(first, plain / np.where(norms > 0, norms, 1))
+
+
 def test_a_failing_model_gives_error_rows(spark):
     def broken(texts):
         raise ValueError("no model")
