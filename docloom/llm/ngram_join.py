@@ -248,12 +248,17 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     Only n-grams that stand in both blocks count; they are taken in slices of columns, so the
     dense pieces stay small.
     """
-    columns = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    own, other = np.unique(np.concatenate(left)), np.unique(np.concatenate(right))
+    at = np.minimum(np.searchsorted(other, own), len(other) - 1)
+    columns = own[other[at] == own]
     counts = np.zeros((len(left), len(right)), dtype=np.int32)
     for start in range(0, len(columns), 2048):
-        own = columns[start : start + 2048]
-        counts += (_dense(left, own) @ _dense(right, own).T).astype(np.int32)
-    return counts.astype(np.int64)
+        some = columns[start : start + 2048]
+        other_dense = _dense(right, some).T
+        for row in range(0, len(left), 256):
+            piece = counts[row : row + 256]
+            np.add(piece, _dense(left[row : row + 256], some) @ other_dense, out=piece, casting="unsafe")
+    return counts
 
 
 def _dense(rows: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
@@ -286,8 +291,10 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[int]:
 
 def _product(rule: Rule) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()  # what earlier groups and stages have left in this worker
         _, once = np.unique(np.stack([table.column("block").to_numpy(), table.column("class").to_numpy()]), axis=1, return_index=True)
-        table = table.take(pa.array(np.sort(once)))
+        if len(once) < table.num_rows:
+            table = table.take(pa.array(np.sort(once)))
         classes = table.column("class").to_numpy()
         sets = [unpack_sorted(x.as_py()) for x in table.column("grams")]
         block = table.column("block").to_numpy()
@@ -298,8 +305,12 @@ def _product(rule: Rule) -> Callable[[pa.Table], pa.Table]:
             a = b = np.empty(0, dtype=np.int64)
         else:
             counts = overlaps([sets[i] for i in rows], [sets[i] for i in columns])
-            x, y = np.nonzero(rule.linked(counts, sizes[rows][:, None], sizes[columns][None, :]))
-            a, b = classes[rows[x]], classes[columns[y]]
+            found = [_NONE, _NONE]
+            for start in range(0, len(rows), 128):
+                some = counts[start : start + 128].astype(np.int64)
+                x, y = np.nonzero(rule.linked(some, sizes[rows[start : start + 128]][:, None], sizes[columns][None, :]))
+                found += [classes[rows[start + x]], classes[columns[y]]]
+            a, b = np.concatenate(found[::2]), np.concatenate(found[1::2])
             a, b = a[a != b], b[a != b]
         needed = forest(a, b)
         return pa.table({"a": pa.array(a[needed], pa.int64()), "b": pa.array(b[needed], pa.int64())})

@@ -16,7 +16,7 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # 10,000 whole texts, the bound by rows, are 33 MB and more in the executor and in its worker, for each task
-    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
