@@ -5,13 +5,16 @@ The document by n-gram incidence matrix is multiplied with its transpose block b
 1. Documents with equal sets are one class.
 2. Two sets of sizes s <= t can only link when s >= 0.85 t and at most ``differences(t)`` n-grams
    stand in one of them alone.  With the n-grams dealt over more parts than that, at least one
-   part is equal in both.  Part hashes that occur in two classes (see :mod:`sieve`) make a
-   bipartite table; outside its connected components no overlap can reach the bound.
-3. The rows of a component are cut into blocks of about ``BLOCK`` classes or ``BLOCK_BYTES`` at most, those of a
+   part is equal in both.  Part hashes that occur in two classes (see :mod:`sieve`) make groups.
+3. Many classes share a part by chance, a frequent phrase for instance.  A sketch has a bit or two for each
+   n-gram of a set, and two sketches never differ in more bits than their sets do in n-grams: it
+   tells of most pairs of a group that they cannot link.  The others are edges; outside their
+   connected components no overlap can reach the bound.
+4. The rows of a component are cut into blocks of about ``BLOCK`` classes or ``BLOCK_BYTES`` at most, those of a
    large component by size band, of which only neighbours meet.  Each pair of blocks that meet
    is one sparse product: overlap counts are added n-gram by n-gram, pairs under the size bound
    are discarded, and of the links only a spanning forest leaves the task.
-4. The forests of all block pairs give the components of the links.
+5. The forests of all block pairs give the components of the links.
 
 Rows of pairs are never made, no list is capped, and a set is sent to the blocks of its own
 component only.
@@ -41,6 +44,11 @@ Batches = Iterator[pa.RecordBatch]
 
 #: Classes and bytes of sets that a block is expected to hold at most.
 BLOCK, BLOCK_BYTES = 2048, 12 << 20
+#: Classes with a common part up to which each pair of them is looked at once for all parts, and
+#: how many of a larger group meet at a time.
+FEW_CLASSES, GROUP_BLOCK = 16, 4096
+#: Bytes of sketches compared at a time.
+SKETCH_BYTES = 4 << 20
 #: Blocks up to which a component is not cut by size bands.
 FEW_BLOCKS = 3
 #: Least share of parts beyond those needed, for parts that are empty.
@@ -72,6 +80,10 @@ class Rule:
     def linked(self, overlap: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return 100 * overlap >= self.percent * (a + b - overlap)
 
+    def may_link(self, differing: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether sets of sizes a and b can link when at least so many n-grams stand in one of them alone."""
+        return (100 + self.percent) * differing <= (100 - self.percent) * (a + b)
+
     def band(self, size: int) -> int:
         """Number of the size band; linked sizes differ by one band at most."""
         at, top = 0, 1
@@ -126,6 +138,60 @@ def set_hash(grams: np.ndarray) -> int:
         return int(words.signed(words.mix(np.array([total + np.uint64(len(grams))], dtype=np.uint64)))[0])
 
 
+def sketch(grams: np.ndarray) -> bytes:
+    """For each value of the members' low bits whether an odd number of members have it, at least one bit a member."""
+    bits = max(64, 1 << max(len(grams) - 1, 0).bit_length())
+    counts = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+class Sketches:
+    """The sketches of some rows and the sizes of their sets."""
+
+    def __init__(self, sketches: list[bytes], sizes: np.ndarray, rule: Rule):
+        self.words = np.frombuffer(b"".join(sketches), dtype="<u8")
+        self.widths = np.array([len(s) // 8 for s in sketches], dtype=np.int64)
+        self.starts = np.cumsum(self.widths) - self.widths
+        self.sizes, self.rule = sizes, rule
+
+    def _folded(self, rows: np.ndarray, width: int) -> np.ndarray:
+        """Sketches of ``width`` words: what a wider one has further on is added to the same low bits."""
+        at = np.arange(width)
+        found = self.words[self.starts[rows][:, None] + at]
+        for fold in range(1, int(self.widths[rows].max()) // width):
+            wider = np.flatnonzero(self.widths[rows] > fold * width)
+            found[wider] ^= self.words[self.starts[rows[wider]][:, None] + fold * width + at]
+        return found
+
+    def may_link(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For pairs of rows, whether their sets can link as far as sizes and sketches tell."""
+        possible = self.rule.may_link(np.abs(self.sizes[a] - self.sizes[b]), self.sizes[a], self.sizes[b])
+        narrow = np.where(possible, np.minimum(self.widths[a], self.widths[b]), 0)
+        for width in np.unique(narrow[narrow > 0]).tolist():
+            pairs = np.flatnonzero(narrow == width)
+            step = max(1, SKETCH_BYTES // (8 * width))
+            for start in range(0, len(pairs), step):
+                some = pairs[start : start + step]
+                odd = self._folded(a[some], width) ^ self._folded(b[some], width)
+                differing = np.bitwise_count(odd).sum(axis=1, dtype=np.int64)
+                possible[some] = self.rule.may_link(differing, self.sizes[a[some]], self.sizes[b[some]])
+        return possible
+
+    def tree(self, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs that may link and connect what all such pairs of the rows connect, one row against all others at a time."""
+        part = np.arange(len(rows))
+        for k in range(len(rows) - 1):
+            other = k + 1 + np.flatnonzero(part[k + 1 :] != part[k])
+            if len(other) == 0:
+                continue
+            hit = other[self.may_link(np.repeat(rows[k], len(other)), rows[other])]
+            _, once = np.unique(part[hit], return_index=True)
+            yield np.repeat(rows[k], len(once)), rows[hit[once]]
+            part[np.isin(part, part[hit])] = part[k]
+            if (part == part[k]).all():
+                return
+
+
 def signatures(grams: np.ndarray, rule: Rule, bands: dict[int, int]) -> np.ndarray:
     """Part hashes of a set, for its own size band and the one above."""
     size = len(grams)
@@ -175,8 +241,9 @@ def _facts(rule: Rule) -> Callable[[Batches], Batches]:
                         rows.column("text_hash"),
                         pa.array([len(s) for s in sets], type=pa.int64()),
                         pa.array([set_hash(s) for s in sets], type=pa.int64()),
+                        pa.array([sketch(s) for s in sets], type=pa.binary()),
                     ],
-                    names=["doc_id", "text_hash", "n_shingles", "class"],
+                    names=["doc_id", "text_hash", "n_shingles", "class", "sketch"],
                 )
 
     return run
@@ -225,6 +292,85 @@ def _incidence(rule: Rule, first: Broadcast, shared: Broadcast) -> Callable[[Bat
     return run
 
 
+def groups(incidence: DataFrame) -> DataFrame:
+    """``group, class``: classes that have a common part, each two of them in one group at least.
+
+    Where few classes share a part each pair is a group, once for all parts that the two share.  A larger
+    group is cut into blocks, of which each two meet.
+    """
+    several = (
+        incidence.groupBy("key")
+        .agg(F.min("class").alias("least"), F.max("class").alias("most"), F.count("*").alias("n_classes"))
+        .where(F.col("least") < F.col("most"))
+        .select("key", "n_classes")
+    )
+    shared = incidence.join(several, "key")
+    few = shared.where(F.col("n_classes") <= FEW_CLASSES).groupBy("key").agg(F.array_sort(F.collect_set("class")).alias("own"))
+    pairs = (
+        few.select("own", F.posexplode("own").alias("at", "a"))
+        .select("a", F.explode(F.slice("own", F.col("at") + 2, FEW_CLASSES)).alias("b"))
+        .distinct()
+    )
+    blocks = F.ceil(F.col("n_classes") / GROUP_BLOCK)
+    many = (
+        shared.where(F.col("n_classes") > FEW_CLASSES)
+        .withColumn("block", F.pmod(F.xxhash64("class"), blocks))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        .select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("group"), "class")
+    )
+    return pairs.select(F.xxhash64("a", "b").alias("group"), F.explode(F.array("a", "b")).alias("class")).union(many)
+
+
+def _possible_links(rule: Rule) -> Callable[[Batches], Batches]:
+    """Of rows that lie by group, edges that connect what all pairs within groups that may link connect."""
+
+    def edges(rows: pa.Table) -> pa.RecordBatch:
+        group, classes = rows.column("group").to_numpy(), rows.column("class").to_numpy()
+        sketches = Sketches(rows.column("sketch").to_pylist(), rows.column("n_grams").to_numpy(), rule)
+        limits = np.r_[0, np.flatnonzero(group[1:] != group[:-1]) + 1, len(group)]
+        found = [_NONE, _NONE]
+        firsts = limits[:-1][np.diff(limits) == 2]
+        hits = firsts[sketches.may_link(firsts, firsts + 1)]
+        found += [hits, hits + 1]
+        for k in np.flatnonzero(np.diff(limits) > 2):
+            for some in sketches.tree(np.arange(limits[k], limits[k + 1])):
+                found += some
+        a, b = classes[np.concatenate(found[::2])], classes[np.concatenate(found[1::2])]
+        a, b = a[a != b], b[a != b]
+        needed = forest(a, b)
+        return pa.RecordBatch.from_arrays([pa.array(a[needed], pa.int64()), pa.array(b[needed], pa.int64())], names=["a", "b"])
+
+    def run(batches: Batches) -> Batches:
+        last: list[pa.RecordBatch] = []
+        for batch in batches:
+            group = batch.column("group").to_numpy()
+            if len(group) == 0:
+                continue
+            if last and group[0] == last[0].column("group")[0].as_py() and group[0] == group[-1]:
+                last.append(batch)
+                continue
+            start = int(np.flatnonzero(group == group[-1])[0])
+            if last or start:
+                yield edges(pa.Table.from_batches([*last, batch.slice(0, start)]))
+            last = [batch.slice(start)]
+        if last:
+            yield edges(pa.Table.from_batches(last))
+
+    return run
+
+
+def possible_links(incidence: DataFrame, facts: DataFrame, rule: Rule) -> DataFrame:
+    """Edges (a, b) that connect what all pairs of classes connect that share a part and may link by their sketches."""
+    members = materialise(groups(incidence), "groups")
+    sketched = (
+        facts.join(members.select("class"), "class", "left_semi")
+        .groupBy("class")
+        .agg(F.max("n_shingles").alias("n_grams"), F.first("sketch").alias("sketch"))
+    )
+    dealt = members.join(sketched, "class").repartition("group").sortWithinPartitions("group")
+    return dealt.select("group", "class", "n_grams", "sketch").mapInArrow(_possible_links(rule), "a long, b long")
+
+
 def _wanted_sets(rule: Rule, wanted: Broadcast) -> Callable[[Batches], Batches]:
     """The sets of the classes that may be wanted, from their first rows.
 
@@ -352,13 +498,7 @@ def links(texts: DataFrame, facts: DataFrame, rule: Rule) -> DataFrame:
     first = sieve.firsts(facts.where("n_shingles > 0"), "class")
     shared = sieve.shared_bitmap(texts, _signature_rows(rule, first))
     incidence = materialise(texts.mapInArrow(_incidence(rule, first, shared), "class long, key long"), "incidence")
-    stars = (
-        incidence.groupBy("key")
-        .agg(F.min("class").alias("least"), F.max("class").alias("most"))
-        .where(F.col("least") < F.col("most"))
-        .drop("most")
-    )
-    edges = incidence.join(stars, "key").select(F.col("class").alias("a"), F.col("least").alias("b"))
+    edges = possible_links(incidence, facts, rule)
     component = materialise(connected(edges), "blocks")
     members = component.select(F.col("node").alias("class"))
     wanted = sieve.firsts(facts.join(members, "class", "left_semi"), "class")
@@ -381,12 +521,12 @@ def links(texts: DataFrame, facts: DataFrame, rule: Rule) -> DataFrame:
 
 
 def classes(documents: DataFrame, rule: Rule | None = None) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text_hash, n_shingles, class) of every row, and (class, root) of the linked classes."""
+    """(doc_id, text_hash, n_shingles, class, sketch) of every row, and (class, root) of the linked classes."""
     rule = rule or Rule()
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     hashed = texts.withColumn("text_hash", F.xxhash64("text"))
     facts = materialise(
-        hashed.mapInArrow(_facts(rule), "doc_id long, text_hash long, n_shingles long, class long"), "facts"
+        hashed.mapInArrow(_facts(rule), "doc_id long, text_hash long, n_shingles long, class long, sketch binary"), "facts"
     )
     roots = connected(links(texts, facts, rule)).select(F.col("node").alias("class"), "root")
     return facts, roots
@@ -425,6 +565,8 @@ def keep_first(documents: DataFrame, rule: Rule | None = None) -> DataFrame:
         .select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
         .distinct()
     )
+    # as a table its size is known beforehand, so whole texts are only shuffled where it is large
+    gone = materialise(gone, "gone")
     same = documents["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (
         F.xxhash64(documents["text"]) == gone["gone_hash"]
     )
