@@ -244,14 +244,16 @@ def near_lines(texts: DataFrame) -> DataFrame:
         .when(F.col("role") == LONGER, F.col(f"least_{WHOLE}"))
         .otherwise(F.col(f"least_{REPLACED}"))
     )
+    # Spark sizes the variants by the few lines they come from, and the texts by their compressed files: it
+    # would broadcast them, many times its own bound.
     pairs = (
-        keys.join(earliest, "key")
+        keys.join(earliest.hint("merge"), "key")
         .withColumn("other", other)
         .where(F.col("other.first") < F.col("first"))
         .select("name", F.col("other.name").alias("partner"))
         .distinct()
     )
-    bodies = candidates.select("name", "body")
+    bodies = candidates.select("name", "body").hint("merge")
     verified = (
         pairs.join(bodies, "name")
         .join(bodies.select(F.col("name").alias("partner"), F.col("body").alias("partner_body")), "partner")
@@ -346,7 +348,7 @@ def drop_lines(documents: DataFrame) -> DataFrame:
     rows = keyed(documents)
     packed = packed_texts(rows)
     joined = packed.join(
-        kept.withColumnRenamed("doc_id", "kept_doc_id").withColumnRenamed("text_hash", "kept_text_hash"),
+        kept.withColumnRenamed("doc_id", "kept_doc_id").withColumnRenamed("text_hash", "kept_text_hash").hint("merge"),
         F.col("text_hash").eqNullSafe(F.col("kept_text_hash")) & F.col("doc_id").eqNullSafe(F.col("kept_doc_id")),
         "left",
     ).select(*[packed[name] for name in names], "kept")
