@@ -304,7 +304,8 @@ def groups(incidence: DataFrame) -> DataFrame:
         .where(F.col("least") < F.col("most"))
         .select("key", "n_classes")
     )
-    shared = incidence.join(several, "key")
+    # hashes that come again are short in a file: Spark would take the table for a small one and broadcast it
+    shared = incidence.join(several.hint("merge"), "key")
     few = shared.where(F.col("n_classes") <= FEW_CLASSES).groupBy("key").agg(F.array_sort(F.collect_set("class")).alias("own"))
     pairs = (
         few.select("own", F.posexplode("own").alias("at", "a"))
@@ -361,7 +362,8 @@ def _possible_links(rule: Rule) -> Callable[[Batches], Batches]:
 
 def possible_links(incidence: DataFrame, facts: DataFrame, rule: Rule) -> DataFrame:
     """Edges (a, b) that connect what all pairs of classes connect that share a part and may link by their sketches."""
-    members = materialise(groups(incidence), "groups")
+    # pairs by the million are a small file, see groups
+    members = materialise(groups(incidence), "groups").hint("merge")
     sketched = (
         facts.join(members.select("class"), "class", "left_semi")
         .groupBy("class")

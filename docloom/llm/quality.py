@@ -93,8 +93,9 @@ def learn(facts: DataFrame, labels: DataFrame) -> tuple[Table, float]:
     )
     names = list(measures(F.lit("")))
     bins = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("bin")) for n in names]))
+    # bins are short in a file: Spark would take the facts of all documents for a small table and broadcast them
     counts = (
-        facts.join(known, "doc_id")
+        facts.join(known.hint("merge"), "doc_id")
         .select("good", bins.alias("m"))
         .groupBy("m.name", "m.bin")
         .agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
